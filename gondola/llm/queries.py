@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import fm_decontam, license_scan, minmax_dedup, pii_weak, pivotal_mix, quality_classifier, rule_ledger, url_lm
+from gondola.llm import bwt_dedup, compact_windows, fm_decontam, license_scan, minmax_dedup, pii_weak, pivotal_mix, quality_classifier, rule_ledger, url_lm
 from gondola.llm.common import materialize, table
 
 
@@ -17,6 +17,10 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.link(table(spark, sf_dir, "documents"), k=2)
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontam.digest(fm_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +38,10 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_weak.annotate(table(spark, sf_dir, "documents")).select("doc_id", "base", "cands")
     found = materialize(found)  # offsets and votes only, no text
@@ -46,5 +54,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_minmax_near_dedup, op4_fm_decontamination, op5_rule_ledger, op6_url_language_models, op7_pivotal_mix, op9_weak_pii, op10_license_scan)
+    for f in (op1_quality_classifier, op2_minmax_near_dedup, op3_compact_windows, op4_fm_decontamination, op5_rule_ledger, op6_url_language_models, op7_pivotal_mix, op8_bwt_dedup, op9_weak_pii, op10_license_scan)
 }
