@@ -1,4 +1,6 @@
-"""All registered queries of the reference's operators, and their DuckDB twins."""
+"""All registered queries of the shelf operators, and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gondola.plans import code_queries, evaluation_queries, geometry_queries, match_queries  # noqa: F401
+from gondola.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
