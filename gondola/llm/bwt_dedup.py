@@ -267,7 +267,7 @@ def _remove(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def removed_spans(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 2000, shard_bytes: int = 1 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 10_000, shard_bytes: int = 1 << 20) -> DataFrame:
     """docs: d, h, text -> d, h, spans (byte ranges that go, end exclusive; they may overlap)."""
     cut = segments(docs, length, gram)
     often = cut.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")

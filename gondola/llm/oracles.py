@@ -7,9 +7,9 @@ pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w)
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM pos),
 p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) AS v(k) WHERE c >= 2 GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
-    list_filter(l, x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(p.n, 0) AS n_repeat_words,
+    list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(p.n, 0) AS n_repeat_words,
     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals
   FROM w LEFT JOIN p USING (doc_id)),
 n AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines FROM m),
