@@ -105,7 +105,7 @@ def t5_queue_state(spark, sf_dir):
     return _queue(spark, sf_dir).select("image", "status", "user", "label", "by", "labels")
 
 
-@query(with_tables("SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'assigned' AND "at" < (SELECT max(ts) FROM queue_events) - INTERVAL 20 MINUTE THEN 'unassigned' ELSE status END AS status FROM st) GROUP BY status", "queue_events", more=_QE + "," + _FOLD))
+@query(with_tables("SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'assigned' AND st.\"at\" < (SELECT max(ts) FROM queue_events) - INTERVAL 20 MINUTE THEN 'unassigned' ELSE status END AS status FROM st) GROUP BY status", "queue_events", more=_QE + "," + _FOLD))
 def t4_a15_stale_release(spark, sf_dir):
     now = fx.queue_events(spark, sf_dir).agg(F.max("ts").alias("now"))
     released = review.release_stale(_queue(spark, sf_dir).join(now, F.lit(True)), F.col("now"))
