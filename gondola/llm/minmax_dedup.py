@@ -5,10 +5,11 @@ evaluations a shingle make twice as many values. They are banded: documents that
 candidates. With 5 values a band and 32 bands, a pair at the threshold 0.8 meets with probability 1 - 3e-6.
 
 Exact copies (equal sets) are folded into their smallest id first. Candidates are never expanded into all pairs of a
-bucket: each bucket compares its members with one leader, links that hold on the full sets are merged into components,
-and buckets whose members are all connected are done. Those that are not go through further leaders while that pays,
-and at last through exactly the pairs of different components that no round has compared. So every candidate pair is
-either compared on the full sets or already connected, and a bucket of thousands of near copies costs a few rounds.
+bucket: each bucket compares its members with one leader (first the member that meets most others), links that hold on
+the full sets are merged into components, and buckets whose members are all connected are done. Of the others, members
+that have too many shingles of their own to reach the threshold with any other open set are set aside, which is exact.
+The rest go through further leaders while that pays, and at last through exactly the pairs of different components that
+no round has compared. So every candidate pair is compared on the full sets, or already connected, or can't be a link.
 
 Null and empty texts have no shingles and are linked with nothing. Nodes are ids: rows that repeat an id name the same
 node. A null id is never a component's name unless its whole group has none. Extra columns change nothing.
@@ -92,40 +93,58 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
+def _unshared(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """rep, u: how many shingles of a set no other of the open sets has; it can share those with none of them."""
+    each = sets.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("s").alias("x"))
+    once = each.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, star_rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     marks = materialize(sketch(docs, k, bands, rows))
     same = ["fp1", "fp2", "n_shingles"]
     reps = materialize(marks.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     banded = reps.where("rep IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    met = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    members = materialize(banded.join(met, ["band", "key"]))
-    sets = materialize(_full_sets(docs, members.select("rep").distinct(), k))
+    met = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    joined = materialize(banded.join(met, ["band", "key"]))
+    # the member that meets most others leads: the text that a group's copies were made from, if it is there
+    degree = joined.groupBy("rep").agg(F.sum("c").alias("degree"))
+    members = joined.drop("c").join(degree, "rep").withColumn("u", F.lit(0).cast("bigint"))
+    sets = materialize(_full_sets(docs, joined.select("rep").distinct(), k))
     links = tested = labels = None
     for turn in range(star_rounds + 1):
         if labels is None:
             now = members.withColumn("c", F.col("rep"))
         else:
             now = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-            now = materialize(now)
         # buckets that hold several components, and how many pairs of different components they have
-        by_c = now.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n")).alias("lead"))
-        open_ = by_c.groupBy("band", "key").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("lead").alias("lead")
-        ).where("parts > 1")
-        open_ = materialize(open_.select("band", "key", "m", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("cross"), F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")))
+        order = -F.col("degree") if turn < 2 else F.xxhash64("rep", F.lit(turn))
+        by_c = now.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("o"), "rep", "n", "u", "c")).alias("lead"))
+        open_ = by_c.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("lead").alias("lead")).where("parts > 1")
+        lead = [F.col(f"lead.{x}").alias(y) for x, y in (("rep", "lead"), ("n", "lead_n"), ("u", "lead_u"), ("c", "lead_c"))]
+        open_ = materialize(open_.select("band", "key", "m", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("cross"), *lead))
         size = open_.agg(F.sum("m").alias("m"), F.sum("cross").alias("cross")).first()
         if not size["m"]:
             break
-        full = turn == star_rounds or size["cross"] <= 2 * size["m"]
+        if turn:
+            # from here on, only members of open buckets; and of these only such as can still have a link
+            members = now.join(open_.select("band", "key"), ["band", "key"], "left_semi").drop("c")
+        if turn == 1:
+            some = materialize(members.drop("u"))
+            members = some.join(_unshared(sets, some), "rep", "left").na.fill(0, ["u"])
+            members = materialize(members.where(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(percent) * F.col("n")))
+            continue
+        now = now.join(open_.select("band", "key"), ["band", "key"], "left_semi")
+        full = turn == star_rounds or size["cross"] <= size["m"]
         if full:
-            side = now.join(open_.select("band", "key"), ["band", "key"])
-            other = side.select("band", "key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c"))
-            close = side.join(other, ["band", "key"]).where("rep < lead AND c <> lead_c")
+            other = now.select("band", "key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("u").alias("lead_u"), F.col("c").alias("lead_c"))
+            close = now.join(other, ["band", "key"]).where("rep < lead")
         else:
-            lead = open_.select("band", "key", "lead", "lead_n")
-            close = now.join(lead, ["band", "key"]).where("rep <> lead")
-        close = close.where((F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")))
+            close = now.join(open_.drop("m", "cross"), ["band", "key"]).where("rep <> lead")
+        # the intersection is at most what the smaller side can share
+        most = F.least(F.col("n") - F.col("u"), F.col("lead_n") - F.col("lead_u"))
+        close = close.where("c <> lead_c").where(F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("lead_n") - most))
         pairs = close.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = materialize(_verify(pairs, sets, percent))
