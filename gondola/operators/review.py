@@ -112,7 +112,7 @@ def next_after_save(rows: DataFrame) -> DataFrame:
 
 # ---- queue
 
-_STATE = "struct<status:string,user:string,label:string,by:string,at:timestamp,labels:int>"
+STATE = "struct<status:string,user:string,label:string,by:string,at:timestamp,labels:int>"
 
 
 def fold_queue(events: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def fold_queue(events: DataFrame) -> DataFrame:
     e = F.struct("ts", "event_id", "user", "action")
     g = events.groupBy("image").agg(F.array_sort(F.collect_list(e)).alias("e"))
     none = F.lit(None).cast("string")
-    init = F.struct(F.lit("unassigned").alias("status"), none.alias("user"), none.alias("label"), none.alias("by"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("labels")).cast(_STATE)
+    init = F.struct(F.lit("unassigned").alias("status"), none.alias("user"), none.alias("label"), none.alias("by"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("labels")).cast(STATE)
     return g.select("image", F.aggregate("e", init, queue_step).alias("s")).select("image", "s.*")
 
 
@@ -133,7 +133,7 @@ def queue_step(a: Column, x: Column) -> Column:
     user = x["user"].cast("string")
     none = F.lit(None).cast("string")
     holds, made = a["user"].eqNullSafe(user) & (a["status"] == "assigned"), a["by"].eqNullSafe(user) & (a["status"] == "done")
-    to = lambda status, who, label, by, n: F.struct(F.lit(status).alias("status"), who.alias("user"), label.alias("label"), by.alias("by"), x["ts"].alias("at"), n.alias("labels")).cast(_STATE)
+    to = lambda status, who, label, by, n: F.struct(F.lit(status).alias("status"), who.alias("user"), label.alias("label"), by.alias("by"), x["ts"].alias("at"), n.alias("labels")).cast(STATE)
     label = F.concat(F.lit("L"), x["event_id"].cast("string"))
     act, n = x["action"], a["labels"]
     return (
