@@ -91,10 +91,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     lengths = sorted({n for _, n, _ in rows})
     sizes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(n + n // 4).alias("width"), F.lit(n // 4 + 1).alias("step")) for n in lengths])
     word = docs.where(F.col("text").isNotNull() & may).select("doc_id", tokens(F.col("text")).alias("w"))
-    size = word.select("doc_id", "w", F.explode(sizes).alias("z")).where(F.size("w") >= F.col("z.n"))
-    at = size.select("doc_id", F.col("z.n").alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.col("z.step"))).alias("first_word"), "w", "z.width")
-    window = at.select("doc_id", "n", "first_word", F.slice("w", F.col("first_word") + 1, F.col("width")).alias("v"))
-    window = window.where((F.size("v") >= SHINGLE) & F.arrays_overlap("v", F.array(*map(F.lit, marks))))
+    # places of the marks; only windows that hold one are cut out, and only their words go on
+    literal = F.array(*map(F.lit, marks))
+    places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(literal, x), i)), lambda i: i.isNotNull())
+    size = word.withColumn("at", places).select("doc_id", "w", "at", F.explode(sizes).alias("z")).where((F.size("w") >= F.col("z.n")) & (F.size("at") > 0))
+    width, step = F.col("z.width"), F.col("z.step")
+    around = lambda p: F.transform(F.sequence(F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int")), lambda k: k * step)
+    cut = F.transform(F.array_distinct(F.flatten(F.transform("at", around))), lambda i: F.struct(i.alias("first_word"), F.slice("w", i + 1, width).alias("v")))
+    window = size.select("doc_id", F.col("z.n").alias("n"), F.explode(cut).alias("c")).select("doc_id", "n", "c.first_word", "c.v").where(F.size("v") >= SHINGLE)
     sig = window.select("doc_id", "n", "first_word", _sets(F.col("v")).alias("s")).withColumn("sig", _signature(F.col("s"), bands))
     banded = sig.select("doc_id", "n", "first_word", "s", F.posexplode("sig").alias("band", "value"))
     met = banded.join(F.broadcast(known), (F.col("n") == F.col("n_words")) & (known["band"] == banded["band"]) & (known["value"] == banded["value"]))
