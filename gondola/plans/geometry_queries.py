@@ -166,3 +166,27 @@ def smoothed(df, keys, order, value, k):
         FROM pred_boxes WINDOW w AS (PARTITION BY image ORDER BY det ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""", "pred_boxes"))
 def g29_box_smoothing(spark, sf_dir):
     return smoothed(fx.pred_boxes(spark, sf_dir), ["image"], "det", "conf", 2).select("image", "det", _r(F.col("smooth")).alias("smooth"))
+
+
+@query(with_tables("SELECT image, det, round(inter / (pa + ga - inter), 6) AS iou, round(inter / ga, 6) AS coverage, round(inter / pa, 6) AS precision FROM i", "pred_boxes", "gt_boxes", more=_PAIR))
+def g15_g16_polygon_overlap(spark, sf_dir):
+    """Rectangles as polygons, so that the raster's counts are exact; every third has rectangles in place of polygons."""
+    from gondola.functions.polygons import chosen, polygon_overlap
+
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = lambda b: F.array(point(b.x1, b.y1), point(b.x2, b.y1), point(b.x2, b.y2), point(b.x1, b.y2))
+    p = _pairs(spark, sf_dir).select("image", "det", ring(Box.of("g_")).alias("truth"), ring(Box.of()).alias("found"))
+    none = F.array().cast(p.select(F.array("found")).schema[0].dataType)
+    pick = chosen(F.when(F.col("det") % 3 == 0, none).otherwise(F.array("found")), F.array(F.struct(F.col("found").alias("points"))))
+    o = p.select("image", "det", polygon_overlap(F.col("truth"), pick).alias("o"))
+    return o.select("image", "det", *[_r(F.col(f"o.{c}")).alias(c) for c in ("iou", "coverage", "precision")])
+
+
+@query(with_tables("SELECT image, det, x1 - off + 40 AS x1, y1 - 7 AS y1, x1 AS back_x1, y2 AS back_y2 FROM (SELECT *, (det % 5) * 60 AS off FROM pred_boxes)", "pred_boxes"))
+def g18_strip_coordinates(spark, sf_dir):
+    """Original coordinates to a strip's (less the slot's offset, plus its crop) and back."""
+    off = (F.col("det") % 5) * 60
+    local = bx.shifted(Box.of(), 40 - off, F.lit(-7))
+    back = bx.shifted(local, off - 40, F.lit(7))
+    rows = fx.pred_boxes(spark, sf_dir).select("image", "det", local.x1.alias("lx"), local.y1.alias("ly"), back.x1.alias("back_x1"), back.y2.alias("back_y2"))
+    return rows.select("image", "det", F.col("lx").alias("x1"), F.col("ly").alias("y1"), "back_x1", "back_y2")
