@@ -66,8 +66,9 @@ def precision_curve(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], o
     by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     c = ranked.withColumns({"tp": F.sum(F.col("correct").cast("int")).over(by), "rank": F.count(F.lit(1)).over(by)}).join(labels, list(keys))
     c = c.withColumns({"recall": F.col("tp") / F.col("n_labels"), "precision": F.col("tp") / F.col("rank")})
-    after = Window.partitionBy(*keys).orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return c.withColumn("envelope", F.max("precision").over(after))
+    # from the last rank back: a running maximum, linear in the rows
+    back = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("envelope", F.max("precision").over(back))
 
 
 def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:

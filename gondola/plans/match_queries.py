@@ -152,10 +152,10 @@ _CHILD = """
   cr AS (SELECT *, row_number() OVER (PARTITION BY image, child ORDER BY cover DESC, away, area, conf DESC, det) AS rn, count(*) OVER (PARTITION BY image, child) AS n FROM cp WHERE held OR cover >= 0.5)"""
 
 
-@query(with_tables("SELECT image, child, det AS parent, rnk AS parent_rank, n AS n_parents, round(cover, 6) AS cover FROM cr WHERE rn = 1", "pred_boxes", more=_CHILD))
+@query(with_tables("SELECT image, child, det AS parent, rnk AS parent_rank, n AS n_parents, floor(cover * 1000000)::BIGINT AS cover_ppm FROM cr WHERE rn = 1", "pred_boxes", more=_CHILD))
 def j11_children_to_parents(spark, sf_dir):
     p = fx.pred_boxes(spark, sf_dir).drop("pk", "sk", "cls")
-    return match.child_to_parent(p.where("det % 4 <> 0").withColumnRenamed("det", "child").drop("conf"), p.where("det % 4 = 0")).withColumn("cover", _R("cover"))
+    return match.child_to_parent(p.where("det % 4 <> 0").withColumnRenamed("det", "child").drop("conf"), p.where("det % 4 = 0")).select("image", "child", "parent", "parent_rank", "n_parents", F.floor(F.col("cover") * 1_000_000).alias("cover_ppm"))
 
 
 @query(with_tables("SELECT w.image, w.idx AS point, min(g.gt) AS det FROM words w JOIN gt_boxes g ON w.image = g.image AND (w.x1 + w.x2) / 2 > g.x1 AND (w.x1 + w.x2) / 2 < g.x2 AND (w.y1 + w.y2) / 2 > g.y1 AND (w.y1 + w.y2) / 2 < g.y2 GROUP BY w.image, w.idx", "words", "gt_boxes"))
