@@ -89,8 +89,10 @@ def average_precision_101(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     seg = pts.select(*keys, F.posexplode(line).alias("i", "z")).select(*keys, "i", "z.*")
     w = Window.partitionBy(*keys).orderBy("i")
     seg = seg.withColumns({"r2": F.lead("r").over(w), "p2": F.lead("p").over(w)})
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: k / 100.0))
-    at = seg.select(*keys, "i", "r", "p", "r2", "p2", grid.alias("x")).where((F.col("x") >= F.col("r")) & (F.col("r2").isNull() | (F.col("x") < F.col("r2"))))
+    # the few grid places of each segment
+    low, high = F.floor(F.col("r") * 100), F.least(F.lit(100), F.coalesce(F.ceil(F.col("r2") * 100), F.lit(100)))
+    at = seg.where(low <= high).select(*keys, "i", "r", "p", "r2", "p2", F.explode(F.sequence(low, high)).alias("k")).withColumn("x", F.col("k") / 100.0)
+    at = at.where((F.col("x") >= F.col("r")) & (F.col("r2").isNull() | (F.col("x") < F.col("r2"))))
     y = F.when(F.col("r2").isNull(), F.col("p")).otherwise(F.col("p") + (F.col("p2") - F.col("p")) * (F.col("x") - F.col("r")) / (F.col("r2") - F.col("r")))
     weight = F.when((F.col("x") == 0.0) | (F.col("x") == 1.0), 0.005).otherwise(0.01)
     return at.groupBy(*keys).agg(F.sum(y * weight).alias("ap"))
