@@ -111,7 +111,7 @@ def _minimise(fun, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     return x
 
 
-def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, ridge: float = 3e-5, least_docs: int = 10, rounds: int = 150) -> Model:
+def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, ridge: float = 1e-4, least_docs: int = 8, rounds: int = 150) -> Model:
     """Maximum likelihood with a ridge; words of fewer than ``least_docs`` training documents get no weight."""
     weights = np.zeros(SIZE, np.float32)
     if not len(y):
