@@ -100,7 +100,7 @@ def _unshared(sets: DataFrame, open_: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, star_rounds: int = 6) -> DataFrame:
+def link(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, star_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     marks = materialize(sketch(docs, k, bands, rows))
     same = ["fp1", "fp2", "n_shingles"]
