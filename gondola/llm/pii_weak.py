@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ CANDIDATES = {
     "number": r"(?<![0-9A-Za-z.,+-])[(]?[0-9]{2,4}[)]?(?:[ .-][0-9]{2,7}){1,4}(?![0-9A-Za-z])",
     "spoken": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}+){1,8}",
 }
-#: A text without the piece can't hold a match: a cheap test before the pattern.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "spoken": "("}
+#: A text with none of the pieces can't hold a match: a cheap test before the pattern.
+NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "spoken": ("(", "[")}
 # fixed values: gazetteers
 SECRET_WORDS = "token|secret|key|apikey|api_key|password|passwd|pwd|bearer|auth|credential"
 PERSON_WORDS = "tel|phone|fon|mobile|mobil|call|fax|ssn|social|passport|iban|account|konto|compte|cuenta|mail|email|contact|reach"
@@ -91,7 +92,8 @@ def _find(kind: str, pattern: str, t: Column) -> Column:
 
     found = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), places)
     if kind in NEEDS:
-        found = F.when(F.contains(t, F.lit(NEEDS[kind])), found).otherwise(none)
+        piece = reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in NEEDS[kind]])
+        found = F.when(piece, found).otherwise(none)
     return found if kind in ("email", *CANDIDATES) else F.filter(found, lambda s: _passes(kind, s["m"]))
 
 
