@@ -42,9 +42,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with copies and taken words; rows without an id are not taken."""
-    mixed = pivotal_mix.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    return docs.join(materialize(mixed), "doc_id").select(*docs.columns, "copies", "taken")
+    """The documents that the mix takes, with copies and taken words; rows without an id are numbered for it."""
+    nameless = materialize(docs.where("doc_id IS NULL").withColumn("row", F.monotonically_increasing_id()))
+    named = docs.where("doc_id IS NOT NULL")
+    mixed = pivotal_mix.mix(named.withColumn("row", F.lit(None).cast("bigint")).unionByName(nameless), row="row").where("copies > 0")
+    by_id, by_row = mixed.where("doc_id IS NOT NULL").groupBy("doc_id"), mixed.where("doc_id IS NULL").groupBy("row")
+    out = []
+    for rows, taken, key in ((named, by_id, "doc_id"), (nameless, by_row, "row")):
+        taken = materialize(taken.agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")))
+        out.append(rows.join(taken, key).select(*docs.columns, "copies", "taken"))
+    return out[0].unionByName(out[1])
 
 
 STAGES = [

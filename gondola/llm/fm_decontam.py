@@ -10,8 +10,9 @@ Shards are consecutive rows of a partition, so nothing is shuffled. The benchmar
 at most ``block_mb`` MB of text each; every block is searched in all documents.
 
 Null and empty texts have no words and are hit by nothing; items without words have no phrase; null item ids count as
-the empty string. With one block, rows are independent (repeated ids stay separate rows); with several, the parts of a
-row are put together by doc_id, so rows that repeat an id become one. Extra columns change nothing.
+the empty string. Rows are independent, however many blocks there are: null and repeated ids stay separate rows. With
+several blocks the rows are numbered in a table first, and the parts of a row are put together by that number. Extra
+columns change nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import ALNUM, Texts, lists
+from gondola.llm.common import materialize
 
 SAMPLE = 16
 
@@ -215,7 +217,7 @@ def _merge(spans):
         last = F.element_at(a, -1)
         one = lambda x, y: F.array(F.struct(x.alias("start"), y.alias("end")))
         joined = F.concat(F.slice(a, 1, F.size(a) - 1), one(last["start"], F.greatest(last["end"], s["end"])))
-        return F.when(F.size(a) == 0, F.array(s)).when(s["start"] < last["end"], joined).otherwise(F.concat(a, F.array(s)))
+        return F.when(F.size(a) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.concat(a, F.array(s)))
 
     return F.aggregate(F.array_sort(spans), empty, step)
 
@@ -225,15 +227,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     mb = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     blocks = int(mb // block_mb) + 1
-    found = None
+    found, row = None, "_row"
+    if blocks > 1:
+        docs = materialize(docs.select(*dict.fromkeys((*keep, "text"))).withColumn(row, F.monotonically_increasing_id()))
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()  # of bounded size
-        part = search(docs, [(r["item"], r["text"]) for r in block], window, keep=keep if blocks == 1 else ("doc_id",))
+        part = search(docs, [(r["item"], r["text"]) for r in block], window, keep=keep if blocks == 1 else (row,))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), _merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        if keep != ("doc_id",):
-            found = docs.select(*keep).join(found, "doc_id")
+        found = found.groupBy(row).agg(F.max("n_words").alias("n_words"), _merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = docs.select(*keep, row).join(found, row).drop(row)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     out = found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("bigint")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gondola.llm.common import materialize, unit
 
-UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,p:double>"
-DONE = "array<struct<size:bigint,doc_id:bigint,extra:int>>"
+UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,p:double,row:bigint>"
+DONE = "array<struct<size:bigint,doc_id:bigint,extra:int,row:bigint>>"
 
 
 def targets(per_source: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -53,8 +53,8 @@ def _meet(acc: Column, u: Column, seed: int) -> Column:
     """One pivotal step: the carried unit meets ``u``; a unit that becomes integral goes to ``done``."""
     c, p, q = acc["carry"], u["p"], acc["carry"]["p"]
     s, r = p + q, unit(c["h"], u["h"], F.lit(seed))
-    with_p = lambda x, v: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), v.cast("double").alias("p"))
-    out = lambda x, v: F.array(F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.lit(v).alias("extra")))
+    with_p = lambda x, v: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), v.cast("double").alias("p"), x["row"].alias("row"))
+    out = lambda x, v: F.array(F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.lit(v).alias("extra"), x["row"].alias("row")))
     state = lambda carry, done: F.struct(carry.cast(UNIT).alias("carry"), F.concat(acc["done"], done).cast(DONE).alias("done"))
     below = F.when(r < q / s, state(with_p(c, s), out(u, 0))).otherwise(state(with_p(u, s), out(c, 0)))
     above = F.when(r < (1 - p) / (2 - s), state(with_p(u, s - 1), out(c, 1))).otherwise(state(with_p(c, s - 1), out(u, 1)))
@@ -68,10 +68,14 @@ def _fold(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return folded.withColumn("f", F.aggregate("us", start, lambda a, u: _meet(a, u, seed))).drop("us")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block_rows: int = 1000, seed: int = 1, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (int) and taken (long) for each row of ``docs``."""
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block_rows: int = 1000, seed: int = 1, text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (int) and taken (long) for each row of ``docs``.
+
+    ``row``: a bigint column that tells rows without ids apart, returned as ``row``; nothing else depends on it, but
+    which of the rows that agree in size and id takes which copies.
+    """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), (F.col(row) if row else F.lit(None)).cast("bigint").alias("row")))
     sized = sized.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     counts = sized.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     goals = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -81,15 +85,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
     rows = sized.alias("s").join(plan.alias("p"), F.expr("s.source <=> p.source AND s.class = p.class")).select("s.*", "p.source_size", "p.target", "p.base", "p.p", "p.blocks")
     fixed = ["source", "source_size", "target", "base"]
     whole = (F.col("p") == 0) | (F.col("size") == 0)
-    taken = [rows.where(whole).select(*fixed, "size", "doc_id", F.lit(0).alias("extra"))]
+    taken = [rows.where(whole).select(*fixed, "size", "doc_id", F.lit(0).alias("extra"), "row")]
     h = F.xxhash64("doc_id", F.lit(seed))
     units = rows.where(~whole).select(
-        *fixed, "class", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "blocks").alias("block"), F.struct("size", h.alias("h"), "doc_id", "p").cast(UNIT).alias("u")
+        *fixed, "class", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "blocks").alias("block"), F.struct("size", h.alias("h"), "doc_id", "p", "row").cast(UNIT).alias("u")
     )
     level, keys = 0, [*fixed, "class", "block"]
     while True:
         done = materialize(_fold(units, keys, seed + level))
-        taken.append(done.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.size", "d.doc_id", "d.extra"))
+        taken.append(done.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.size", "d.doc_id", "d.extra", "d.row"))
         left = done.where("f.carry IS NOT NULL").select(*fixed, F.col("f.carry").alias("u"), F.xxhash64(*keys).alias("at"))
         most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
@@ -97,9 +101,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
         blocks, level, keys = -(-most // block_rows), level + 1, [*fixed, "block"]
         units = left.select(*fixed, F.pmod(F.col("at"), F.lit(blocks)).alias("block"), "u")
     last = (unit(F.col("u.h"), F.lit(seed - 1)) < F.col("u.p")).cast("int")
-    taken.append(left.select(*fixed, "u.size", "u.doc_id", last.alias("extra")))
+    taken.append(left.select(*fixed, "u.size", "u.doc_id", last.alias("extra"), "u.row"))
     out = taken[0]
     for t in taken[1:]:
         out = out.unionByName(t)
     copies = F.col("base") + F.col("extra")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), *(["row"] if row else []))

@@ -1,6 +1,7 @@
 """Cases of the first review round."""
 
-from gondola.llm import pii_weak
+import corpus_pipeline
+from gondola.llm import fm_decontam, pii_weak, pivotal_mix
 
 
 def test_spoken_addresses_in_square_brackets(spark):
@@ -10,3 +11,25 @@ def test_spoken_addresses_in_square_brackets(spark):
     assert cands == {1: [("spoken", 9, 36)], 2: [("spoken", 9, 36)], 3: [("spoken", 9, 36)], 4: []}
     clean = {r["doc_id"]: r["text"] for r in pii_weak.redact(pii_weak.detect(df)).collect()}
     assert clean == {1: "write to <SPOKEN> today", 2: "write to <SPOKEN> today", 3: "write to <SPOKEN> (today)", 4: "no address"}
+
+
+def test_decontamination_in_blocks_keeps_rows_with_null_and_repeated_ids(spark):
+    long = " ".join(f"k{i}" for i in range(13)), " ".join(f"m{i}" for i in range(13))
+    items = [("1", long[0]), ("2", long[1]), ("3", "zebra"), ("4", "alpha beta gamma")]
+    rows = [(5, "zebra", "a"), (5, "clean words " * 30 + "zebra", "b"), (5, "nothing here", "c"), (None, "alpha beta gamma", "d"), (None, "clean", None), (None, None, "e"), (7, " ".join(long), "f"), (7, " ".join(long), "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for keep in (("doc_id",), ("doc_id", "text", "lang")):
+        one, many = (sorted(map(str, fm_decontam.contamination(df, bench, block_mb=mb, keep=keep).collect())) for mb in (32, 1e-5))
+        assert len(many) == len(rows) and one == many
+
+
+def test_mixing_stage_keeps_rows_without_ids(spark):
+    rows = [(i if i % 3 else None, f"w{i} " * (i % 20 + 1), "ab"[i % 2]) for i in range(300)] + [(None, "same text", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = pivotal_mix.mix(df).where("copies > 0").collect()
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    assert sum(r["doc_id"] is None for r in want) > 50
+    key = lambda r: (r["doc_id"] or -1, r["source"], r["copies"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert all(r["taken"] == r["copies"] * len(r["text"].split()) for r in got)
