@@ -4,15 +4,14 @@ Tokens are five-word shingles of the lower-cased text. Under one hash, all subse
 token form few groups: a window (l, c, r) stands for every subsequence that begins in [l, c] and ends in [c, r], where
 c holds the smallest hash between l and r. These are the nodes of the Cartesian tree over the token hashes; those at
 least ``width`` tokens wide are kept, about 2 / width a token. Two passages of similarity s lie in windows with equal
-hashes with probability s under each hash. Candidates need two hashes that agree in one place: of 4 hashes, a pair of
-exact copies has all, one of similarity 0.9 has enough with probability 0.996, one of 0.8 with 0.973.
+hashes with probability s under each hash; candidates need one of 4 hashes to agree (0.9984 at similarity 0.8).
 
-Windows meet on their smallest hash. Windows of one hash value are compared with a few leaders (not with each other):
-the collisions of a pair of texts, under all hashes, are joined as intervals that overlap in both texts, and make
-candidate regions; the regions' words are then compared. A passage is verified where its distinct shingles and those of
-its counterpart have similarity 0.8 or more and both have ``min_words`` words. What the first leaders do not confirm
-meets other leaders, over ``rounds`` rounds; a passage is then missed only if it is similar to none of its groups'
-leaders in any round and any hash.
+Windows meet on their smallest hash. In each of ``rounds`` rounds all windows of one hash value are compared with a
+leader; then the windows that lie in no confirmed span yet are compared with every other window of their hash value,
+confirmed ones included. The collisions of a pair of texts, under all hashes, are joined as intervals that overlap in
+both texts, and make candidate regions; the regions' words are then compared. A passage is verified where its distinct
+shingles and those of its counterpart have similarity 0.8 or more and both have ``min_words`` words. The last
+comparison grows with the square of what stays open under a hash value.
 
 Texts with equal bytes are folded first: each copy is a repeat as a whole, and one of them goes on. Null, empty and
 short texts have no passages. Rows that repeat an id are documents of their own. Extra columns are ignored.
@@ -31,7 +30,6 @@ from gondola.llm.arrays import NON_SPACE, U64, Texts, mix
 from gondola.llm.common import materialize
 
 SHINGLE = 5
-POS = (1 << 21) - 1
 
 
 def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,10 +44,11 @@ def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     if n < width:
         return none, none, none
     m = n + texts + 1
+    low = U64((1 << max(26, m.bit_length())) - 1)
     place = np.arange(n) + np.repeat(np.arange(texts), np.diff(at)) + 1
     v = np.zeros(m, U64)
     # the hash's upper bits, then the place: ties go to the left
-    v[place] = (value | U64(1 << 63)) & ~U64((1 << 26) - 1) | place.astype(U64)
+    v[place] = (value | U64(1 << 63)) & ~low | place.astype(U64)
     levels = [v]
     while (1 << len(levels)) <= m:
         half = 1 << (len(levels) - 1)
@@ -63,7 +62,7 @@ def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     least = least[least > 0]
     if not len(least):
         return none, none, none
-    c = np.unique(least & U64((1 << 26) - 1)).astype(np.int64)
+    c = np.unique(least & low).astype(np.int64)
     own = v[c]
     left, right = c.copy(), c + 1
     for j in range(len(levels) - 1, -1, -1):
@@ -91,7 +90,7 @@ def _tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def all_windows(texts: DataFrame, hashes: int, width: int) -> DataFrame:
-    """key, t (name of the text), w (l, c, r packed) for the windows under all hashes."""
+    """key, t (name of the text), m (the place c), w (l << 32 | r) for the windows under all hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,13 +101,12 @@ def all_windows(texts: DataFrame, hashes: int, width: int) -> DataFrame:
                     x = mix(token ^ mix(np.full(1, i + 1, U64)))
                     left, c, right = windows(x, at, width)
                     text = np.searchsorted(at, c, "right") - 1
-                    # offsets within the text; texts beyond 2 million words share packed places, which only costs checks
-                    l, m, r = (np.minimum(y - at[text], POS) for y in (left, c, right))
-                    packed = (l << 42) | (m << 21) | r
+                    # places within the text, which has less than 2^31 bytes
+                    l, m, r = (y - at[text] for y in (left, c, right))
                     key = (mix(x[c] + U64(i)) & ~U64(7)) | U64(i)  # the hash's number in the last bits
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[text + lo]), pa.array(packed)], ["key", "t", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[text + lo]), pa.array(m), pa.array((l << 32) | r)], ["key", "t", "m", "w"])
 
-    return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, w bigint")
+    return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint")
 
 
 def _regions(pairs: DataFrame, enough: int, slack: int = 8) -> DataFrame:
@@ -125,28 +123,32 @@ def _regions(pairs: DataFrame, enough: int, slack: int = 8) -> DataFrame:
                 fn = hits.values.field("fn").to_numpy()
                 if len(np.unique(fn)) < enough:
                     continue
-                (l1, c1, r1), (l2, c2, r2) = (((w >> 42), (w >> 21) & POS, w & POS) for w in (wa, wb))
-                shift = c2 - c1
+                (l1, r1), (l2, r2) = ((w >> 32, w & 0xFFFFFFFF) for w in (wa, wb))
+                shift = hits.values.field("mb").to_numpy() - hits.values.field("ma").to_numpy()
                 # what both windows cover, once their smallest tokens stand on each other, and a little more
                 low, high = np.maximum(l1, l2 - shift), np.minimum(r1, r2 - shift)
-                order = np.lexsort((low, shift // 16))
+                # by start; a stretch joins all open regions that it overlaps at a like shift
                 done: list[list[int]] = []
-                for i in order:
-                    lo, hi, s = int(low[i]), int(high[i]), int(shift[i])
-                    last = done[-1] if done else None
-                    if last and abs(s - last[3]) <= 16 and lo <= last[1] + slack:
-                        last[1], last[2], last[3] = max(last[1], hi), min(last[2], s), max(last[3], s)
-                        last[4] |= 1 << int(fn[i])
-                    else:
-                        done.append([lo, hi, s, s, 1 << int(fn[i])])
-                for lo, hi, s1, s2, fns in done:
+                near: list[list[int]] = []
+                for i in np.argsort(low, kind="stable"):
+                    one = [int(low[i]), int(high[i]), int(shift[i]), int(shift[i]), 1 << int(fn[i])]
+                    at, apart = one[0], []
+                    for r in near:
+                        if r[1] + slack < at:
+                            done.append(r)
+                        elif r[2] - 16 <= shift[i] <= r[3] + 16:
+                            one = [min(r[0], one[0]), max(r[1], one[1]), min(r[2], one[2]), max(r[3], one[3]), r[4] | one[4]]
+                        else:
+                            apart.append(r)
+                    near = [*apart, one]
+                for lo, hi, s1, s2, fns in done + near:
                     if fns.bit_count() < enough:
                         continue
                     rows["a"].append(a), rows["b"].append(b)
                     rows["a1"].append(lo), rows["a2"].append(hi), rows["b1"].append(lo + s1), rows["b2"].append(hi + s2)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
 
-    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb", "fn")).alias("hits"))
+    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ma", "wa", "mb", "wb", "fn")).alias("hits"))
     return each.mapInArrow(run, "a bigint, b bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
@@ -228,7 +230,27 @@ def _verify(slices: DataFrame, min_words: int, percent: int) -> DataFrame:
     return half(0).join(half(1), "p").mapInArrow(run, "p bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashes: int = 4, enough: int = 2, rounds: int = 2) -> DataFrame:
+def _no_spans():
+    return F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+
+def _join(a, s):
+    """Spans in order, and the next one: joined where they touch."""
+    last = F.element_at(a, -1)
+    wider = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
+    return F.when((F.size(a) > 0) & (s["lo"] <= last["hi"]), wider).otherwise(F.concat(a, F.array(s)))
+
+
+def open_windows(members: DataFrame, spans: DataFrame | None) -> DataFrame:
+    """``members`` with ``open``: whether the smallest token lies inside none of its text's confirmed spans (t, lo, hi)."""
+    if spans is None:
+        return members.withColumn("open", F.lit(True))
+    done = spans.groupBy("t").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("lo", "hi"))), _no_spans(), _join).alias("s"))
+    inside = F.exists("s", lambda s: (s["lo"] <= F.col("m")) & (F.col("m") + SHINGLE <= s["hi"]))
+    return members.join(done, "t", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("s")
+
+
+def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashes: int = 4, enough: int = 1, rounds: int = 2) -> DataFrame:
     """A row for each document that has a passage found elsewhere: doc_id, n_words, n_repeated (words), spans
     (``start:end`` word places, comma-joined), copies (documents with this very text, itself included), like_id (the
     least id of a text that has such a passage).
@@ -240,18 +262,30 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashe
     found = all_windows(named, hashes, width)
     often = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     # copies of a text have the same windows: one of each stays
-    one = found.join(often, "key", "left_semi").groupBy("key", "t", "w").agg(F.count(F.lit(1)).alias("c")).drop("c")
-    members = materialize(one)
+    members = materialize(found.join(often, "key", "left_semi").distinct())
     seen = spans = None
-    for turn in range(rounds):
-        pick = F.min(F.struct(F.xxhash64("t", F.lit(turn)), "t", "w"))
-        lead = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pick.alias("lead")).where("c > 1").select("key", F.col("lead.t").alias("b"), F.col("lead.w").alias("wb"))
-        hits = members.join(lead, "key").where("t <> b OR w <> wb").select(F.col("t").alias("a"), "b", F.col("w").alias("wa"), "wb", F.col("key").bitwiseAND(F.lit(7).cast("bigint")).cast("int").alias("fn"))
-        regions = _regions(hits, enough)
+    for turn in range(rounds + 1):
+        now = open_windows(members, spans)
+        if turn < rounds:
+            pick = F.min(F.struct(F.xxhash64("t", F.lit(turn)), "t", "m", "w"))
+            lead = now.where("open").groupBy("key").agg(pick.alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"{x}2") for x in ("t", "m", "w")])
+            met = members.join(lead, "key").where("t <> t2 OR m <> m2")
+        else:
+            # what no leader confirmed meets every other window of its key, each pair once
+            now = materialize(now)
+            own = now.where("open").drop("open")
+            other = now.select("key", *[F.col(x).alias(f"{x}2") for x in ("t", "m", "w", "open")])
+            met = own.join(other, "key").where("(t <> t2 OR m <> m2) AND (NOT open2 OR struct(t, m) < struct(t2, m2))")
+        # a pair of texts has one order, whoever leads
+        two = F.array_sort(F.array(F.struct("t", "m", "w"), F.struct(F.col("t2").alias("t"), F.col("m2").alias("m"), F.col("w2").alias("w"))))
+        met = met.select("key", two.alias("two"))
+        fn = F.col("key").bitwiseAND(F.lit(7).cast("bigint")).cast("int").alias("fn")
+        side = lambda i, names: [F.col("two")[i][x].alias(y) for x, y in zip(("t", "m", "w"), names, strict=True)]
+        regions = _regions(met.select(*side(0, ("a", "ma", "wa")), *side(1, ("b", "mb", "wb")), fn), enough)
         if seen is not None:
-            regions = regions.join(seen, ["a", "b", "a1", "b1"], "left_anti")
+            regions = regions.join(seen, ["a", "b", "a1", "a2", "b1", "b2"], "left_anti")
         regions = materialize(regions.withColumn("p", F.xxhash64("a", "b", "a1", "a2", "b1", "b2")))
-        key = regions.select("a", "b", "a1", "b1")
+        key = regions.drop("p")
         seen = key if seen is None else seen.unionByName(key)
         sides = regions.select(F.col("a").alias("t"), "p", F.lit(0).alias("side"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
             regions.select(F.col("b").alias("t"), "p", F.lit(1).alias("side"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
@@ -263,24 +297,13 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashe
         )
         both = materialize(both)
         spans = both if spans is None else spans.unionByName(both)
-        # texts that a passage was confirmed for need no further leader in the same place
-        done = both.groupBy("t").agg(F.min("lo").alias("from"), F.max("hi").alias("to"))
-        middle = F.shiftrightunsigned("w", 21).bitwiseAND(F.lit(POS).cast("bigint"))
-        members = members.join(done, "t", "left").where(F.col("from").isNull() | (middle < F.col("from")) | (middle >= F.col("to"))).select("key", "t", "w")
     other = spans.join(classes.select(F.col("t").alias("other"), F.col("rep").alias("like")), "other")
     by_text = other.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"), F.min("like").alias("like"))
     n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     sized = named.select("doc_id", "t", n_words.alias("n_words")).join(classes, "t").join(by_text, "t", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= min_words)
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_words").alias("hi")))
-    start = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-
-    def join(a, s):
-        last = F.element_at(a, -1)
-        wider = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
-        return F.when((F.size(a) > 0) & (s["lo"] <= last["hi"]), wider).otherwise(F.concat(a, F.array(s)))
-
-    merged = sized.withColumn("s", F.when(copied, whole).when(F.col("s").isNotNull(), F.aggregate("s", start, join))).where(F.size("s") > 0)
+    merged = sized.withColumn("s", F.when(copied, whole).when(F.col("s").isNotNull(), F.aggregate("s", _no_spans(), _join))).where(F.size("s") > 0)
     return merged.select(
         "doc_id", "n_words",
         F.aggregate("s", F.lit(0).cast("bigint"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_repeated"),
