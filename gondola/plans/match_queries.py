@@ -121,6 +121,14 @@ def j9_image_inference(spark, sf_dir):
     return match.infer_image(p, group(fx.gt_boxes(spark, sf_dir)).select("image", "cls", "x1", "y1", "x2", "y2"))
 
 
+@query()
+def j9_image_inference_all_images(spark, sf_dir):
+    """As ``j9_image_inference``, for the boxes of every image; each image is a source."""
+    group = lambda df: df.withColumn("cls", F.concat("cls", F.expr("image div 25").cast("string")))
+    p = group(fx.pred_boxes(spark, sf_dir)).select(F.col("image").alias("source"), "det", "cls", "x1", "y1", "x2", "y2")
+    return match.infer_image(p, group(fx.gt_boxes(spark, sf_dir)).select("image", "cls", "x1", "y1", "x2", "y2"))
+
+
 @query(with_tables("""SELECT request, r.store, r.sku, CASE WHEN n IS NULL THEN 'NO_MATCH' ELSE 'FOUND' END AS status, coalesce(n, 0) AS n, coalesce(best, '') AS candidates FROM r LEFT JOIN c ON r.store = c.store AND r.sku = c.sku""", "observations", more="""o AS (SELECT store, CASE length(d) WHEN 10 THEN d WHEN 6 THEN '0000' || d END AS sku, conf, ts FROM (SELECT *, regexp_replace(sku_text, '[^0-9]', '', 'g') AS d FROM observations)),
   r AS (SELECT l_orderkey * 10 + l_linenumber AS request, (store + 1) % 20 AS store, CASE length(d) WHEN 10 THEN d WHEN 6 THEN '0000' || d END AS sku FROM (SELECT *, regexp_replace(sku_text, '[^0-9]', '', 'g') AS d FROM observations) WHERE (l_orderkey + l_linenumber) % 50 = 0),
   c AS (SELECT store, sku, count(*) AS n, string_agg(conf || '@' || ts, ',' ORDER BY conf DESC, ts) AS best FROM o WHERE sku IS NOT NULL GROUP BY store, sku)"""))

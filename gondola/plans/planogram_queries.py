@@ -93,6 +93,14 @@ def q10_greedy_start(spark, sf_dir):
     return planogram.greedy_start(c, fx.sequence(spark, sf_dir), codes.price_similarity).withColumn("score", _R("score"))
 
 
+@query()
+def q10_greedy_start_all_cells(spark, sf_dir):
+    """As ``q10_greedy_start``, with all cells of each bay."""
+    c = fx.price_cells(spark, sf_dir).where("price IS NOT NULL")
+    c = c.select("bay", "pos", "price", (F.row_number().over(Window.partitionBy("bay").orderBy("pos")) - 1).alias("i"))
+    return planogram.greedy_start(c, fx.sequence(spark, sf_dir), codes.price_similarity).withColumn("score", _R("score"))
+
+
 def _aligned(spark, sf_dir):
     return planogram.fill_alignment(fx.price_cells(spark, sf_dir).select("bay", "pos", "price"), planogram.place_seeds(_seeds(spark, sf_dir)), fx.sequence(spark, sf_dir).select("bay", "loc", "sku", "price"))
 
