@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: A chunk of documents has about this many bytes of text (one longer document makes a chunk by itself).
 CHUNK_BYTES = 1 << 20
-_RNG = np.random.default_rng(20_240_229)
-BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = 0x9E3779B97F4A7C15 | 3
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words are hashed eight bytes a step; what lies beyond this many bytes goes through a byte-string hash.
+LONG_WORD = 256
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,14 +39,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        p = np.full(1 << bits, base, U64)
-        p[0] = 1
-        return np.multiply.accumulate(p)
-
-    return run(BASE), run(INVERSE)
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes. Each step mixes in eight bytes in a way that is not linear in them, so that
+    words made of like parts in another order do not collide as they would under a polynomial modulo 2^64.
+    """
+    size = end - start
+    h = mix(size.astype(U64) + U64(BASE))
+    if not len(h):
+        return h
+    eight = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at, on = start, None
+    for j in range(0, min(LONG_WORD, int(size.max())), 8):
+        if j:
+            on = np.flatnonzero(size > j)
+            at = start[on] + j
+        x = eight[at] & _LOW[np.minimum((size if on is None else size[on]) - j, 8)]
+        now = mix((h if on is None else h[on]) * U64(BASE) ^ mix(x + U64(j + 1)))
+        if on is None:
+            h = now
+        else:
+            h[on] = now
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] ^= U64(xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), BASE))
+    return h
 
 
 class Texts:
@@ -92,11 +107,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, text_at: np.ndarray):
         self.start, self.end, self.at = start, end, np.searchsorted(start, text_at)
-        bits = max(10, int(len(data) + 1).bit_length())
-        power, inverse = _powers(bits)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE[data] * power[: len(data)], out=sums[1:])
-        self.hash = mix((sums[end] - sums[start]) * inverse[start])
+        self.hash = hash_words(data, start, end)
 
     @property
     def n(self) -> np.ndarray:
@@ -126,11 +137,14 @@ class Words:
 
 
 def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of 52-bit hashes of ``n`` <= 4096 owners: (all members, sorted within each owner; where each begins)."""
-    key = np.sort((owner.astype(U64) << U64(52)) | (hashes >> U64(12)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    at = np.searchsorted(key, np.arange(n + 1, dtype=U64) << U64(52)) if n < 4096 else None
-    return key & U64((1 << 52) - 1), at
+    """The sets of hashes of ``n`` <= 4096 owners: (all members, ordered within each owner; where each begins)."""
+    if not len(hashes):
+        return hashes, np.zeros(n + 1, np.int64)
+    key = (owner.astype(U64) << U64(52)) | (hashes >> U64(12))
+    order = np.argsort(key)
+    h, o = hashes[order], owner[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
+    return h[new], np.searchsorted(o[new], np.arange(n + 1))
 
 
 def reduce_by(ufunc, values: np.ndarray, at: np.ndarray, empty) -> np.ndarray:

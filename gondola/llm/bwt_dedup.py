@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.arrays import BASE, BYTE, INVERSE, U64, Texts, mix
+from gondola.llm.arrays import BASE, U64, Texts, mix
 from gondola.llm.common import materialize
 
 PIECE = 1 << 22
+BYTE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def _power(base: int, n: int) -> np.ndarray:

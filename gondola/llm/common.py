@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,6 +18,37 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def scan(items: Column, start: Column, state: str, kind: str, step, last=None, block: int = 128) -> Column:
+    """All that ``step(state, item) -> (state, array of kind)`` puts out, and at the end ``last(state)``, in order.
+
+    A fold copies all that it carries at every step, so that one that gathers its output takes time in the square of the
+    items. Here only the state goes through all items; then each block of items is run from the state at its start.
+    ``state`` and ``kind`` are SQL types.
+    """
+    none, zero = F.array().cast(f"array<{kind}>"), start.cast(state)
+
+    def body(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+        of = lambda i: F.slice(xs, i * block + 1, F.lit(block))
+        through = lambda s, i: F.aggregate(of(i), s, lambda a, x: step(a, x)[0])
+        states = F.aggregate(blocks, F.array(zero), lambda a, i: F.concat(a, F.array(through(F.element_at(a, -1), i))))
+
+        def one(s: Column, i: Column) -> Column:
+            def put(a: Column, x: Column) -> Column:
+                now, out = step(a["s"], x)
+                return F.struct(now.alias("s"), F.concat(a["out"], out).alias("out"))
+
+            return F.aggregate(of(i), F.struct(s.alias("s"), none.alias("out")), put, lambda a: a["out"])
+
+        def run(ss: Column) -> Column:
+            out = F.flatten(F.transform(blocks, lambda i: one(ss[i], i)))
+            return out if last is None else F.concat(out, last(F.element_at(ss, -1)))
+
+        return F.when(F.size(xs) > 0, let(states, run)).otherwise(none if last is None else last(zero))
+
+    return let(items, body)
+
+
 def words(text: Column) -> Column:
     """White-space separated words; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
@@ -43,7 +75,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gondola-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None, sweep: bool = False) -> None:
+    """Deletes tables that ``materialize`` made, once nothing reads them any more. Frames not made by it are left alone.
+
+    With ``sweep``, Spark also lets go of the shuffle files of frames that nothing names any more.
+    """
+    found = [t for t in tables if getattr(t, "scratch_path", None)]
+    if not found:
+        return
+    context = found[0].sparkSession.sparkContext
+    for t in found:
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if sweep:
+        gc.collect()
+        context._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import materialize
+from gondola.llm.common import forget, materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u <> v").distinct())
+        before, pairs = pairs, materialize(small.where("u <> v").distinct())
+        forget(before)
         state = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == last or not state["n"]:
             break
@@ -30,4 +31,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out.scratch_path = pairs.scratch_path
+    return out

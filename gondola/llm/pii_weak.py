@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import let, materialize
+from gondola.llm.common import let, scan
 
 # fixed values: patterns of the base kinds, in the order of report
 BASE = {
@@ -78,17 +78,15 @@ SPAN = "array<struct<start:int,end:int,m:string>>"
 def _find(kind: str, pattern: str, t: Column) -> Column:
     """Spans of ``pattern`` in ``t``: what lies between matches gives the places of the matches."""
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def places(ms: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + F.length(x["gap"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            begin = at + F.length(x["gap"])
             end = begin + F.length(x["m"])
-            one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"))).cast(SPAN)
-            return F.struct(end.alias("at"), F.concat(a["out"], one).alias("out"))
+            return end, F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"))).cast(SPAN)
 
         pairs = F.zip_with(F.split(t, pattern, -1), ms, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        return F.when(F.size(ms) == 0, none).otherwise(F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"]))
+        return F.when(F.size(ms) == 0, none).otherwise(scan(F.filter(pairs, lambda x: x["m"].isNotNull()), F.lit(0), "int", "struct<start:int,end:int,m:string>", step))
 
     found = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), places)
     if kind in NEEDS:
@@ -221,8 +219,10 @@ def decide(annotated: DataFrame, model: SpanModel) -> DataFrame:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``added``. What the scan finds is written once, with the columns of ``docs``."""
-    annotated = materialize(annotate(docs))
+    """``docs`` with ``base`` and ``added``. The texts are scanned twice, for the votes and for the result: a table of
+    them would double the space that they take.
+    """
+    annotated = annotate(docs)
     return decide(annotated, fit(annotated))
 
 
@@ -246,14 +246,10 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     part = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     every = F.array_sort(F.concat(*[part(k, F.col(f"base.{k}")) for k in BASE], F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        begin = F.greatest(a["at"], s["start"])
-        piece = F.array(F.substring(t, a["at"] + 1, begin - a["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] < a["at"], F.array().cast("array<string>")).otherwise(piece)).alias("out"))
-        )
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.array(F.substring(t, at + 1, s["start"] - at), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(piece)
 
-    clean = F.aggregate(every, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    clean = F.array_join(scan(every, F.lit(0), "int", "string", step, lambda at: F.array(F.substring(t, at + 1, F.length(t)))), "")
     return found.withColumn(text, F.when(F.size(every) > 0, clean).otherwise(t)).drop("base", "added")

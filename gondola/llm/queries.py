@@ -14,7 +14,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_dedup.link(table(spark, sf_dir, "documents"), k=2)
+    return minmax_dedup.link(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
