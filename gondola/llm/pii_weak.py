@@ -92,7 +92,7 @@ def _find(kind: str, pattern: str, t: Column) -> Column:
     if kind in NEEDS:
         piece = reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in NEEDS[kind]])
         found = F.when(piece, found).otherwise(none)
-    return found if kind in ("email", *CANDIDATES) else F.filter(found, lambda s: _passes(kind, s["m"]))
+    return found if kind == "email" else F.filter(found, lambda s: _passes(kind, s["m"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -101,10 +101,9 @@ def base_spans(text: Column) -> Column:
     return F.struct(*[_find(k, p, t).alias(k) for k, p in BASE.items()])
 
 
-def _votes(kind: str, t: Column, s: Column) -> Column:
+def _votes(kind: str, s: Column) -> Column:
     """struct of a vote (1, 0, -1) a labeler, and a length class."""
-    m, n = s["m"], F.length(s["m"])
-    before = F.lower(F.substring(t, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
+    m, n, before, after = s["m"], F.length(s["m"]), F.lower(s["before"]), s["after"]
     digits = n - F.length(F.translate(m, "0123456789", ""))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     names = SECRET_WORDS if kind == "secret" else PERSON_WORDS
@@ -118,26 +117,65 @@ def _votes(kind: str, t: Column, s: Column) -> Column:
         mixture = vote(digits.between(9, 15), digits < 7)
     else:
         shape, mixture = F.lit(1), vote(n >= 10, n < 8)
-    after = F.substring(t, s["end"] + 1, F.lit(8))
     neighbours = vote(after.rlike("^[\"']"), after.rlike(r"^\s*[%*/=€$|]") | before.rlike(r"[0-9]\s*$"))
     votes = dict(zip(LABELERS, (shape, gazetteer, context, mixture, neighbours), strict=True))
     return F.struct(*[v.cast("int").alias(k) for k, v in votes.items()], F.least(F.floor(n / 16), F.lit(4)).cast("int").alias("size"))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<kind, start, end, m, v>> of candidate spans that touch no base span."""
-    t = F.coalesce(text, F.lit(""))
-    taken = F.concat(*[base[k] for k in BASE])
+EVENT = "struct<start:int,who:int,end:int,m:string,before:string,after:string>"
+
+
+def _proposed(kind: str, pattern: str, t: Column) -> Column:
+    """array<EVENT> of the matches of ``pattern``, with up to 24 characters before and 8 after (up to the next match's end)."""
+    none = F.array().cast(f"array<{EVENT}>")
+
+    def places(pairs: Column) -> Column:
+        def step(a: Column, x: Column) -> tuple[Column, Column]:
+            begin, before = a["at"] + F.length(x["gap"]), F.right(F.concat(a["tail"], x["gap"]), F.lit(24))
+            end = begin + F.length(x["m"])
+            one = F.struct(begin.alias("start"), F.lit(1).alias("who"), end.alias("end"), x["m"].alias("m"), before.alias("before"), F.left(x["next"], F.lit(8)).alias("after"))
+            return F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(24)).alias("tail")), F.array(one)
+
+        nxt = lambda i: F.concat(F.get(pairs, i + 1)["gap"], F.coalesce(F.get(pairs, i + 1)["m"], F.lit("")))
+        items = F.transform(F.slice(pairs, 1, F.size(pairs) - 1), lambda x, i: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), nxt(i).alias("next")))
+        return scan(items, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), "struct<at:int,tail:string>", EVENT, step)
+
+    def found(ms: Column) -> Column:
+        pairs = F.zip_with(F.split(t, pattern, -1), ms, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+        return F.when(F.size(ms) == 0, none).otherwise(let(pairs, places))
+
+    every = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), found)
+    if kind in NEEDS:
+        every = F.when(reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in NEEDS[kind]]), every).otherwise(none)
+    return every
 
-    def free(found: Column) -> Column:
-        clear = lambda bs: F.filter(found, lambda s: ~F.exists(bs, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return let(taken, clear)
 
-    return F.concat(*[F.transform(free(_find(kind, pattern, t)), _judged(kind, t)) for kind, pattern in CANDIDATES.items()])
+def _free(found: Column, base: Column) -> Column:
+    """Those of ``found`` that touch no base span: one pass over both in order of their starts."""
+    span = lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("who"), s["end"].alias("end"), *[F.lit("").alias(x) for x in ("m", "before", "after")])
+    none, nobody = F.array().cast(f"array<{EVENT}>"), F.lit(None).cast(EVENT)
 
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        is_base, open_ = x["who"] == 0, a["open"]
+        hit = is_base & open_.isNotNull() & (x["start"] < open_["end"])
+        kept = F.when(hit, nobody).when(is_base, open_).when(x["start"] < a["upto"], nobody).otherwise(x)
+        upto = F.when(is_base, F.greatest(a["upto"], x["end"])).otherwise(a["upto"])
+        return F.struct(upto.alias("upto"), kept.alias("open")), F.when(~is_base & open_.isNotNull(), F.array(open_)).otherwise(none)
 
-def _judged(kind: str, t: Column):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), _votes(kind, t, s).alias("v"))
+    def all_of(fs: Column) -> Column:
+        events = F.array_sort(F.concat(fs, *[F.transform(base[k], span) for k in BASE]))
+        last = lambda a: F.when(a["open"].isNotNull(), F.array(a["open"])).otherwise(none)
+        start = F.struct(F.lit(0).alias("upto"), nobody.alias("open"))
+        return F.when(F.size(fs) == 0, none).otherwise(scan(events, start, f"struct<upto:int,open:{EVENT}>", EVENT, step, last))
+
+    return let(found, all_of)
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """array<struct<kind, start, end, m, v>> of candidate spans that touch no base span."""
+    t = F.coalesce(text, F.lit(""))
+    judged = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), _votes(kind, s).alias("v"))
+    return F.concat(*[F.transform(_free(_proposed(kind, pattern, t), base), judged(kind)) for kind, pattern in CANDIDATES.items()])
 
 
 @dataclass
@@ -245,11 +283,30 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``decide``'s rows with every span replaced by its kind in angle brackets; spans that overlap count as one."""
     part = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     every = F.array_sort(F.concat(*[part(k, F.col(f"base.{k}")) for k in BASE], F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    t = F.col(text)
+    t, kind = F.col(text), "struct<start:int,end:int,kind:string>"
+
+    # spans that start inside an earlier one go; it reaches to the end of the last that does
+    def merged(a: Column, s: Column) -> tuple[Column, Column]:
+        wider = F.struct(a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"), a["kind"].alias("kind"))
+        apart = a.isNull() | (s["start"] >= a["end"])
+        return F.when(apart, s).otherwise(wider), F.when(apart & a.isNotNull(), F.array(a)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    spans = scan(every, F.lit(None).cast(kind), kind, kind, merged, lambda a: F.when(a.isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array(a)))
+
+    def clean(ms: Column) -> Column:
+        # a block of spans cuts its own piece of the text: to find a place in a text takes time in the text's length
+        after = lambda j: F.when(j > 0, F.get(ms, j - 1)["end"]).otherwise(0)
+
+        def block(first: Column, end: Column) -> Column:
+            def pieces(piece: Column) -> Column:
+                one = lambda j: F.concat(F.substring(piece, after(j) - after(first) + 1, F.get(ms, j)["start"] - after(j)), F.lit("<"), F.upper(F.get(ms, j)["kind"]), F.lit(">"))
+                return F.array_join(F.transform(F.sequence(first, end), one), "")
+
+            return let(F.substring(t, after(first) + 1, F.get(ms, end)["start"] - after(first)), pieces)
 
-    def step(at: Column, s: Column) -> tuple[Column, Column]:
-        piece = F.array(F.substring(t, at + 1, s["start"] - at), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(piece)
+        last = F.size(ms) - 1
+        starts = F.sequence(F.lit(0), F.floor(last / 128).cast("int"))
+        blocks = F.transform(starts, lambda i: block(i * 128, F.least(i * 128 + 127, last)))
+        return F.when(last < 0, t).otherwise(F.concat(F.array_join(blocks, ""), F.substring(t, F.get(ms, last)["end"] + 1, F.length(t))))
 
-    clean = F.array_join(scan(every, F.lit(0), "int", "string", step, lambda at: F.array(F.substring(t, at + 1, F.length(t)))), "")
-    return found.withColumn(text, F.when(F.size(every) > 0, clean).otherwise(t)).drop("base", "added")
+    return found.withColumn(text, F.when(F.size(every) > 0, let(spans, clean)).otherwise(t)).drop("base", "added")
