@@ -10,31 +10,42 @@ from gondola.llm.common import materialize, table
 
 
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model calls good with probability 1/2 or more."""
+    """Documents that the ordinal model calls good with probability 1/2 or more.
+
+    Rows are judged one by one, whatever their ids. Null and empty texts go. Without any rating, all texts with words stay.
+    """
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.select_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies (five words a shingle, similarity 0.8 or more).
+    """One document, that of the smallest id, of each group of near copies (five words a shingle, similarity 0.8 or more).
 
-    Rows that repeat an id become one (the least row); rows without an id can't be named and stay.
+    Rows are documents: rows of one id with different texts are judged apart, and of a group without ids one row stays.
+    Of rows that agree in id and text, the least in the other columns stays. Texts without words are copies of nothing.
     """
+    key = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__null": F.col("doc_id").isNull(), "__h": F.xxhash64("text")}
     groups = minmax_dedup.link(docs)
-    ids = materialize(groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("d"))
-    return one.select("doc_id", "d.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = groups.where("first AND n_shingles > 0").select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("h").alias("__h"))
+    named = materialize(named)
+    others = [c for c in docs.columns if c != "text"]
+    # the join deals the texts out by this key, and the grouping needs no other order
+    one = docs.withColumns(key).join(named.hint("shuffle_hash"), list(key), "left_semi").groupBy(*key).agg(F.min(F.struct(*others, "text")).alias("d"))
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return one.select("d.*").select(*docs.columns).unionByName(docs.where(~some))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lie in benchmark phrases."""
+    """Documents of whose words less than a twentieth lie in benchmark phrases.
+
+    Rows are judged one by one, whatever their ids; null and empty texts stay, as does all without a benchmark.
+    """
     found = fm_decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the kind of data."""
+    """All rows, personal data replaced by the kind of data; null texts stay null, and ids play no part."""
     clean = pii_weak.redact(pii_weak.detect(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,16 +53,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with copies and taken words; rows without an id are numbered for it."""
-    nameless = materialize(docs.where("doc_id IS NULL").withColumn("row", F.monotonically_increasing_id()))
-    named = docs.where("doc_id IS NOT NULL")
-    mixed = pivotal_mix.mix(named.withColumn("row", F.lit(None).cast("bigint")).unionByName(nameless), row="row").where("copies > 0")
-    by_id, by_row = mixed.where("doc_id IS NOT NULL").groupBy("doc_id"), mixed.where("doc_id IS NULL").groupBy("row")
-    out = []
-    for rows, taken, key in ((named, by_id, "doc_id"), (nameless, by_row, "row")):
-        taken = materialize(taken.agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")))
-        out.append(rows.join(taken, key).select(*docs.columns, "copies", "taken"))
-    return out[0].unionByName(out[1])
+    """The documents that the mix takes, with copies and taken words.
+
+    Rows are numbered for it, so that each has its own copies, with or without an id. Null sources form one source;
+    texts without words have size 0 and are taken only where whole copies are due.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = materialize(pivotal_mix.mix(numbered, row="__row").where("copies > 0").select(F.col("row").alias("__row"), "copies", "taken"))
+    return numbered.join(taken.hint("shuffle_hash"), "__row").select(*docs.columns, "copies", "taken")
 
 
 STAGES = [
