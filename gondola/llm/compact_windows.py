@@ -3,15 +3,19 @@
 Tokens are five-word shingles of the lower-cased text. Under one hash, all subsequences that share the same smallest
 token form few groups: a window (l, c, r) stands for every subsequence that begins in [l, c] and ends in [c, r], where
 c holds the smallest hash between l and r. These are the nodes of the Cartesian tree over the token hashes; those at
-least ``width`` tokens wide are kept, about 2 / width a token. Two passages of similarity s lie in windows with equal
-hashes with probability s under each hash; candidates need one of 4 hashes to agree (0.9984 at similarity 0.8).
+least ``width`` tokens wide are kept, about 2 / width a token.
 
-Windows meet on their smallest hash. In each of ``rounds`` rounds all windows of one hash value are compared with a
-leader; then the windows that lie in no confirmed span yet are compared with every other window of their hash value,
-confirmed ones included. The collisions of a pair of texts, under all hashes, are joined as intervals that overlap in
-both texts, and make candidate regions; the regions' words are then compared. A passage is verified where its distinct
-shingles and those of its counterpart have similarity 0.8 or more and both have ``min_words`` words. The last
-comparison grows with the square of what stays open under a hash value.
+One hash alone would bring together all texts that share a frequent phrase. So hashes are taken two by two: where two
+windows of a text, one of either hash, overlap such that one subsequence lies in both, their intersection (l, first c,
+last c, r) stands for all subsequences with that pair of smallest tokens. Two passages of similarity s lie in windows
+of equal keys with probability s^2 for a pair; with 4 pairs one of them agrees with probability 0.983 at similarity
+0.8 (0.994 at 0.85, 0.9987 at 0.9), and a longer passage has more than one chance.
+
+In each of ``rounds`` rounds all windows of a key are compared with one leader; then the windows that lie in no
+confirmed span are compared with every other window of their key, confirmed ones included. The collisions of a pair of
+texts, under all keys, are joined as intervals that overlap in both texts, and make candidate regions; the regions'
+words are then compared. A passage is verified where its distinct shingles and those of its counterpart have similarity
+0.8 or more and both have ``min_words`` words.
 
 Texts with equal bytes are folded first: each copy is a repeat as a whole, and one of them goes on. Null, empty and
 short texts have no passages. Rows that repeat an id are documents of their own. Extra columns are ignored.
@@ -23,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import NON_SPACE, U64, Texts, mix
-from gondola.llm.common import materialize
+from gondola.llm.common import forget, materialize, scan
 
 SHINGLE = 5
 
@@ -89,93 +93,103 @@ def _tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.concatenate([[0], np.cumsum(np.maximum(w.n - SHINGLE + 1, 0))])
 
 
-def all_windows(texts: DataFrame, hashes: int, width: int) -> DataFrame:
-    """key, t (name of the text), m (the place c), w (l << 32 | r) for the windows under all hashes."""
+def crossed(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], width: int) -> tuple[np.ndarray, ...]:
+    """(window of one, window of two, l, first c, last c, r) of all subsequences of ``width`` tokens that lie in both."""
+    (l1, c1, r1), (l2, c2, r2) = one, two
+    first = np.searchsorted(c2, l1)
+    many = np.searchsorted(c2, r1, "right") - first
+    i = np.repeat(np.arange(len(c1)), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    low, high = np.maximum(l1[i], l2[j]), np.minimum(r1[i], r2[j])
+    begin, end = np.minimum(c1[i], c2[j]), np.maximum(c1[i], c2[j])
+    on = (low <= begin) & (end <= high) & (high - low + 1 >= width)
+    return i[on], j[on], low[on], begin[on], end[on], high[on]
+
+
+def all_windows(texts: DataFrame, pairs: int, width: int) -> DataFrame:
+    """key, t (name of the text), m (first c << 32 | last c), w (l << 32 | r) for the windows under all pairs of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             name = b.column("t").to_numpy()
             for lo, _, t in Texts.chunks(b.column("text")):
                 token, at = _tokens(t)
-                for i in range(hashes):
-                    x = mix(token ^ mix(np.full(1, i + 1, U64)))
-                    left, c, right = windows(x, at, width)
-                    text = np.searchsorted(at, c, "right") - 1
+                for i in range(pairs):
+                    x, y = (mix(token ^ mix(np.full(1, 2 * i + j + 1, U64))) for j in (0, 1))
+                    one, two = windows(x, at, width), windows(y, at, width)
+                    u, v, low, begin, end, high = crossed(one, two, width)
+                    key = mix(mix(x[one[1][u]] + U64(i)) * U64(0x9E3779B97F4A7C15) + y[two[1][v]])
+                    text = np.searchsorted(at, begin, "right") - 1
                     # places within the text, which has less than 2^31 bytes
-                    l, m, r = (y - at[text] for y in (left, c, right))
-                    key = (mix(x[c] + U64(i)) & ~U64(7)) | U64(i)  # the hash's number in the last bits
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[text + lo]), pa.array(m), pa.array((l << 32) | r)], ["key", "t", "m", "w"])
+                    l, c, d, r = (z - at[text] for z in (low, begin, end, high))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[text + lo]), pa.array((c << 32) | d), pa.array((l << 32) | r)], ["key", "t", "m", "w"])
 
     return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint")
 
 
-def _regions(pairs: DataFrame, enough: int, slack: int = 8) -> DataFrame:
-    """a, b, and the regions of both that overlapping collisions of a pair cover (shingle places, ends included), where
-    they come from at least ``enough`` hashes.
-    """
+def _regions(pairs: DataFrame, slack: int = 8) -> DataFrame:
+    """a, b, and the regions of both that overlapping collisions of a pair cover (shingle places, ends included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list[int]] = {k: [] for k in ("a", "b", "a1", "a2", "b1", "b2")}
-            for a, b, hits in zip(batch.column("a").to_numpy(), batch.column("b").to_numpy(), batch.column("hits"), strict=True):
-                wa = hits.values.field("wa").to_numpy()
-                wb = hits.values.field("wb").to_numpy()
-                fn = hits.values.field("fn").to_numpy()
-                if len(np.unique(fn)) < enough:
-                    continue
-                (l1, r1), (l2, r2) = ((w >> 32, w & 0xFFFFFFFF) for w in (wa, wb))
-                shift = hits.values.field("mb").to_numpy() - hits.values.field("ma").to_numpy()
-                # what both windows cover, once their smallest tokens stand on each other, and a little more
-                low, high = np.maximum(l1, l2 - shift), np.minimum(r1, r2 - shift)
+            column = batch.column("hits")
+            field = {k: column.values.field(k).to_numpy() for k in ("ma", "wa", "mb", "wb")}
+            (l1, r1), (l2, r2) = ((w >> 32, w & 0xFFFFFFFF) for w in (field["wa"], field["wb"]))
+            shifts = (field["mb"] >> 32) - (field["ma"] >> 32)
+            # what both windows cover, once their smallest tokens stand on each other, and a little more
+            lows, highs = np.maximum(l1, l2 - shifts), np.minimum(r1, r2 - shifts)
+            at = column.offsets.to_numpy()
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), at[:-1], at[1:], strict=True):
                 # by start; a stretch joins all open regions that it overlaps at a like shift
                 done: list[list[int]] = []
                 near: list[list[int]] = []
-                for i in np.argsort(low, kind="stable"):
-                    one = [int(low[i]), int(high[i]), int(shift[i]), int(shift[i]), 1 << int(fn[i])]
-                    at, apart = one[0], []
+                hits = sorted(set(zip(lows[x:y].tolist(), highs[x:y].tolist(), shifts[x:y].tolist(), strict=True)))
+                for low, high, shift in hits:
+                    one, apart = [low, high, shift, shift], []
                     for r in near:
-                        if r[1] + slack < at:
+                        if r[1] + slack < low:
                             done.append(r)
-                        elif r[2] - 16 <= shift[i] <= r[3] + 16:
-                            one = [min(r[0], one[0]), max(r[1], one[1]), min(r[2], one[2]), max(r[3], one[3]), r[4] | one[4]]
+                        elif r[2] - 16 <= shift <= r[3] + 16:
+                            one = [min(r[0], one[0]), max(r[1], one[1]), min(r[2], one[2]), max(r[3], one[3])]
                         else:
                             apart.append(r)
                     near = [*apart, one]
-                for lo, hi, s1, s2, fns in done + near:
-                    if fns.bit_count() < enough:
-                        continue
+                for lo, hi, s1, s2 in done + near:
                     rows["a"].append(a), rows["b"].append(b)
-                    rows["a1"].append(lo), rows["a2"].append(hi), rows["b1"].append(lo + s1), rows["b2"].append(hi + s2)
+                    rows["a1"].append(max(0, lo)), rows["a2"].append(hi), rows["b1"].append(max(0, lo + s1)), rows["b2"].append(hi + s2)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
 
-    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ma", "wa", "mb", "wb", "fn")).alias("hits"))
+    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ma", "wa", "mb", "wb")).alias("hits"))
     return each.mapInArrow(run, "a bigint, b bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def _slices(texts: DataFrame, classes: DataFrame, sides: DataFrame) -> DataFrame:
-    """sides: t, p (pair), side, lo, hi (shingle places) -> p, side, lo (first word), words (the region's text).
-
-    A text's bytes come from its first document.
+def _slices(texts: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
+    """places: t, lo, hi (shingle places) -> t, lo, hi, words (the region's text). A text's bytes come from its first
+    document; a leader's region is cut once, however many texts are compared with it.
     """
-    each = sides.groupBy("t").agg(F.collect_set(F.struct("p", "side", "lo", "hi")).alias("s")).join(classes.select("t", "rep"), "t")
+    each = places.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("s")).join(classes.select("t", "rep"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column("s")
+            column, name = b.column("s"), b.column("t").to_pylist()
             for lo, hi, t in Texts.chunks(b.column("text")):
                 w = t.words(NON_SPACE)
                 raw = t.data.tobytes()
-                out: dict[str, list] = {k: [] for k in ("p", "side", "lo", "words")}
+                out: dict[str, list] = {k: [] for k in ("t", "lo", "hi", "words")}
                 for i in range(hi - lo):
                     first, count = w.at[i], w.at[i + 1] - w.at[i]
                     for s in column[lo + i].as_py():
-                        x, y = max(0, s["lo"]), min(count, s["hi"] + SHINGLE)
+                        x, y = s["lo"], min(count, s["hi"] + SHINGLE)
                         if x < y:
-                            out["p"].append(s["p"]), out["side"].append(s["side"]), out["lo"].append(x)
+                            out["t"].append(name[lo + i]), out["lo"].append(x), out["hi"].append(s["hi"])
                             out["words"].append(raw[w.start[first + x] : w.end[first + y - 1]].decode())
-                yield pa.RecordBatch.from_arrays([pa.array(out["p"], pa.int64()), pa.array(out["side"], pa.int32()), pa.array(out["lo"], pa.int64()), pa.array(out["words"], pa.string())], list(out))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    return texts.join(each, "t").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "s").mapInArrow(run, "p bigint, side int, lo bigint, words string")
+    # a text repeated under one id gives its slices again; equal rows become one
+    found = texts.join(each.hint("shuffle_hash"), "t").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    return found.select("t", "text", "s").mapInArrow(run, "t bigint, lo bigint, hi bigint, words string").dropDuplicates(["t", "lo", "hi"])
 
 
 def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int) -> list[tuple[int, int, int, int]]:
@@ -184,9 +198,14 @@ def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int) -> list
     common = np.intersect1d(x, y)
     if not len(common):
         return found
-    match = np.flatnonzero(np.isin(x, common))
-    first_y = {h: i for i, h in reversed(list(enumerate(y.tolist())))}
-    in_y = np.array([first_y[h] for h in x[match].tolist()])
+    match, there = np.flatnonzero(np.isin(x, common)), np.flatnonzero(np.isin(y, common))
+    # the regions begin side by side: of a token's places in y, the one nearest to its place in x
+    held = np.sort((np.searchsorted(common, y[there]) << 32) | there)
+    want = (np.searchsorted(common, x[match]) << 32) | match
+    after = np.searchsorted(held, want)
+    low, high = held[np.maximum(after - 1, 0)], held[np.minimum(after, len(held) - 1)]
+    far = lambda k: np.where(k >> 32 == want >> 32, np.abs(k - want), 1 << 40)
+    in_y = np.where(far(low) <= far(high), low, high) & 0xFFFFFFFF
     free = np.ones(len(match), bool)
     for gap in (12, 6, 2, 0):
         left = np.flatnonzero(free)
@@ -206,13 +225,14 @@ def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int) -> list
     return found
 
 
-def _verify(slices: DataFrame, min_words: int, percent: int) -> DataFrame:
-    """p, and the word spans [a1, a2) and [b1, b2) of verified passages."""
-    half = lambda s: slices.where(F.col("side") == s).select("p", F.col("lo").alias(f"lo{s}"), F.col("words").alias(f"words{s}"))
+def _verify(regions: DataFrame, slices: DataFrame, min_words: int, percent: int) -> DataFrame:
+    """a, b, and the word spans [a1, a2) and [b1, b2) of verified passages."""
+    side = lambda x, s: slices.select(F.col("t").alias(x), F.col("lo").alias(f"{x}1"), F.col("hi").alias(f"{x}2"), F.col("words").alias(f"words{s}"))
+    both = regions.join(side("a", 0), ["a", "a1", "a2"]).join(side("b", 1), ["b", "b1", "b2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list[int]] = {k: [] for k in ("p", "a1", "a2", "b1", "b2")}
+            out: dict[str, list[int]] = {k: [] for k in ("a", "b", "a1", "a2", "b1", "b2")}
             sides = []
             for s in (0, 1):
                 token: list[np.ndarray] = []
@@ -220,37 +240,42 @@ def _verify(slices: DataFrame, min_words: int, percent: int) -> DataFrame:
                     h, at = _tokens(t)
                     token += [h[at[i] : at[i + 1]] for i in range(t.n)]
                 sides.append(token)
-            for p, lo0, lo1, x, y in zip(b.column("p").to_pylist(), b.column("lo0").to_pylist(), b.column("lo1").to_pylist(), *sides, strict=True):
+            names = (b.column(c).to_pylist() for c in ("a", "b", "a1", "b1"))
+            for u, v, lo0, lo1, x, y in zip(*names, *sides, strict=True):
                 for x1, x2, y1, y2 in passages(x, y, min_words, percent):
-                    out["p"].append(p)
-                    for k, v in (("a1", lo0 + x1), ("a2", lo0 + x2 + SHINGLE), ("b1", lo1 + y1), ("b2", lo1 + y2 + SHINGLE)):
-                        out[k].append(v)
+                    for k, z in zip(out, (u, v, lo0 + x1, lo0 + x2 + SHINGLE, lo1 + y1, lo1 + y2 + SHINGLE), strict=True):
+                        out[k].append(z)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    return half(0).join(half(1), "p").mapInArrow(run, "p bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return both.select("a", "b", "a1", "b1", "words0", "words1").mapInArrow(run, "a bigint, b bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+
 
+SPANS = "struct<lo:bigint,hi:bigint>"
 
-def _no_spans():
-    return F.array().cast("array<struct<lo:bigint,hi:bigint>>")
 
+def merged(spans: Column) -> Column:
+    """Sorted spans, joined where they touch."""
+    none = F.array().cast(f"array<{SPANS}>")
 
-def _join(a, s):
-    """Spans in order, and the next one: joined where they touch."""
-    last = F.element_at(a, -1)
-    wider = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
-    return F.when((F.size(a) > 0) & (s["lo"] <= last["hi"]), wider).otherwise(F.concat(a, F.array(s)))
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
+        apart = a.isNull() | (s["lo"] > a["hi"])
+        wider = F.struct(a["lo"].alias("lo"), F.greatest(a["hi"], s["hi"]).alias("hi"))
+        return F.when(apart, s).otherwise(wider), F.when(apart & a.isNotNull(), F.array(a)).otherwise(none)
+
+    return scan(spans, F.lit(None).cast(SPANS), SPANS, SPANS, step, lambda a: F.when(a.isNull(), none).otherwise(F.array(a)))
 
 
 def open_windows(members: DataFrame, spans: DataFrame | None) -> DataFrame:
-    """``members`` with ``open``: whether the smallest token lies inside none of its text's confirmed spans (t, lo, hi)."""
+    """``members`` with ``open``: whether the smallest tokens lie inside none of their text's confirmed spans (t, lo, hi)."""
     if spans is None:
         return members.withColumn("open", F.lit(True))
-    done = spans.groupBy("t").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("lo", "hi"))), _no_spans(), _join).alias("s"))
-    inside = F.exists("s", lambda s: (s["lo"] <= F.col("m")) & (F.col("m") + SHINGLE <= s["hi"]))
+    done = spans.groupBy("t").agg(merged(F.array_sort(F.collect_set(F.struct("lo", "hi")))).alias("s"))
+    first, last = F.shiftright("m", 32), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
+    inside = F.exists("s", lambda s: (s["lo"] <= first) & (last + SHINGLE <= s["hi"]))
     return members.join(done, "t", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("s")
 
 
-def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashes: int = 4, enough: int = 1, rounds: int = 2) -> DataFrame:
+def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs: int = 4, rounds: int = 2) -> DataFrame:
     """A row for each document that has a passage found elsewhere: doc_id, n_words, n_repeated (words), spans
     (``start:end`` word places, comma-joined), copies (documents with this very text, itself included), like_id (the
     least id of a text that has such a passage).
@@ -259,10 +284,13 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashe
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     classes = materialize(named.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
-    found = all_windows(named, hashes, width)
+    found = all_windows(named, pairs, width)
     often = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     # copies of a text have the same windows: one of each stays
-    members = materialize(found.join(often, "key", "left_semi").distinct())
+    members = found.join(often.hint("merge"), "key", "left_semi").distinct()
+    several = materialize(members)
+    members = materialize(several.join(several.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "key", "left_semi"))
+    forget(several)
     seen = spans = None
     for turn in range(rounds + 1):
         now = open_windows(members, spans)
@@ -278,33 +306,31 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, hashe
             met = own.join(other, "key").where("(t <> t2 OR m <> m2) AND (NOT open2 OR struct(t, m) < struct(t2, m2))")
         # a pair of texts has one order, whoever leads
         two = F.array_sort(F.array(F.struct("t", "m", "w"), F.struct(F.col("t2").alias("t"), F.col("m2").alias("m"), F.col("w2").alias("w"))))
-        met = met.select("key", two.alias("two"))
-        fn = F.col("key").bitwiseAND(F.lit(7).cast("bigint")).cast("int").alias("fn")
+        met = met.select(two.alias("two"))
         side = lambda i, names: [F.col("two")[i][x].alias(y) for x, y in zip(("t", "m", "w"), names, strict=True)]
-        regions = _regions(met.select(*side(0, ("a", "ma", "wa")), *side(1, ("b", "mb", "wb")), fn), enough)
+        regions = _regions(met.select(*side(0, ("a", "ma", "wa")), *side(1, ("b", "mb", "wb"))))
         if seen is not None:
             regions = regions.join(seen, ["a", "b", "a1", "a2", "b1", "b2"], "left_anti")
-        regions = materialize(regions.withColumn("p", F.xxhash64("a", "b", "a1", "a2", "b1", "b2")))
-        key = regions.drop("p")
-        seen = key if seen is None else seen.unionByName(key)
-        sides = regions.select(F.col("a").alias("t"), "p", F.lit(0).alias("side"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
-            regions.select(F.col("b").alias("t"), "p", F.lit(1).alias("side"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
-        )
-        good = _verify(_slices(named, classes, sides), min_words, percent)
-        whose = regions.select("p", "a", "b").join(good, "p")
-        both = whose.select(F.col("a").alias("t"), F.col("b").alias("other"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
-            whose.select(F.col("b").alias("t"), F.col("a").alias("other"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
+        regions = materialize(regions)
+        seen = regions if seen is None else seen.unionByName(regions)
+        side = lambda x: regions.select(F.col(x).alias("t"), F.col(f"{x}1").alias("lo"), F.col(f"{x}2").alias("hi"))
+        slices = materialize(_slices(named, classes, side("a").unionByName(side("b"))))
+        good = materialize(_verify(regions, slices, min_words, percent))
+        forget(slices)
+        both = good.select(F.col("a").alias("t"), F.col("b").alias("other"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
+            good.select(F.col("b").alias("t"), F.col("a").alias("other"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
         )
-        both = materialize(both)
         spans = both if spans is None else spans.unionByName(both)
     other = spans.join(classes.select(F.col("t").alias("other"), F.col("rep").alias("like")), "other")
     by_text = other.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"), F.min("like").alias("like"))
     n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    by_text = materialize(by_text.select("t", merged(F.col("s")).alias("s"), "like"))
+    forget(members, sweep=True)
     sized = named.select("doc_id", "t", n_words.alias("n_words")).join(classes, "t").join(by_text, "t", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= min_words)
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_words").alias("hi")))
-    merged = sized.withColumn("s", F.when(copied, whole).when(F.col("s").isNotNull(), F.aggregate("s", _no_spans(), _join))).where(F.size("s") > 0)
-    return merged.select(
+    marked = sized.withColumn("s", F.when(copied, whole).otherwise(F.col("s"))).where(F.size("s") > 0)
+    return marked.select(
         "doc_id", "n_words",
         F.aggregate("s", F.lit(0).cast("bigint"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_repeated"),
         F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["lo"], s["hi"])), ",").alias("spans"),
