@@ -10,8 +10,11 @@ one, so that they travel as segments. A key that one segment has can't repeat. F
   string intervals are extended backwards, breadth first: all strings of one length, then the next. An interval's right
   end gets its common-prefix value the first time that it appears, so values come in increasing order, and the search
   stops at ``length``: neighbours that have no value by then share ``length`` bytes or more. No prefix array is made;
-- a key with more than ``hot`` contents (a boundary that very many documents share) is not gathered: its strings are
-  counted by 128-bit fingerprint, combined before the shuffle.
+- a key with more contents than a shard takes (a phrase that very many documents share) is split first. All strings of
+  a key hold its gram, and those that hold it at nearly the same place also have the bytes around it in common. So the
+  strings are divided by the place of the gram into ranges, and keyed anew by the bytes that all strings of the range
+  cover: equal strings still meet. Folding and transforms then go on as above; what is still too large is divided into
+  narrower ranges, down to single strings, which only equal ones can join.
 
 Texts are UTF-8 bytes; null texts are empty, and texts under ``length`` bytes lose nothing. Rows are documents, also if
 they repeat an id or a text (then both copies repeat). Extra columns are ignored.
@@ -24,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import BASE, U64, Texts, mix
-from gondola.llm.common import materialize
+from gondola.llm.common import forget, materialize
 
 PIECE = 1 << 22
-BYTE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: A segment has fewer strings than this.
+STRINGS = 1 << 15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -42,23 +47,27 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class _Rolling:
-    """Hashes of any stretch of some bytes."""
+    """Hashes of any stretch of eight bytes or more: a polynomial over mixed eight-byte strings, not over bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE[data] * _power(BASE, len(data)), out=self.sums[1:])
-        self.inverse = _power(INVERSE, len(data) + 1)
+        n = max(0, len(data) - 7)
+        eight = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) if n else np.zeros(0, U64)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(mix(eight ^ U64(BASE)) * _power(BASE, n), out=self.sums[1:])
+        self.inverse = _power(INVERSE, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return mix((self.sums[end - 7] - self.sums[start]) * self.inverse[start])
 
     def all(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+        n = max(0, len(self.sums) - (size - 7))
+        return mix((self.sums[size - 7 :] - self.sums[:n]) * self.inverse[:n])
 
 
 def _segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, key, content, start, number of strings) of each segment; starts are within the text."""
+    """(text, key, content, start, number of strings and place of the gram in the first) of each segment; starts are
+    within the text, and the last two are packed in one number (see ``STRINGS``).
+    """
     none = (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     size = np.diff(at)
     if not len(data) or size.max() < length:
@@ -86,7 +95,7 @@ def _segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple
     start, m = valid[first], w[first]
     content = mix(roll.of(start, start + count + length - 1) + mix((m - start).astype(U64) * U64(1 << 20) + count.astype(U64)))
     text = np.searchsorted(at, start, "right") - 1
-    return text, grams[m], content, start - at[text], count
+    return text, grams[m], content, start - at[text], (m - start) * STRINGS + count
 
 
 def _pieces(t: Texts, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -216,36 +225,50 @@ def _expand(contents: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted segments (d, h, key, content, start, n, hot)."""
-    each = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("key", "content", "start", "n", "hot")).alias("w"))
+    """The bytes of wanted segments (d, h, key, content, start, n, kinds), and g, the place of the gram in the first string."""
+    each = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("key", "content", "start", "n", "kinds")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, w in zip(b.column("text"), b.column("w").to_pylist(), strict=True):
                 raw = text.as_py().encode()
-                cut = [raw[x["start"] : x["start"] + x["n"] + length - 1] for x in w]
-                cols = [pa.array([x[c] for x in w], t) for c, t in (("key", pa.int64()), ("content", pa.int64()), ("hot", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], ["key", "content", "hot", "bytes"])
+                cut = [raw[x["start"] : x["start"] + x["n"] % STRINGS + length - 1] for x in w]
+                cols = [pa.array([x[c] for x in w], pa.int64()) for c in ("key", "content", "kinds")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x["n"] // STRINGS for x in w], pa.int32()), pa.array(cut, pa.binary())], ["key", "content", "kinds", "g", "bytes"])
 
-    return docs.join(each, ["d", "h"]).select("text", "w").mapInArrow(run, "key bigint, content bigint, hot boolean, bytes binary")
+    return docs.join(each.hint("shuffle_hash"), ["d", "h"]).select("text", "w").mapInArrow(run, "key bigint, content bigint, kinds bigint, g int, bytes binary")
 
 
-def _by_fingerprint(contents: DataFrame, length: int) -> DataFrame:
-    """What ``_expand`` gives, by counting fingerprints of all strings: for keys with very many contents."""
+PART = "key bigint, content bigint, g int, bytes binary, up_key bigint, up_content bigint, up_at int"
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, c, x in zip(*(b.column(i).to_pylist() for i in ("key", "content", "bytes")), strict=True):
-                data = np.frombuffer(x, np.uint8)
-                one, two = _Rolling(data).all(length), _Rolling(data[::-1]).all(length)[::-1]
-                n = len(one)
-                cols = [np.full(n, k), np.full(n, c), np.arange(n, dtype=np.int32), one.view(np.int64), np.ascontiguousarray(two).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["key", "content", "i", "f1", "f2"])
 
-    rows = contents.mapInArrow(strings, "key bigint, content bigint, i int, f1 bigint, f2 bigint")
-    often = rows.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("z"))
-    return rows.join(often, ["f1", "f2"], "left_semi").groupBy("key", "content").agg(F.collect_list(one).alias("runs"))
+def _divided(contents: DataFrame, length: int, width: int) -> DataFrame:
+    """contents (key, content, g, bytes, up_key, up_content, up_at) -> parts of the same form whose strings hold the gram
+    at ``width`` neighbouring places, keyed by the bytes that all of them cover.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("key", "content", "g", "bytes", "up_key", "up_content", "up_at")}
+            for key, g, x, uk, uc, at in zip(*(b.column(c).to_pylist() for c in ("key", "g", "bytes", "up_key", "up_content", "up_at")), strict=True):
+                # string i holds the gram at g - i; a range of places [low, low + width) is a stretch of strings
+                i, n = 0, len(x) - length + 1
+                while i < n:
+                    low = (g - i) // width * width
+                    z = min(n, g - low + 1)
+                    # what a string at any place of the range covers, counted from the gram
+                    a, c = g - low, g - (low + width - 1) + length
+                    name = f"{key}:{low}:".encode() + x[max(a, 0) : c] if a < c else b""
+                    part = x[i : z + length - 1]
+                    out["key"].append(xxhash.xxh3_64_intdigest(name) - (1 << 63))
+                    out["content"].append(xxhash.xxh3_64_intdigest(f"{g - i}:".encode() + part, 1) - (1 << 63))
+                    for k, v in (("g", g - i), ("bytes", part), ("up_key", uk), ("up_content", uc), ("up_at", at + i)):
+                        out[k].append(v)
+                    i = z
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+    return contents.mapInArrow(run, PART)
 
 
 def _remove(rows: DataFrame, length: int) -> DataFrame:
@@ -269,27 +292,63 @@ def _remove(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def removed_spans(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 10_000, shard_bytes: int = 1 << 20) -> DataFrame:
-    """docs: d, h, text -> d, h, spans (byte ranges that go, end exclusive; they may overlap)."""
+def _decided(contents: DataFrame, length: int, most: int, shard_bytes: int, widths: tuple[int, ...]) -> DataFrame:
+    """contents: key, content, kinds (contents of the key), g, bytes -> key, content, runs of repeated strings."""
+    one = contents.where(F.col("kinds") <= most)
+    runs = [_expand(one.repartition("key").sortWithinPartitions("key", "content"), length, shard_bytes)]
+    left = contents.where(F.col("kinds") > most)
+    left = left.select("key", "content", "g", "bytes", F.col("key").alias("up_key"), F.col("content").alias("up_content"), F.lit(0).alias("up_at"))
+    for width in widths:
+        if left.isEmpty():
+            break
+        parts = materialize(_divided(left, length, width))
+        contents = parts.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"))
+        kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 OR most > 1")
+        known = materialize(contents.join(kinds.drop("most"), "key"))
+        # a part that occurs twice repeats as a whole; of the others, those that share a key go on
+        twice = parts.join(known.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
+        whole = F.struct(F.col("up_at").alias("a"), (F.col("up_at") + F.octet_length("bytes") - (length - 1)).cast("int").alias("z"))
+        again = materialize(twice.groupBy("up_key", "up_content").agg(F.collect_list(whole).alias("runs")))
+        runs.append(again.select(F.col("up_key").alias("key"), F.col("up_content").alias("content"), "runs"))
+        several = parts.join(known.where("kinds > 1"), ["key", "content"])
+        small = several.where(F.col("kinds") <= most)
+        first = small.groupBy("key", "content").agg(F.first("bytes").alias("bytes"))
+        found = _expand(first.repartition("key").sortWithinPartitions("key", "content"), length, shard_bytes).where(F.size("runs") > 0)
+        back = small.where("copies = 1").select("key", "content", "up_key", "up_content", "up_at").join(found, ["key", "content"])
+        moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("up_at")).alias("a"), (r["z"] + F.col("up_at")).alias("z")))
+        runs.append(back.select(F.col("up_key").alias("key"), F.col("up_content").alias("content"), moved.alias("runs")))
+        left = several.where(F.col("kinds") > most).select(*parts.columns)
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def removed_spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 2_000, shard_bytes: int = 1 << 20, widths: tuple[int, ...] = (64, 16, 4, 1)) -> DataFrame:
+    """docs: d, h, text -> d, h, spans (byte ranges that go, end exclusive; they may overlap).
+
+    ``most``: contents of a key that one shard takes; ``widths``: of the ranges that larger keys are divided into.
+    """
     cut = segments(docs, length, gram)
     often = cut.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     several = materialize(cut.join(often, "key", "left_semi"))
     contents = several.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "h", "start", "n")).alias("one"))
     contents = materialize(contents)
     by_key = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = contents.join(by_key, "key").select("key", "content", "one.*", (F.col("kinds") > hot).alias("hot"))
+    mixed = contents.join(by_key, "key").select("key", "content", "one.*", "kinds")
     texts = materialize(_cut(docs, mixed, length))
-    shards = texts.where("NOT hot").repartition("key").sortWithinPartitions("key", "content")
-    runs = _expand(shards, length, shard_bytes).unionByName(_by_fingerprint(texts.where("hot"), length))
-    some = runs.where(F.size("runs") > 0)
+    some = _decided(texts, length, most, shard_bytes, widths).where(F.size("runs") > 0)
     whole = contents.where("copies > 1").select("key", "content", F.lit(None).cast("array<struct<a:int,z:int>>").alias("runs"))
     single = some.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_anti")
     decided = materialize(whole.unionByName(single))
     hit = several.join(decided, ["key", "content"])
-    runs_or_all = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("z"))))
+    strings = F.col("n") % STRINGS
+    runs_or_all = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), strings.alias("z"))))
     each = hit.select("d", "h", "start", F.explode(runs_or_all).alias("r"))
     span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.z") + (length - 1)).alias("z"))
-    return each.groupBy("d", "h").agg(F.collect_set(span).alias("spans"))
+    out = materialize(each.groupBy("d", "h").agg(F.collect_set(span).alias("spans")))
+    forget(several, contents, texts, decided, sweep=True)
+    return out
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -301,5 +360,5 @@ def named(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, length: int = 200, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay) for each row of ``docs``."""
     docs = named(docs)
-    spans = materialize(removed_spans(docs.select("d", "h", "text"), length, **how))
-    return _remove(docs.join(spans, ["d", "h"], "left").select("doc_id", "text", "spans"), length)
+    spans = removed_spans(docs.select("d", "h", "text"), length, **how)
+    return _remove(docs.join(spans.hint("shuffle_hash"), ["d", "h"], "left").select("doc_id", "text", "spans"), length)
