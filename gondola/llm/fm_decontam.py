@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import ALNUM, Texts, lists
-from gondola.llm.common import materialize
+from gondola.llm.common import materialize, scan
 
 SAMPLE = 16
 
@@ -72,13 +72,14 @@ class FMIndex:
             high = np.where(up, zeros + ones[high], high - ones[high])
         return high - low
 
-    def search(self, phrases: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of the suffixes that begin with each phrase (a row of symbols, filled up on the left)."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
-        width = phrases.shape[1]
-        for j in range(width - 1, -1, -1):
-            on = np.flatnonzero((length >= width - j) & (low < high))
-            s = phrases[on, j]
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [low, high) of the suffixes that begin with each phrase."""
+        count = len(phrases.start)
+        low, high = np.zeros(count, np.int64), np.full(count, len(self.bwt), np.int64)
+        end = phrases.start + phrases.length - 1
+        for j in range(int(phrases.length.max()) if count else 0):
+            on = np.flatnonzero((phrases.length > j) & (low < high))
+            s = phrases.text[end[on] - j].astype(np.int64)
             low[on] = self.first[s] + self.rank(s, low[on])
             high[on] = self.first[s] + self.rank(s, high[on])
         return low, np.maximum(low, high)
@@ -96,29 +97,25 @@ class FMIndex:
 
 
 class Phrases:
-    """The test phrases of a block of items, as symbols."""
+    """The test phrases of a block of items, as stretches of one array of symbols. Made once, on the driver; the arrays
+    that go to the executors take about four times the block's text.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         items = sorted(set(items))
         words = Texts(*_joined([t for _, t in items])).words(ALNUM)
         self.vocabulary = np.unique(words.hash)
-        symbols = np.searchsorted(self.vocabulary, words.hash) + 2
+        self.text = (np.searchsorted(self.vocabulary, words.hash) + 2).astype(np.int32)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.vocabulary & np.uint64((1 << 20) - 1)] = True
-        found: dict[bytes, list[str]] = {}
-        for i, (name, _) in enumerate(items):
-            s = symbols[words.at[i] : words.at[i + 1]]
-            for j in range(max(1, len(s) - window + 1) if len(s) else 0):
-                names = found.setdefault(s[j : j + window].astype(np.int64).tobytes(), [])
-                if not names or names[-1] != name:
-                    names.append(name)
-        self.items = list(found.values())
-        self.length = np.array([len(x) // 8 for x in found], np.int64)
-        self.symbols = np.zeros((len(found), window), np.int64)
-        for i, x in enumerate(found):
-            s = np.frombuffer(x, np.int64)
-            self.symbols[i, window - len(s) :] = s
-        self.least = int(self.length.min()) if len(found) else 0
+        self.names = [name for name, _ in items]
+        n = words.n
+        many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), many)
+        step = np.arange(len(self.item)) - np.repeat(np.cumsum(many) - many, many)
+        self.start = (words.at[:-1][self.item] + step).astype(np.int32)
+        self.length = np.minimum(n, window).astype(np.int32)[self.item]
+        self.least = int(self.length.min()) if len(self.length) else 0
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +143,10 @@ def _runs(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray,
 
 def search(docs: DataFrame, items: list[tuple[str, str]], window: int = 13, shard_symbols: int = 1 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_words, spans (merged word ranges, end exclusive), items (those with a phrase in the text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(sent.value, window)
+        phrases = sent.value
         ids: list[list[pa.Array]] = []
         counts: list[np.ndarray] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,9 +157,9 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int = 13, shar
             at = np.concatenate([[0], np.cumsum(n)])
             symbols, word = (np.concatenate(x) for x in zip(*parts, strict=True))
             starts, ends, doc_items = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
-            if len(symbols) and phrases.items:
+            if len(symbols) and len(phrases.start):
                 index = FMIndex(symbols, len(phrases.vocabulary) + 2)
-                low, high = index.search(phrases.symbols, phrases.length)
+                low, high = index.search(phrases)
                 many = high - low
                 which = np.repeat(np.arange(len(low)), many)
                 rows = np.arange(len(which)) + np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
@@ -176,8 +173,9 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int = 13, shar
                 starts = np.flatnonzero(hit[1:-1] & (~hit[:-2] | cut[:-2]))
                 ends = np.flatnonzero(hit[1:-1] & (~hit[2:] | cut[1:-1])) + 1
                 owner = np.searchsorted(at, place, "right") - 1
-                for d, p in np.unique(np.stack([owner, which], 1), axis=0):
-                    doc_items.setdefault(int(d), set()).update(phrases.items[p])
+                found = np.unique((owner << 32) | phrases.item[which])
+                for d, i in zip((found >> 32).tolist(), (found & 0xFFFFFFFF).tolist(), strict=True):
+                    doc_items.setdefault(d, set()).add(phrases.names[i])
             own = np.searchsorted(at, starts, "right") - 1
             span_at = np.searchsorted(own, np.arange(len(n) + 1))
             base = at[own]
@@ -209,20 +207,20 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int = 13, shar
     return read.mapInArrow(run, f"{kept}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def _merge(spans):
-    """Union of sorted spans."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+def _merge(spans: Column) -> Column:
+    """Union of spans, in order."""
+    kind = "struct<start:int,end:int>"
+    none = F.array().cast(f"array<{kind}>")
 
-    def step(a, s):
-        last = F.element_at(a, -1)
-        one = lambda x, y: F.array(F.struct(x.alias("start"), y.alias("end")))
-        joined = F.concat(F.slice(a, 1, F.size(a) - 1), one(last["start"], F.greatest(last["end"], s["end"])))
-        return F.when(F.size(a) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.concat(a, F.array(s)))
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
+        apart = a.isNull() | (s["start"] > a["end"])
+        wider = F.struct(a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))
+        return F.when(apart, s).otherwise(wider), F.when(apart & a.isNotNull(), F.array(a)).otherwise(none)
 
-    return F.aggregate(F.array_sort(spans), empty, step)
+    return scan(F.array_sort(spans), F.lit(None).cast(kind), kind, kind, step, lambda a: F.when(a.isNull(), none).otherwise(F.array(a)))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: int = 32, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: int = 16, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_words, n_hit, n_items, items (sorted), spans, contaminated (a twentieth of the words or more is hit)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     mb = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
