@@ -4,9 +4,10 @@ Rules judge a URL first: a rule fits its host and all subdomains if the path sta
 rule wins. URLs that no rule fits are judged by two variable-order Markov models over characters, one of accepted and
 one of rejected URLs. Each is smoothed by Witten-Bell interpolation from order 0 up to ``order``; a character is scored
 under the longest context that training saw. The verdict compares the log-likelihood difference, divided by the number
-of characters, with a threshold calibrated on the training URLs.
+of characters, with a threshold. The models learn from one half of the different URLs (by hash), and the threshold is
+calibrated on the other half, which they haven't seen.
 
-Null URLs and URLs without ``://`` have an empty host and path; with no characters to score they are allowed. Rows are
+Null URLs and URLs without ``://`` have an empty host and path; with no characters to score they are always allowed. Rows are
 independent; repeated URLs are scored alike. Extra columns are ignored.
 """
 
@@ -127,9 +128,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     judged = pages.select("page_id", p["host"].alias("host"), p["path"].alias("path")).withColumns(rule_columns(rules))
     texts = judged.groupBy("host", "path").agg(F.first("rule_verdict").alias("rule_verdict")).withColumn("s", F.concat("host", F.col("path")))
     texts = materialize(texts.withColumn("accepted", training_label()))
-    model = fit(texts.select("s", "accepted"), order)
+    learnt = F.pmod(F.xxhash64("s", F.lit(17)), F.lit(2)) == 0
+    model = fit(texts.where(learnt).select("s", "accepted"), order)
     scored = materialize(score(texts, model, ["host", "path", "accepted"], order))
-    cut = threshold(scored)
+    cut = threshold(scored.withColumn("s", F.concat("host", "path")).where(~learnt))
     free = judged.join(scored.select("host", "path", "score"), ["host", "path"], "left")
-    verdict = F.when(F.coalesce("score", F.lit(0.0)) < cut, "block").otherwise("allow")
+    verdict = F.when(F.coalesce(F.col("score") < cut, F.lit(False)), "block").otherwise("allow")
     return free.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", verdict).alias("verdict"), "score")

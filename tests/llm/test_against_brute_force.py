@@ -167,6 +167,32 @@ def test_url_model_probabilities_sum_to_one(spark):
     assert abs(model[0, "a"] - np.log(pa / pr)) < 1e-9
 
 
+def test_url_scores(spark):
+    """Scores against a plain version of the smoothed models; an empty URL stays also where the threshold is high."""
+    accepted, rejected, order = ["good.org/a", "good.org/b", "fine.org/", "good.org/a"], ["bad.biz/x", "bad.biz/yy", "evil.biz/"], 3
+    urls = spark.createDataFrame([(u, True) for u in accepted] + [(u, False) for u in rejected], "s string, accepted boolean")
+    tests = ["good.biz/zz", "bad.org/a", "", "qqq"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "page int, s string")
+    got = {r["page"]: r["score"] for r in url_lm.score(rows, url_lm.fit(urls, order), ["page"], order).collect()}
+    grams = lambda u: [("\x02" * order + u + "\x03")[i - order : i + 1] for i in range(order, order + len(u) + 1)]
+    counts = [Counter(g[-k - 1 :] for u in us for g in grams(u) for k in range(order + 1)) for us in (accepted, rejected)]
+
+    def p(c, gram):
+        low = p(c, gram[1:]) if len(gram) > 1 else 1 / 256
+        here = {g: n for g, n in c.items() if len(g) == len(gram) and g[:-1] == gram[:-1]}
+        return (c[gram] + (len(here) + 0.5) * low) / (sum(here.values()) + len(here) + 0.5)
+
+    for i, t in enumerate(tests):
+        if not t:
+            assert i not in got
+            continue
+        want = []
+        for g in grams(t):
+            known = next((g[-k - 1 :] for k in range(order, -1, -1) if counts[0][g[-k - 1 :]] + counts[1][g[-k - 1 :]]), None)
+            want.append(np.log(p(counts[0], known) / p(counts[1], known)) if known else 0.0)
+        assert abs(got[i] - np.mean(want)) < 1e-9, t
+
+
 def test_mix(spark, texts, docs):
     size = {d: len(WORD.findall(t or "")) for d, t in texts.items()}
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
