@@ -23,6 +23,16 @@ def class_metrics(matches: DataFrame, surplus: DataFrame, missed: DataFrame, cls
     return all_.select(cls, "tp", "fp", "fn", *[v.alias(k) for k, v in bx.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
+def class_counts(preds: DataFrame, gts: DataFrame, matches: DataFrame, cls: str = "cls") -> DataFrame:
+    """As ``class_metrics``, for matches that take each prediction and each label once: what isn't matched is what is
+    left of the totals, so that the matches are made once and no row meets another.
+    """
+    count = lambda df, name: df.groupBy(cls).agg(F.count(F.lit(1)).alias(name))
+    all_ = count(matches, "tp").join(count(preds, "p"), cls, "full").join(count(gts, "g"), cls, "full").na.fill(0, ["tp", "p", "g"])
+    all_ = all_.select(cls, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+    return all_.select(cls, "tp", "fp", "fn", *[v.alias(k) for k, v in bx.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+
+
 def duplicate_ids(rows: DataFrame, image: str, ident: str) -> DataFrame:
     """Rows beyond the first of each id, by image; null and empty ids don't count."""
     n = rows.where(F.col(ident).isNotNull() & (F.col(ident).cast("string") != "")).groupBy(image, ident).agg(F.count(F.lit(1)).alias("n"))

@@ -21,19 +21,19 @@ def text_boxes(words: DataFrame, sku: Column) -> DataFrame:
 
 def windows(words: DataFrame, keys: Sequence[str], most: int = 4) -> DataFrame:
     """Candidates from 1 to ``most`` neighbouring words: keys, start, end, raw, text, digits, symbol_only, width, x1."""
-    out = None
     w = Window.partitionBy(*keys).orderBy("idx")
-    n = words.withColumn("at", F.row_number().over(w) - 1)
-    for k in range(1, most + 1):
-        span = w.rowsBetween(0, k - 1)
-        some = F.count(F.lit(1)).over(span) == k
-        texts = F.collect_list("text").over(span)
-        part = n.select(
-            *keys, F.col("at").alias("start"), (F.col("at") + k).alias("end"), some.alias("full"), F.array_join(texts, " ").alias("raw"),
-            F.size(F.filter(texts, lambda t: ~t.rlike("[0-9]"))).alias("symbol_only"), F.min("x1").over(span).alias("x1"), F.max("x2").over(span).alias("x2"), F.min("y1").over(span).alias("y1"),
-        )
-        out = part if out is None else out.unionByName(part)
-    c = out.where("full").withColumn("text", codes.sku_candidate(F.col("raw"))).where("text IS NOT NULL")
+    word = F.struct("text", "x1", "x2", "y1")
+    # a word and those after it, from one window; its candidates are the beginnings of that list
+    ahead = F.filter(F.array(word, *[F.lead(word, k).over(w) for k in range(1, most)]), lambda x: x.isNotNull())
+    n = words.select(*keys, (F.row_number().over(w) - 1).alias("start"), ahead.alias("ahead"))
+    out = n.select(*keys, "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda k: F.slice("ahead", 1, k))).alias("p"))
+    each = lambda c: F.transform("p", lambda x: x[c])
+    texts = each("text")
+    out = out.select(
+        *keys, "start", (F.col("start") + F.size("p")).alias("end"), F.array_join(texts, " ").alias("raw"), F.size(F.filter(texts, lambda t: ~t.rlike("[0-9]"))).alias("symbol_only"),
+        *[f(each(c)).alias(c) for c, f in (("x1", F.array_min), ("x2", F.array_max), ("y1", F.array_min))],
+    )
+    c = out.withColumn("text", codes.sku_candidate(F.col("raw"))).where("text IS NOT NULL")
     return c.select(*keys, "start", "end", "raw", "text", F.length("text").alias("digits"), "symbol_only", (F.col("x2") - F.col("x1")).alias("width"), "x1", "y1")
 
 

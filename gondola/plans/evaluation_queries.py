@@ -20,8 +20,8 @@ _PR = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS preci
 
 @query(with_tables(f"""SELECT cls, tp, fp, fn, {_PR} FROM (SELECT cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT cls, 1 AS tp, 0 AS fp, 0 AS fn FROM mat UNION ALL SELECT cls, 0, 1, 0 FROM fps UNION ALL SELECT cls, 0, 0, 1 FROM fns) GROUP BY cls)""", *_TABLES, more=_MATCHED))
 def a1_class_metrics(spark, sf_dir):
-    m = match.confidence_greedy(*_sides(spark, sf_dir))
-    c = evaluate.class_metrics(m["matches"], m["false_positives"], m["false_negatives"])
+    p, g = _sides(spark, sf_dir)
+    c = evaluate.class_counts(p, g, match.confidence_greedy(p, g)["matches"])
     return c.select("cls", "tp", "fp", "fn", *[_R(x).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -197,12 +197,32 @@ def q3_candidate_windows(spark, sf_dir):
     return _candidates(spark, sf_dir).select("image", "line", "start", "end", "raw", "text", "digits")
 
 
-@query()
+def _read(raw):
+    """SQL: the code that a text reads as (S2)."""
+    return f"""coalesce(nullif(regexp_extract({raw}, '(^|[^0-9])([0-9]{{10}})([^0-9]|$)', 2), ''), nullif(regexp_extract({raw}, '(^|[^0-9])([0-9]{{6}})([^0-9]|$)', 2), ''),
+    CASE WHEN NOT regexp_matches({raw}, '[A-Za-z/]') THEN (SELECT CASE WHEN length(k) = 11 AND k[2:3] = '10' THEN k[2:11] WHEN length(k) IN (11, 12) AND k[1:2] = '10' THEN k[1:10] WHEN length(k) > 10 AND k[-10:-9] = '10' THEN k[-10:] WHEN length(k) IN (6, 10) THEN k END FROM (SELECT regexp_replace({raw}, '[^0-9]', '', 'g') AS k)) END)"""
+
+
+def _chosen(src, keys):
+    """SQL: cand, the windows of 1 to 4 words of ``src`` by ``keys`` that read as a code; kept, those that don't overlap."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    own = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY idx) - 1 AS at FROM {src}),
+  win AS (SELECT {own}, a.at AS s, z.k, string_agg(b.text, ' ' ORDER BY b.at) AS raw, count(*) AS c, sum(CASE WHEN regexp_matches(b.text, '[0-9]') THEN 0 ELSE 1 END) AS sym, max(b.x2) - min(b.x1) AS width, min(b.x1) AS x1
+    FROM n a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) z JOIN n b ON {on} AND b.at >= a.at AND b.at < a.at + z.k GROUP BY {own}, a.at, z.k),
+  cand AS (SELECT * FROM (SELECT *, {_read('raw')} AS t FROM win WHERE c = k) WHERE t IS NOT NULL),
+  kept AS (SELECT {keys}, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda o: o.s < x[1].e AND x[1].s < o.e)) > 0 THEN a ELSE list_concat(a, x) END)) AS o FROM (
+    SELECT {keys}, list([struct_pack(s := s::INT, e := (s + k)::INT, t := t, d := length(t)::INT, x1 := x1)] ORDER BY length(t) DESC, sym, k, width, x1, s, t) AS l FROM cand GROUP BY {keys}))"""
+
+
+@query(with_tables("""SELECT image, line, o.s AS start, o.e AS "end", o.t AS text, o.d AS digits, o.x1 AS x1 FROM kept""", "words", more=_chosen("words", "image, line")))
 def q4_non_overlapping(spark, sf_dir):
     return suppress.non_overlapping(_candidates(spark, sf_dir), ["image", "line"])
 
 
-@query()
+@query(with_tables("""SELECT image, line, code AS text, x1 FROM seg WHERE locked UNION ALL SELECT image, line, o.t, o.x1 FROM kept""", "words", more=f"""
+  seg AS (SELECT *, sum(locked::INT) OVER (PARTITION BY image, line ORDER BY idx ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, coalesce(length(code) = 10, false) AS locked FROM (SELECT *, {_read('text')} AS code FROM words))),
+  fre AS (SELECT * FROM seg WHERE NOT locked), """ + _chosen("fre", "image, line, segment")))
 def q5_full_parse(spark, sf_dir):
     """Single words that are whole ten-digit codes first; then windows in the stretches between them; reading order."""
     words = text.free_segments(fx.words(spark, sf_dir), ["image", "line"])
@@ -233,7 +253,7 @@ def q8_legacy_codes(spark, sf_dir):
     return text.legacy_codes(w)
 
 
-@query()
+@query(with_tables("""SELECT image, idx, (sum(CASE WHEN before <> line THEN 1 ELSE 0 END) OVER (PARTITION BY image ORDER BY idx, line, text ROWS UNBOUNDED PRECEDING))::INT AS "group" FROM (SELECT *, lag(line) OVER (PARTITION BY image ORDER BY idx, line, text) AS before FROM words)""", "words"))
 def q2_line_groups(spark, sf_dir):
     w = fx.words(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "line", "text"))).alias("w"))
     joined = F.aggregate("w", F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("l")), lambda a, x: F.struct(F.concat(a["t"], F.when(a["t"] == "", "").when(x["line"] == a["l"], " ").otherwise("\n"), x["text"]).alias("t"), x["line"].alias("l")), lambda a: a["t"])

@@ -113,17 +113,10 @@ def j8_words_to_tracks(spark, sf_dir):
 
 @query(with_tables("""SELECT source, image, score FROM (SELECT source, image, round(sum(iou), 9) AS score, row_number() OVER (PARTITION BY source ORDER BY round(sum(iou), 9) DESC, image DESC) AS rn FROM (
   SELECT source, det, image, max(inter / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter)) AS iou FROM (
-    SELECT p.image // 25 AS source, p.image * 1000 + p.det AS det, p.x1, p.y1, p.x2, p.y2, g.image, g.x1 AS a1, g.y1 AS b1, g.x2 AS a2, g.y2 AS b2, greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter
-    FROM pred_boxes p JOIN gt_boxes g ON p.cls || (p.image // 25)::VARCHAR = g.cls || (g.image // 25)::VARCHAR WHERE p.image % 25 = 3) WHERE inter > 0 GROUP BY source, det, image) GROUP BY source, image) WHERE rn = 1 AND score >= 1""", "pred_boxes", "gt_boxes"))
+    SELECT p.image AS source, p.det, p.x1, p.y1, p.x2, p.y2, g.image, g.x1 AS a1, g.y1 AS b1, g.x2 AS a2, g.y2 AS b2, greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter
+    FROM pred_boxes p JOIN gt_boxes g ON p.cls || (p.image // 25)::VARCHAR = g.cls || (g.image // 25)::VARCHAR) WHERE inter > 0 GROUP BY source, det, image) GROUP BY source, image) WHERE rn = 1 AND score >= 1""", "pred_boxes", "gt_boxes"))
 def j9_image_inference(spark, sf_dir):
-    group = lambda df: df.withColumn("cls", F.concat("cls", F.expr("image div 25").cast("string")))
-    p = group(fx.pred_boxes(spark, sf_dir).where("image % 25 = 3")).select(F.expr("image div 25").alias("source"), (F.col("image") * 1000 + F.col("det")).alias("det"), "cls", "x1", "y1", "x2", "y2")
-    return match.infer_image(p, group(fx.gt_boxes(spark, sf_dir)).select("image", "cls", "x1", "y1", "x2", "y2"))
-
-
-@query()
-def j9_image_inference_all_images(spark, sf_dir):
-    """As ``j9_image_inference``, for the boxes of every image; each image is a source."""
+    """The boxes of every image; each image is a source, and the images of its block are the candidates."""
     group = lambda df: df.withColumn("cls", F.concat("cls", F.expr("image div 25").cast("string")))
     p = group(fx.pred_boxes(spark, sf_dir)).select(F.col("image").alias("source"), "det", "cls", "x1", "y1", "x2", "y2")
     return match.infer_image(p, group(fx.gt_boxes(spark, sf_dir)).select("image", "cls", "x1", "y1", "x2", "y2"))

@@ -86,16 +86,8 @@ def _ladder(a, b):
 
 @query(with_tables(f"""SELECT bay, start, length, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY bay ORDER BY length DESC, start) AS rn FROM (SELECT bay, start, count(*) AS length, avg(s) AS score FROM (
     SELECT *, min(s) OVER w AS low, count(*) OVER w AS n FROM (SELECT c.bay, c.i, s.loc - c.i AS start, {_ladder('c.price', 's.price')} AS s FROM ci c JOIN sequence s ON c.bay = s.bay AND s.loc - c.i IN (SELECT loc FROM sequence q WHERE q.bay = c.bay)) WINDOW w AS (PARTITION BY bay, start ORDER BY i ROWS UNBOUNDED PRECEDING))
-    WHERE low >= 0 AND n = i + 1 GROUP BY bay, start) WHERE length >= 3 AND score >= 0.5) WHERE rn = 1""", "price_cells", more="ci AS (SELECT bay, pos, price, row_number() OVER (PARTITION BY bay ORDER BY pos) - 1 AS i FROM price_cells WHERE price IS NOT NULL AND pos < 60)"))
+    WHERE low >= 0 AND n = i + 1 GROUP BY bay, start) WHERE length >= 3 AND score >= 0.5) WHERE rn = 1""", "price_cells", more="ci AS (SELECT bay, pos, price, row_number() OVER (PARTITION BY bay ORDER BY pos) - 1 AS i FROM price_cells WHERE price IS NOT NULL)"))
 def q10_greedy_start(spark, sf_dir):
-    c = fx.price_cells(spark, sf_dir).where("price IS NOT NULL AND pos < 60")
-    c = c.select("bay", "pos", "price", (F.row_number().over(Window.partitionBy("bay").orderBy("pos")) - 1).alias("i"))
-    return planogram.greedy_start(c, fx.sequence(spark, sf_dir), codes.price_similarity).withColumn("score", _R("score"))
-
-
-@query()
-def q10_greedy_start_all_cells(spark, sf_dir):
-    """As ``q10_greedy_start``, with all cells of each bay."""
     c = fx.price_cells(spark, sf_dir).where("price IS NOT NULL")
     c = c.select("bay", "pos", "price", (F.row_number().over(Window.partitionBy("bay").orderBy("pos")) - 1).alias("i"))
     return planogram.greedy_start(c, fx.sequence(spark, sf_dir), codes.price_similarity).withColumn("score", _R("score"))

@@ -46,7 +46,7 @@ def test_greedy_start_over_all_cells(spark):
                 best = min(best or (0, 0), (-len(s), start))
         if best:
             want[bay] = (best[1], -best[0])
-    assert {r["bay"]: (r["start"], r["length"]) for r in catalog.QUERIES["q10_greedy_start_all_cells"](spark, SF).collect()} == want
+    assert {r["bay"]: (r["start"], r["length"]) for r in catalog.QUERIES["q10_greedy_start"](spark, SF).collect()} == want
 
 
 def test_image_inference_over_all_images(spark):
@@ -67,4 +67,4 @@ def test_image_inference_over_all_images(spark):
         want[source] = max(want.get(source, (0, 0)), (round(s, 9), image))
     want = {k: v[1] for k, v in want.items() if v[0] >= 1}
     assert any(k % 25 != 3 for k in want)
-    assert {r["source"]: r["image"] for r in catalog.QUERIES["j9_image_inference_all_images"](spark, SF).collect()} == want
+    assert {r["source"]: r["image"] for r in catalog.QUERIES["j9_image_inference"](spark, SF).collect()} == want
