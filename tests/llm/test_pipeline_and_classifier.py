@@ -83,3 +83,35 @@ def test_mixing_stage(stages):
     assert all(r["copies"] in (1, 2, 3) and before[r["doc_id"]] == r["text"] for r in rows)
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in before.values())
     assert 0.8 * total < sum(r["taken"] for r in rows) < 1.2 * total
+
+
+def test_training_finds_the_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(4)
+    sets = [sorted(rng.choice(12, rng.integers(1, 6), replace=False).tolist()) for _ in range(400)]
+    true = rng.normal(0, 1.5, 12)
+    z = np.array([sum(true[i] for i in s) for s in sets]) + rng.logistic(0, 1, len(sets))
+    y = (z > -1).astype(int) + (z > 1)
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    ridge = 1e-3
+    model = quality_classifier.train(np.concatenate(sets).astype(np.int32), at, y, ridge=ridge, rounds=400)
+
+    def loss(w, theta):
+        total = ridge / 2 * sum(x * x for x in w)
+        up = lambda x: 1 / (1 + np.exp(-x))
+        for s, k in zip(sets, y, strict=True):
+            score = sum(w[i] for i in s)
+            p = [1.0, up(score - theta[0]), up(score - theta[1]), 0.0]
+            total -= np.log(p[k] - p[k + 1]) / len(sets)
+        return total
+
+    w, theta = [float(x) for x in model.weights[:12]], [float(x) for x in model.thresholds]
+    assert not model.weights[12:].any() and theta[0] < theta[1]
+    best = loss(w, theta)
+    for i in range(14):
+        for step in (-0.03, 0.03):
+            moved = [*w, *theta]
+            moved[i] += step
+            assert loss(moved[:12], moved[12:]) > best
+    # the expected grade is the sum of the tail probabilities
+    p = model.probabilities(np.array([0.0, 3.0]))
+    assert np.all(p[0] > p[1]) and np.all(p[:, 1] > p[:, 0])
