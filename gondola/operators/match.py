@@ -185,9 +185,11 @@ def infer_image(preds: DataFrame, gts: DataFrame, least: float = 1.0) -> DataFra
 def exact_lookup(requests: DataFrame, observations: DataFrame) -> DataFrame:
     """Requests (request, store, sku) with all observations (store, sku, conf, ts) of the same store and code, best first.
 
-    status FOUND or NO_MATCH; candidates by confidence descending, then time ascending. Never across stores.
+    status FOUND or NO_MATCH; candidates by confidence descending, then time ascending. Never across stores. Only what
+    somebody asks for is gathered.
     """
-    found = observations.groupBy("store", "sku").agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("neg"), "ts"))).alias("c"))
+    asked = observations.join(requests.select("store", "sku").distinct(), ["store", "sku"], "left_semi")
+    found = asked.groupBy("store", "sku").agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("neg"), "ts"))).alias("c"))
     joined = requests.join(found, ["store", "sku"], "left")
     cands = F.transform("c", lambda x: F.struct((-x["neg"]).alias("conf"), x["ts"].alias("ts")))
     return joined.select("request", "store", "sku", F.when(F.col("c").isNull(), "NO_MATCH").otherwise("FOUND").alias("status"), F.coalesce(cands, F.array().cast("array<struct<conf:bigint,ts:string>>")).alias("candidates"))

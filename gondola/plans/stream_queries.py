@@ -75,5 +75,5 @@ def t7_live_lookup(spark, sf_dir):
 def j22_tracking(spark, sf_dir):
     """Images as frames of twenty cameras: ids that live on from frame to frame."""
     p = fx.pred_boxes(spark, sf_dir).select((F.col("image") % 20).alias("camera"), F.expr("image div 20").alias("frame"), "det", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    out = st.with_state(_stream(spark, p, "frames"), shared_path(spark, "tracks"), st.track_batch)
+    out = st.with_state(_stream(spark, p, "frames"), shared_path(spark, "tracks"), st.track_batch, every=True)
     return out.where("frame IS NOT NULL").drop("live", "next_id")

@@ -45,24 +45,36 @@ def metrics(events: DataFrame, every: str = "1 hour", late: str = "2 hours") ->
     return g.select(F.col("window.start").alias("start"), "action", "n", "total", "longest")
 
 
-def with_state(stream: DataFrame, path: str, step) -> DataFrame:
-    """Runs the stream until nothing is left, carrying a state table from batch to batch; returns the last state.
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose tables below ``path`` are complete, in order."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/batch-*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found)
+
+
+def with_state(stream: DataFrame, path: str, step, every: bool = False) -> DataFrame:
+    """Runs the stream until nothing is left, carrying a state table from batch to batch; returns the last state, or
+    with ``every`` the rows of all batches' tables.
 
     ``step(batch, prior)`` gives the next state (prior is None at first). Each batch's state is a table below ``path``
-    in the shared folder, so that a lost executor or a restart costs one batch.
+    in the shared folder, named by the batch. A batch reads that of the one before it, and nothing is held in the
+    driver: after a restart the stream goes on where its checkpoint stands, and a batch that broke off is done again.
+    Without any batch the state is that of an empty one.
     """
-    spark, last = stream.sparkSession, {"path": None, "schema": None}
+    spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        prior = session.read.schema(last["schema"]).parquet(last["path"]) if last["path"] else None
-        new, to = step(batch, prior), f"{path}/batch-{batch_id}"
-        new.write.mode("overwrite").parquet(to)
-        last.update(path=to, schema=new.schema)
+        before = [i for i in _batches(spark, path) if i < batch_id]
+        prior = batch.sparkSession.read.parquet(f"{path}/batch-{before[-1]}") if before else None
+        step(batch, prior).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
 
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(last["schema"]).parquet(last["path"])
+    done = _batches(spark, path)
+    if not done:
+        return step(spark.createDataFrame([], stream.schema), None)
+    return spark.read.parquet(*[f"{path}/batch-{i}" for i in (done if every else done[-1:])])
 
 
 def queue_step_batch(batch: DataFrame, prior: DataFrame | None) -> DataFrame:
@@ -133,27 +145,23 @@ def associate(tracks: list[list], boxes: list[tuple], next_id: int, least_iou: f
 
 
 def track_batch(batch: DataFrame, prior: DataFrame | None, least_iou: float = 0.3, max_age: int = 2, min_hits: int = 1) -> DataFrame:
-    """boxes: camera, frame, det, box -> camera, frame, track, box of all frames so far, and each camera's live tracks
-    (frame null, ``live`` set), which are the state.
+    """boxes: camera, frame, det, box -> camera, frame, track, box of the batch's frames, and each camera's live tracks
+    (frame null, ``live`` set). These alone are the state; what was put out before doesn't travel on.
 
     Constant velocity and greedy association by IoU (ties: older track, then earlier box); frames of a camera must
     arrive in order. A task holds the frames of one camera and batch.
     """
     schema = "camera bigint, frame bigint, track bigint, x1 double, y1 double, x2 double, y2 double, live array<double>, next_id bigint"
-    if prior is None:
-        prior = batch.sparkSession.createDataFrame([], schema)
+    prior = batch.sparkSession.createDataFrame([], schema) if prior is None else prior.where("frame IS NULL")
 
-    def step(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        live = old[old["frame"].isna()]
+    def step(key: tuple, new: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
         flat, next_id = (list(live["live"].iloc[0]), int(live["next_id"].iloc[0])) if len(live) else ([], 1)
         tracks, out = [list(flat[i : i + 9]) for i in range(0, len(flat), 9)], []
         for frame, part in new.sort_values(["frame", "det"]).groupby("frame", sort=True):
             tracks, found, next_id = associate(tracks, list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), next_id, least_iou, max_age, min_hits)
             out += [(key[0], frame, int(f[0]), *f[1:], None, None) for f in found]
         out.append((key[0], None, None, None, None, None, None, [float(v) for t in tracks for v in t], next_id))
-        columns = ["camera", "frame", "track", "x1", "y1", "x2", "y2", "live", "next_id"]
-        done = old[old["frame"].notna()]
-        return pd.concat([done, pd.DataFrame(out, columns=columns)]) if len(done) else pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=["camera", "frame", "track", "x1", "y1", "x2", "y2", "live", "next_id"])
 
     return batch.groupBy("camera").cogroup(prior.groupBy("camera")).applyInPandas(step, schema)
 
