@@ -91,10 +91,12 @@ def queue_step_batch(batch: DataFrame, prior: DataFrame | None) -> DataFrame:
 
 
 def upsert_latest(batch: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
-    """``table`` with the last row of each key in ``batch``; other keys stay (for ``foreachBatch``)."""
+    """``table`` with each key's latest row by ``order``, of the table and the batch (for ``foreachBatch``): rows that
+    arrive late don't replace later ones; a null order comes first. Other keys stay.
+    """
     others = [c for c in batch.columns if c != key]
-    last = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("r")).select(key, "r.*").select(*batch.columns)
-    return table.join(last.select(key), key, "left_anti").unionByName(last)
+    latest = F.max_by(F.struct(*others), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return table.select(*batch.columns).unionByName(batch).groupBy(key).agg(latest.alias("r")).select(key, "r.*").select(*batch.columns)
 
 
 def live_lookup(observations: DataFrame, requests: DataFrame) -> DataFrame:
