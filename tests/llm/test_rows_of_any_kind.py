@@ -83,3 +83,28 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_recall_of_near_passages(spark):
+    """Planted pairs at three similarities, each once in the corpus; brute force knows them by construction."""
+    import numpy as np
+
+    from gondola.llm import compact_windows
+
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, kind = [], {}
+    for edits in (2, 3, 4):  # similarity 0.90, 0.86, 0.82
+        for _ in range(40):
+            passage = words(200)
+            other = list(passage)
+            for i in range(edits):
+                other[20 + i * 160 // edits + int(rng.integers(0, 20))] = words(1)[0]
+            for p in (passage, other):
+                kind[len(rows)] = edits
+                rows.append((len(rows), " ".join(words(40) + p + words(int(rng.integers(20, 60))))))
+    got = {r["doc_id"]: r for r in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for edits, least in ((2, 0.97), (3, 0.95), (4, 0.9)):
+        ids = [d for d, k in kind.items() if k == edits]
+        assert np.mean([d in got and got[d]["n_repeated"] >= 180 for d in ids]) >= least, edits
+    assert all(r["n_repeated"] <= 205 for r in got.values())
