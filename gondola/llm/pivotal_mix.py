@@ -6,7 +6,7 @@ mass from the other until one of them is integral, and the one that is left meet
 dealt into blocks of about ``block_rows`` rows of like size (a hot source just has more blocks), each block leaves at
 most one fraction, and what the blocks leave is combined by the same step, level after level, until each source has one
 block. So the words taken stay within about a document of the target, nothing is gathered in one task, and all random
-choices are hashes of ids: reruns agree. Built-in expressions only.
+choices are hashes of ids and texts: reruns agree, and rows without ids spread over blocks. Built-in expressions only.
 
 Null texts have size 0, take nothing and are returned. Null sources form one source, the last. Rows that repeat an id
 are separate documents. Columns of ``docs`` other than those named are ignored.
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
     which of the rows that agree in size and id takes which copies.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), (F.col(row) if row else F.lit(None)).cast("bigint").alias("row")))
+    sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("th"), (F.col(row) if row else F.lit(None)).cast("bigint").alias("row")))
     sized = sized.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     counts = sized.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     goals = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -86,9 +86,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
     fixed = ["source", "source_size", "target", "base"]
     whole = (F.col("p") == 0) | (F.col("size") == 0)
     taken = [rows.where(whole).select(*fixed, "size", "doc_id", F.lit(0).alias("extra"), "row")]
-    h = F.xxhash64("doc_id", F.lit(seed))
+    h = F.xxhash64("doc_id", "th", F.lit(seed))
     units = rows.where(~whole).select(
-        *fixed, "class", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "blocks").alias("block"), F.struct("size", h.alias("h"), "doc_id", "p", "row").cast(UNIT).alias("u")
+        *fixed, "class", F.pmod(F.xxhash64("doc_id", "th", F.lit(seed + 1)), "blocks").alias("block"), F.struct("size", h.alias("h"), "doc_id", "p", "row").cast(UNIT).alias("u")
     )
     level, keys = 0, [*fixed, "class", "block"]
     while True:

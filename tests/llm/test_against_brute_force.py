@@ -226,8 +226,8 @@ def test_mix(spark, texts, docs):
 
 
 def test_mix_levels_and_odd_rows(spark):
-    rows = [(i, "w " * (i % 50 + 1), "a" if i % 3 else "b") for i in range(3000)] + [(9000, None, None), (9001, "x", None), (9002, "", "z")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumnRenamed("x", "size")
+    rows = [(i if i % 7 else None, "w " * (i % 50 + 1) + str(i), "a" if i % 3 else "b", 1, 2) for i in range(3000)] + [(9000, None, None, 1, 2), (9001, "x", None, 1, 2), (9002, "", "z", 1, 2), (9003, "v " * 5000, "b", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, target int")
     got = pivotal_mix.mix(df, block_rows=20).collect()
     assert len(got) == len(rows)
     for s in ("a", "b"):
