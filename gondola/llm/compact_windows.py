@@ -146,6 +146,8 @@ def _regions(pairs: DataFrame, slack: int = 8) -> DataFrame:
                 near: list[list[int]] = []
                 hits = sorted(set(zip(lows[x:y].tolist(), highs[x:y].tolist(), shifts[x:y].tolist(), strict=True)))
                 for low, high, shift in hits:
+                    if a == b and not shift:
+                        continue
                     one, apart = [low, high, shift, shift], []
                     for r in near:
                         if r[1] + slack < low:
@@ -192,8 +194,10 @@ def _slices(texts: DataFrame, classes: DataFrame, places: DataFrame) -> DataFram
     return found.select("t", "text", "s").mapInArrow(run, "t bigint, lo bigint, hi bigint, words string").dropDuplicates(["t", "lo", "hi"])
 
 
-def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """Verified passages of two shingle arrays: places [x1, x2] and [y1, y2], ends included."""
+def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int, apart: int | None = None) -> list[tuple[int, int, int, int]]:
+    """Verified passages of two shingle arrays: places [x1, x2] and [y1, y2], ends included. ``apart``: of two regions of
+    one text, how far the second begins after the first; a place is no repeat of itself.
+    """
     found: list[tuple[int, int, int, int]] = []
     common = np.intersect1d(x, y)
     if not len(common):
@@ -206,6 +210,9 @@ def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int) -> list
     low, high = held[np.maximum(after - 1, 0)], held[np.minimum(after, len(held) - 1)]
     far = lambda k: np.where(k >> 32 == want >> 32, np.abs(k - want), 1 << 40)
     in_y = np.where(far(low) <= far(high), low, high) & 0xFFFFFFFF
+    if apart is not None:
+        other = in_y + apart != match
+        match, in_y = match[other], in_y[other]
     free = np.ones(len(match), bool)
     for gap in (12, 6, 2, 0):
         left = np.flatnonzero(free)
@@ -242,7 +249,7 @@ def _verify(regions: DataFrame, slices: DataFrame, min_words: int, percent: int)
                 sides.append(token)
             names = (b.column(c).to_pylist() for c in ("a", "b", "a1", "b1"))
             for u, v, lo0, lo1, x, y in zip(*names, *sides, strict=True):
-                for x1, x2, y1, y2 in passages(x, y, min_words, percent):
+                for x1, x2, y1, y2 in passages(x, y, min_words, percent, lo1 - lo0 if u == v else None):
                     for k, z in zip(out, (u, v, lo0 + x1, lo0 + x2 + SHINGLE, lo1 + y1, lo1 + y2 + SHINGLE), strict=True):
                         out[k].append(z)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))

@@ -56,22 +56,23 @@ def test_passages_that_share_a_frequent_shingle_and_boilerplate(spark):
         passage = words(40) + phrase + words(40)
         rows += [(1000 + 2 * i + k, " ".join([*header, *passage, *footer, f"end{i}{k}"])) for k in (0, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in compact_windows.near_passages(df, hashes=1, enough=1).collect()}
+    got = {r["doc_id"]: r for r in compact_windows.near_passages(df, pairs=1).collect()}
     assert {d for d, _ in rows} == set(got)
     assert all(r["n_repeated"] == r["n_words"] - 1 for r in got.values())
 
 
 def test_windows_between_confirmed_spans_stay_open(spark):
-    members = spark.createDataFrame([(1, 7, m, 0) for m in (10, 50, 90)] + [(1, 8, 10, 0)], "key bigint, t bigint, m bigint, w bigint")
+    at = lambda m: (m << 32) | m
+    members = spark.createDataFrame([(1, 7, at(m), 0) for m in (10, 50, 90)] + [(1, 8, at(10), 0)], "key bigint, t bigint, m bigint, w bigint")
     spans = spark.createDataFrame([(7, 0, 40), (7, 80, 120)], "t bigint, lo bigint, hi bigint")
     rows = compact_windows.open_windows(members, spans).collect()
-    assert {(r["t"], r["m"]) for r in rows if r["open"]} == {(7, 50), (8, 10)}
+    assert {(r["t"], r["m"] >> 32) for r in rows if r["open"]} == {(7, 50), (8, 10)}
 
 
 def test_regions_of_two_passages_at_like_shifts(spark):
-    hits = [(1, 2, m, (lo << 32) | hi, m + s, ((lo + s) << 32) | (hi + s), fn) for fn in (0, 1) for m, lo, hi, s in ((40, 10, 70, 17), (1030, 1000, 1060, 12))]
-    df = spark.createDataFrame(hits, "a bigint, b bigint, ma bigint, wa bigint, mb bigint, wb bigint, fn int")
-    got = sorted((r["a1"], r["a2"], r["b1"], r["b2"]) for r in compact_windows._regions(df, 2).collect())
+    hits = [(1, 2, m << 32, (lo << 32) | hi, (m + s) << 32, ((lo + s) << 32) | (hi + s)) for _ in (0, 1) for m, lo, hi, s in ((40, 10, 70, 17), (1030, 1000, 1060, 12))]
+    df = spark.createDataFrame(hits, "a bigint, b bigint, ma bigint, wa bigint, mb bigint, wb bigint")
+    got = sorted((r["a1"], r["a2"], r["b1"], r["b2"]) for r in compact_windows._regions(df).collect())
     assert got == [(10, 70, 27, 87), (1000, 1060, 1012, 1072)]
 
 
