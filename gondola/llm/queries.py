@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import bwt_dedup, compact_windows, conversation_repair, fm_decontam, license_scan, minmax_dedup, pii_weak, pivotal_mix, quality_classifier, rule_ledger, url_lm, whitening
+from gondola.llm import bwt_dedup, compact_windows, conversation_repair, fm_decontam, license_scan, minmax_dedup, pii_weak, pivotal_mix, quality_classifier, rule_ledger, secret_scan, url_lm, whitening
 from gondola.llm.common import materialize, table
 
 
@@ -56,11 +56,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.prepare(*conversation_repair.damage(table(spark, sf_dir, "conversations"))))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_minmax_near_dedup, op3_compact_windows, op4_fm_decontamination, op5_rule_ledger, op6_url_language_models, op7_pivotal_mix, op8_bwt_dedup, op9_weak_pii, op10_license_scan, op11_embedding_whitening, op13_conversation_repair)
+    for f in (op1_quality_classifier, op2_minmax_near_dedup, op3_compact_windows, op4_fm_decontamination, op5_rule_ledger, op6_url_language_models, op7_pivotal_mix, op8_bwt_dedup, op9_weak_pii, op10_license_scan, op11_embedding_whitening, op12_secret_scan, op13_conversation_repair)
 }
