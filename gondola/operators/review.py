@@ -119,7 +119,7 @@ def fold_queue(events: DataFrame) -> DataFrame:
     """The queue's state after all events of each image in order (ts, event_id).
 
     assign: an unassigned image goes to the user; label: its holder finishes it; relabel: whoever labelled it may change
-    the label; skip: its holder puts it aside, as may whoever labelled it; recycle: a skipped image returns.
+    the label; skip: its holder puts it aside, as may whoever labelled it; release: its holder gives it back; recycle: a skipped image returns.
     events: image, user, action, ts, event_id. image, status, user, label, by, at, labels.
     """
     e = F.struct("ts", "event_id", "user", "action")
@@ -139,7 +139,7 @@ def queue_step(a: Column, x: Column) -> Column:
     return (
         F.when((act == "assign") & (a["status"] == "unassigned"), to("assigned", user, a["label"], a["by"], n))
         .when((act == "label") & holds, to("done", none, label, user, n + 1)).when((act == "relabel") & made, to("done", none, label, user, n + 1))
-        .when((act == "skip") & (holds | made), to("skipped", none, a["label"], a["by"], n)).when((act == "recycle") & (a["status"] == "skipped"), to("unassigned", none, a["label"], a["by"], n))
+        .when((act == "skip") & (holds | made), to("skipped", none, a["label"], a["by"], n)).when((act == "release") & holds | (act == "recycle") & (a["status"] == "skipped"), to("unassigned", none, a["label"], a["by"], n))
         .otherwise(a)
     )
 

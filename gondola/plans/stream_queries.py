@@ -10,6 +10,7 @@ from gondola.plans.fixtures import with_tables
 from gondola.plans.registry import query
 from gondola.plans.review_queries import _FOLD, _QE
 from gondola.sources.scratch import shared_path
+from gondola.streaming import keyed_state
 from gondola.streaming import shelf_streams as st
 
 
@@ -51,8 +52,17 @@ def t3_windowed_metrics(spark, sf_dir):
 
 @query(with_tables('SELECT image, status, "user", label, "by", labels FROM st', "queue_events", more=_QE + "," + _FOLD))
 def t5_queue_stream(spark, sf_dir):
-    out = st.with_state(_stream(spark, _events(spark, sf_dir), "queue"), shared_path(spark, "queue-state"), st.queue_step_batch)
-    return out.select("image", "status", "user", "label", "by", "labels")
+    changes = keyed_state.queue_changes(_stream(spark, _events(spark, sf_dir), "queue"))
+    return keyed_state.queue_now(st.run_once(changes, shared_path(spark, "queue"), clock=True)).select("image", "status", "user", "label", "by", "labels")
+
+
+@query(with_tables("SELECT image, CASE WHEN stale THEN 'unassigned' ELSE status END AS status, CASE WHEN NOT stale THEN \"user\" END AS \"user\", labels, stale AS released FROM (SELECT *, status = 'assigned' AND st.\"at\" < (SELECT max(ts) FROM queue_events) - INTERVAL 20 MINUTE AS stale FROM st)", "queue_events", more=_QE + "," + _FOLD))
+def t4_stale_release_stream(spark, sf_dir):
+    """Timers by event time: once the watermark is past, assignments of more than 20 minutes are released without an event."""
+    changes = keyed_state.queue_changes(_stream(spark, _events(spark, sf_dir), "queue"), stale_minutes=20, by_event_time=True, late="0 seconds")
+    done = st.run_once(changes, shared_path(spark, "queue"))
+    released = done.groupBy("image").agg(F.max_by(F.col("cause") == "timeout", "changes").alias("released"))
+    return keyed_state.queue_now(done).join(released, "image").select("image", "status", "user", "labels", "released")
 
 
 @query(with_tables("SELECT image, arg_max(user % 7, struct_pack(t := ts, e := event_id))::VARCHAR AS reviewer, count(*) > 0 AS touched FROM queue_events WHERE action = 'label' GROUP BY image UNION ALL SELECT image, 'none', false FROM (SELECT DISTINCT image FROM queue_events) WHERE image NOT IN (SELECT image FROM queue_events WHERE action = 'label')", "queue_events"))
@@ -65,7 +75,7 @@ def t6_t8_review_merge(spark, sf_dir):
         rows = batch.where("action = 'label'").select("image", F.col("user").alias("reviewer"), F.lit(True).alias("touched"), F.struct("ts", "event_id").alias("at"))
         return st.upsert_latest(rows, table if prior is None else prior, "image", "at")
 
-    return st.with_state(_stream(spark, e, "reviews"), shared_path(spark, "review-table"), merge).select("image", "reviewer", "touched")
+    return st.with_table(_stream(spark, e, "reviews"), shared_path(spark, "review-table"), merge).select("image", "reviewer", "touched")
 
 
 @query(with_tables("SELECT r.request, count(*) AS n, max(o.conf) AS best FROM (SELECT l_orderkey * 10 + l_linenumber AS request, store, sku_text FROM observations WHERE (l_orderkey + l_linenumber) % 50 = 0 AND NOT starts_with(sku_text, 'bad')) r JOIN observations o ON r.store = o.store AND r.sku_text = o.sku_text GROUP BY r.request", "observations"))
@@ -78,7 +88,6 @@ def t7_live_lookup(spark, sf_dir):
 
 @query()
 def j22_tracking(spark, sf_dir):
-    """Images as frames of twenty cameras: ids that live on from frame to frame."""
-    p = fx.pred_boxes(spark, sf_dir).select((F.col("image") % 20).alias("camera"), F.expr("image div 20").alias("frame"), "det", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    out = st.with_state(_stream(spark, p, "frames"), shared_path(spark, "tracks"), st.track_batch, every=True)
-    return out.where("frame IS NOT NULL").drop("live", "next_id")
+    """Images as frames, fifty a camera, so that cameras grow with the table: ids that live on from frame to frame."""
+    p = fx.pred_boxes(spark, sf_dir).select(F.expr("image div 50").alias("camera"), (F.col("image") % 50).alias("frame"), "det", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return st.run_once(keyed_state.track(_stream(spark, p, "frames")), shared_path(spark, "tracks"))

@@ -1,24 +1,33 @@
-"""Structured Streaming forms: intake with quarantine, routing, metrics, the annotation queue, reviews, lookup, tracking.
+"""Structured Streaming forms: intake with quarantine, routing, metrics, reviews and lookup; see also ``keyed_state``.
 
 Each builder takes a streaming DataFrame and returns one (or starts a query); batch tables work in all that keep no state.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.operators import review
-
 EVENT = "event_id bigint, ts timestamp, user string, image bigint, action string, value double"
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now through the stream into a Parquet table at ``path``, read back."""
+def run_once(stream: DataFrame, path: str, mode: str = "append", clock: bool = False) -> DataFrame:
+    """Everything that is there now through the stream into a Parquet table at ``path``, read back.
+
+    ``clock``: the stream has timers or state that follow the clock. Spark runs batches for these without end, so that
+    the query is stopped after two without rows: the first may repeat a batch that was broken off.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}.state")
+    if clock:
+        query = writer.trigger(processingTime="0 seconds").start()
+        try:
+            while not query.awaitTermination(0.1) and [p.numInputRows for p in query.recentProgress[-2:]] != [0, 0]:
+                pass
+        finally:
+            query.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -53,13 +62,18 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found)
 
 
-def with_state(stream: DataFrame, path: str, step, every: bool = False) -> DataFrame:
-    """Runs the stream until nothing is left, carrying a state table from batch to batch; returns the last state, or
-    with ``every`` the rows of all batches' tables.
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def with_table(stream: DataFrame, path: str, step) -> DataFrame:
+    """Runs the stream until nothing is left, carrying a table from batch to batch; returns the last one.
 
     ``step(batch, prior)`` gives the next state (prior is None at first). Each batch's state is a table below ``path``
     in the shared folder, named by the batch. A batch reads that of the one before it, and nothing is held in the
     driver: after a restart the stream goes on where its checkpoint stands, and a batch that broke off is done again.
+    Tables that a batch might still be done again from stay; older ones are deleted.
     Without any batch the state is that of an empty one.
     """
     spark = stream.sparkSession
@@ -68,26 +82,15 @@ def with_state(stream: DataFrame, path: str, step, every: bool = False) -> DataF
         before = [i for i in _batches(spark, path) if i < batch_id]
         prior = batch.sparkSession.read.parquet(f"{path}/batch-{before[-1]}") if before else None
         step(batch, prior).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        for old in before[:-1]:
+            _delete(spark, f"{path}/batch-{old}")
 
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start()
     query.awaitTermination()
     done = _batches(spark, path)
     if not done:
         return step(spark.createDataFrame([], stream.schema), None)
-    return spark.read.parquet(*[f"{path}/batch-{i}" for i in (done if every else done[-1:])])
-
-
-def queue_step_batch(batch: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """The queue's state after a batch of events: image, status, user, label, by, at, labels; one small row an image."""
-    fresh = batch.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "user", "action"))).alias("e"))
-    none = F.lit(None).cast("string")
-    init = F.struct(F.lit("unassigned").alias("status"), none.alias("user"), none.alias("label"), none.alias("by"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("labels")).cast(review.STATE)
-    if prior is None:
-        both = fresh.withColumn("s", init)
-    else:
-        held = prior.select("image", F.struct("status", "user", "label", "by", "at", "labels").cast(review.STATE).alias("s"))
-        both = fresh.join(held, "image", "full").withColumns({"s": F.coalesce("s", init), "e": F.coalesce("e", F.array().cast(fresh.schema["e"].dataType))})
-    return both.select("image", F.aggregate("e", F.col("s"), review.queue_step).alias("s")).select("image", "s.*")
+    return spark.read.parquet(f"{path}/batch-{done[-1]}")
 
 
 def upsert_latest(batch: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
@@ -146,28 +149,6 @@ def associate(tracks: list[list], boxes: list[tuple], next_id: int, least_iou: f
     return tracks, out, next_id
 
 
-def track_batch(batch: DataFrame, prior: DataFrame | None, least_iou: float = 0.3, max_age: int = 2, min_hits: int = 1) -> DataFrame:
-    """boxes: camera, frame, det, box -> camera, frame, track, box of the batch's frames, and each camera's live tracks
-    (frame null, ``live`` set). These alone are the state; what was put out before doesn't travel on.
-
-    Constant velocity and greedy association by IoU (ties: older track, then earlier box); frames of a camera must
-    arrive in order. A task holds the frames of one camera and batch.
-    """
-    schema = "camera bigint, frame bigint, track bigint, x1 double, y1 double, x2 double, y2 double, live array<double>, next_id bigint"
-    prior = batch.sparkSession.createDataFrame([], schema) if prior is None else prior.where("frame IS NULL")
-
-    def step(key: tuple, new: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
-        flat, next_id = (list(live["live"].iloc[0]), int(live["next_id"].iloc[0])) if len(live) else ([], 1)
-        tracks, out = [list(flat[i : i + 9]) for i in range(0, len(flat), 9)], []
-        for frame, part in new.sort_values(["frame", "det"]).groupby("frame", sort=True):
-            tracks, found, next_id = associate(tracks, list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), next_id, least_iou, max_age, min_hits)
-            out += [(key[0], frame, int(f[0]), *f[1:], None, None) for f in found]
-        out.append((key[0], None, None, None, None, None, None, [float(v) for t in tracks for v in t], next_id))
-        return pd.DataFrame(out, columns=["camera", "frame", "track", "x1", "y1", "x2", "y2", "live", "next_id"])
-
-    return batch.groupBy("camera").cogroup(prior.groupBy("camera")).applyInPandas(step, schema)
-
-
 def json_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("value string").format("text").load(path)
 

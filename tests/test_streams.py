@@ -1,54 +1,166 @@
-"""Streams that are stopped and started again."""
+"""Streams that are stopped and started again, timers, and tracks against a plain loop over all frames."""
 
+import datetime as dt
+import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from gondola.operators import review
+from gondola.streaming import keyed_state
 from gondola.streaming import shelf_streams as st
 
 BOX = "camera bigint, frame bigint, det bigint, x1 double, y1 double, x2 double, y2 double"
+EVENT = "image bigint, user string, action string, ts timestamp, event_id bigint"
+
+
+def put(spark, rows, folder, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def boxes(cameras=3, frames=24, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for camera in range(cameras):
+        things = [[rng.randrange(400), rng.randrange(300), rng.uniform(-9, 9), rng.uniform(-9, 9)] for _ in range(6)]
+        for frame in range(frames):
+            for det, t in enumerate(things):
+                t[0], t[1] = t[0] + t[2], t[1] + t[3]
+                if rng.random() < 0.85:
+                    rows.append((camera, frame, det, t[0], t[1], t[0] + 60.0, t[1] + 50.0))
+    rng.shuffle(rows)
+    return rows
+
+
+def plain_tracks(rows, least_iou=0.3, max_age=2):
+    """Every frame's boxes to the tracks by repeated search for the best pair."""
+
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        size = lambda z: (z[2] - z[0]) * (z[3] - z[1])
+        return 0.0 if w <= 0 or h <= 0 else w * h / (size(a) + size(b) - w * h)
+
+    found = []
+    for camera in {r[0] for r in rows}:
+        tracks, count = [], 0
+        for frame in sorted({r[1] for r in rows if r[0] == camera}):
+            here = [r[3:] for r in sorted(rows) if r[:2] == (camera, frame)]
+            moved = [[x + v for x, v in zip(t["box"], t["v"] * 2, strict=True)] for t in tracks]
+            pairs = {(i, j): iou(m, b) for i, m in enumerate(moved) for j, b in enumerate(here)}
+            mine = {}
+            while pairs:
+                (i, j), score = min(pairs.items(), key=lambda p: (-p[1], p[0]))
+                if score < least_iou:
+                    break
+                mine[i] = j
+                pairs = {k: v for k, v in pairs.items() if k[0] != i and k[1] != j}
+            for i, t in enumerate(tracks):
+                t["missed"] = 0 if i in mine else t["missed"] + 1
+                t["box"] = list(here[mine[i]]) if i in mine else moved[i]
+                if i in mine:
+                    t["v"] = [(v + new - old) / 2 for v, new, old in zip(t["v"], t["box"], moved[i], strict=False)]
+                    found.append((camera, frame, t["id"], *t["box"]))
+            tracks = [t for t in tracks if t["missed"] <= max_age]
+            for j, b in enumerate(here):
+                if j not in mine.values():
+                    count += 1
+                    tracks.append({"id": count, "box": list(b), "v": [0.0, 0.0], "missed": 0})
+                    found.append((camera, frame, count, *b))
+    return sorted(found)
+
+
+def tracked(spark, folder, out, **how):
+    return sorted(tuple(r) for r in st.run_once(keyed_state.track(spark.readStream.schema(BOX).parquet(folder), **how), out, clock=bool(how)).collect())
+
+
+def test_all_tracks_and_a_restart(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    rows = boxes()
+    want = plain_tracks(rows)
+    put(spark, rows, f"{root}/whole", BOX)
+    got = tracked(spark, f"{root}/whole", f"{root}/a")
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len({g[:1] + g[2:3] for g in got}) > 18
+    assert all(abs(x - y) < 1e-9 for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+    # each call is a new query from the checkpoint, as after a restart; a file is broken in between
+    for low, high in ((0, 9), (9, 10), (10, 24)):
+        put(spark, [r for r in rows if low <= r[1] < high], f"{root}/parts", BOX)
+        tracked(spark, f"{root}/parts", f"{root}/b", ttl_minutes=600)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/b").collect()) == got
+
+
+def test_a_task_that_dies_leaves_the_state_as_it_was(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    rows = boxes(frames=8)
+    put(spark, rows, f"{root}/whole", BOX)
+    want = tracked(spark, f"{root}/whole", f"{root}/a")
+    put(spark, [r for r in rows if r[1] < 4], f"{root}/parts", BOX)
+    tracked(spark, f"{root}/parts", f"{root}/b")
+    put(spark, [r for r in rows if r[1] >= 4], f"{root}/parts", BOX)
+    broken = keyed_state.track(spark.readStream.schema(BOX).parquet(f"{root}/parts")).withColumn("x1", F.when(F.col("frame") == 6, F.raise_error(F.lit("lost"))).otherwise(F.col("x1")))
+    with pytest.raises(Exception, match="lost"):
+        st.run_once(broken, f"{root}/b")
+    assert tracked(spark, f"{root}/parts", f"{root}/b") == want
 
 
-def boxes(frames):
-    return [(c, f, d, 10.0 * f + 100 * d, 0.0, 10.0 * f + 100 * d + 50, 40.0) for c in (1, 2) for f in frames for d in (0, 1)]
-
-
-def put(spark, rows, folder):
-    spark.createDataFrame(rows, BOX).coalesce(1).write.mode("append").parquet(folder)
+def at(minutes):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
 
 
-def ids(df):
-    return sorted(tuple(r) for r in df.where("frame IS NOT NULL").select("camera", "frame", "track", "x1").collect())
+def events(n=3000, seed=2):
+    rng = random.Random(seed)
+    return [(rng.randrange(40), str(rng.randrange(3)), rng.choice(["assign", "label", "relabel", "skip", "release", "recycle", "view"]), at(rng.randrange(900)), i) for i in range(n)]
 
 
-def test_tracks_live_on_after_a_restart(spark):
+def test_the_queue_over_restarts_is_the_fold_over_all_events(spark):
     root = tempfile.mkdtemp(prefix="spark-")
-    whole, parts = f"{root}/whole", f"{root}/parts"
-    put(spark, boxes(range(6)), whole)
-    read = lambda folder: spark.readStream.schema(BOX).parquet(folder)
-    want = ids(st.with_state(read(whole), f"{root}/a", st.track_batch, every=True))
-    assert len(want) == 24 and {t for _, _, t, _ in want} == {1, 2}
-    put(spark, boxes(range(3)), parts)
-    first = ids(st.with_state(read(parts), f"{root}/b", st.track_batch, every=True))
-    assert first == [x for x in want if x[1] < 3]
-    put(spark, boxes(range(3, 6)), parts)
-
-    def broken(batch, prior):
-        raise ValueError("lost")
-
-    with pytest.raises(Exception, match="lost"):
-        st.with_state(read(parts), f"{root}/b", broken, every=True)
-    # each call is a new query from the checkpoint, as after a restart
-    again = st.with_state(read(parts), f"{root}/b", st.track_batch, every=True)
-    assert ids(again) == want
-    # a batch's table has its own frames and one row of live tracks a camera
-    last = spark.read.parquet(f"{root}/b/batch-1")
-    assert last.where("frame IS NULL").count() == 2 and last.agg(F.min("frame")).first()[0] == 3
+    rows = sorted(events(), key=lambda r: (r[3], r[4]))
+    want = review.fold_queue(spark.createDataFrame(rows, EVENT)).select("image", "status", "user", "label", "by", "at", "labels").collect()
+    for i in range(3):
+        put(spark, rows[i * 1000 : (i + 1) * 1000], f"{root}/in", EVENT)
+        stream = spark.readStream.schema(EVENT).parquet(f"{root}/in")
+        if i == 1:  # breaks off first
+            with pytest.raises(Exception, match="lost"):
+                st.run_once(keyed_state.queue_changes(stream).withColumn("status", F.when(F.col("image") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("status"))), f"{root}/out", clock=True)
+        changes = st.run_once(keyed_state.queue_changes(stream), f"{root}/out", clock=True)
+    got = keyed_state.queue_now(changes).select("image", "status", "user", "label", "by", "at", "labels").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["status"] for r in want} == {"assigned", "done", "skipped", "unassigned"}
+    # a batch puts out the images that it touches, not the whole state
+    assert changes.count() == sum(len({r[0] for r in rows[i * 1000 : (i + 1) * 1000]}) for i in range(3))
+
+
+def test_a_timer_releases_an_assignment_without_an_event(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    put(spark, [(1, "a", "assign", at(0), 1), (2, "b", "assign", at(0), 2), (2, "b", "label", at(1), 3)], f"{root}/in", EVENT)
+    changes = keyed_state.queue_changes(spark.readStream.schema(EVENT).parquet(f"{root}/in"), stale_minutes=0.02)
+    query = changes.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 60
+        read = lambda: {(r["image"], r["status"], r["cause"]) for r in spark.read.schema(keyed_state.CHANGE).parquet(f"{root}/out").collect()}
+        while time.time() < until and (1, "unassigned", "timeout") not in read():
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert read() == {(1, "assigned", "event"), (1, "unassigned", "timeout"), (2, "done", "event")}
+
+
+def test_timers_by_event_time(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    put(spark, [(1, "a", "assign", at(0), 1), (2, "b", "assign", at(15), 2), (3, "c", "view", at(30), 3)], f"{root}/in", EVENT)
+    put(spark, [(1, "a", "label", at(40), 4), (2, "b", "label", at(41), 5), (9, "z", "assign", at(5), 6)], f"{root}/more", EVENT)
+    run = lambda folder: keyed_state.queue_now(st.run_once(keyed_state.queue_changes(spark.readStream.schema(EVENT).parquet(folder), by_event_time=True, late="0 seconds"), f"{root}/out")).collect()
+    first = {r["image"]: r["status"] for r in run(f"{root}/in")}
+    assert first == {1: "unassigned", 2: "assigned", 3: "unassigned"}
+    spark.read.parquet(f"{root}/more").write.mode("append").parquet(f"{root}/in")
+    # 1 was taken from its holder, so that the label counts no more; 9 comes later than the watermark
+    assert {r["image"]: r["status"] for r in run(f"{root}/in")} == {1: "unassigned", 2: "done", 3: "unassigned"}
 
 
 def test_state_of_a_stream_without_rows(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     spark.createDataFrame([], BOX).write.parquet(f"{root}/none")
-    got = st.with_state(spark.readStream.schema(BOX).parquet(f"{root}/none"), f"{root}/s", st.track_batch)
-    assert got.where("frame IS NOT NULL").count() == 0
+    assert tracked(spark, f"{root}/none", f"{root}/s") == []
+    table = spark.createDataFrame([(1, 0)], "k bigint, n bigint")
+    got = st.with_table(spark.readStream.schema("k bigint, n bigint").parquet(f"{root}/none"), f"{root}/t", lambda b, prior: st.upsert_latest(b, table if prior is None else prior, "k", "n"))
+    assert [tuple(r) for r in got.collect()] == [(1, 0)]
