@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions import boxes as bx
 from gondola.functions.boxes import Box
+from gondola.operators import prefix_scan
 from gondola.operators.match import sides
 
 
@@ -71,48 +72,78 @@ def confusion(preds: DataFrame, gts: DataFrame, least_conf: Column, least_iou: f
     return cells.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def precision_curve(ranked: DataFrame, labels: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """ranked: keys, correct; labels: keys, n_labels -> running tp, fp, recall, precision and the precision's envelope."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    c = ranked.withColumns({"tp": F.sum(F.col("correct").cast("int")).over(by), "rank": F.count(F.lit(1)).over(by)}).join(labels, list(keys))
-    c = c.withColumns({"recall": F.col("tp") / F.col("n_labels"), "precision": F.col("tp") / F.col("rank")})
-    # from the last rank back: a running maximum, linear in the rows
-    back = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("envelope", F.max("precision").over(back))
+def precision_curve(detections: DataFrame, labels: DataFrame, levels: Sequence[float], keys: Sequence[str], order: Sequence[Column]) -> dict[str, DataFrame]:
+    """detections: keys, ``iou`` (of the label that it claims, else null) and what ``order`` names; labels: keys, ...
 
+    Where precision falls between two correct detections follows from their ranks, so that only correct ones are kept:
+    ``points``: keys, threshold, tp, rank, precision, envelope (the greatest precision from here on), for iou > threshold.
+    ``groups``: keys, threshold, n_labels, n_detections, for keys that have both, with or without points.
 
-def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Area under the envelope where recall grows (the continuous form)."""
-    prev = F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy("rank"))
-    return curve.withColumn("gain", F.col("recall") - prev).groupBy(*keys).agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
-
-
-def average_precision_101(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    One sort by rank serves all levels; ranks, counts and envelopes are prefix scans, so that no group is one task.
+    """
+    keys = list(keys)
+    ranked = prefix_scan.place(detections.select(*keys, "iou", *[c.alias(f"_o{i}") for i, c in enumerate(order)]), [*keys, *[f"_o{i}" for i in range(len(order))]])
+    hit = lambda t: F.coalesce((F.col("iou") > t).cast("bigint"), F.lit(0))
+    sums = {"rank": F.lit(1)} | {f"tp{i}": hit(t) for i, t in enumerate(levels)}
+    claims = prefix_scan.running_sums(ranked, keys, sums).where(F.col("iou") > min(levels))
+    best = {f"env{i}": F.when(F.col("iou") > t, F.col(f"tp{i}") / F.col("rank")) for i, t in enumerate(levels)}
+    curve = prefix_scan.maxima_ahead(claims, keys, best)
+    at = [F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"env{i}").alias("envelope")) for i, t in enumerate(levels)]
+    points = curve.select(*keys, "rank", "iou", F.explode(F.array(*at)).alias("a")).where(F.col("iou") > F.col("a.threshold"))
+    points = points.select(*keys, "a.threshold", "a.tp", "rank", (F.col("a.tp") / F.col("rank")).alias("precision"), "a.envelope")
+    n = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels")).join(ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_detections")), keys)
+    return {"points": points, "groups": n.select(*keys, F.explode(F.array(*map(F.lit, levels))).alias("threshold"), "n_labels", "n_detections")}
+
+
+def average_precision(curve: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Area under the envelope where recall grows (the continuous form): each correct detection adds 1 / n_labels."""
+    keys = [*keys, "threshold"]
+    area = curve["points"].groupBy(*keys).agg(F.sum("envelope").alias("area"))
+    return curve["groups"].join(area, keys, "left").select(*keys, F.coalesce(F.col("area") / F.col("n_labels"), F.lit(0.0)).alias("ap"))
+
+
+def average_precision_101(curve: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Area under the envelope, interpolated linearly at 101 recalls and integrated by trapezoids.
 
-    A curve's points: (0, its highest precision or 1), its own, and its last recall + 0.01 with precision 0.
+    A curve's points: (0, 1), its own, and its last recall + 0.01 with precision 0. A place x lies behind the last point
+    of recall tp / n_labels <= x and before the first of the next recall, so that its neighbours are looked up by tp.
     """
-    top = F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"))
-    pts = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("k"), F.col("recall").alias("r"), F.col("envelope").alias("p")))).alias("c"))
-    own = F.transform("c", lambda x: F.struct(x["r"].alias("r"), x["p"].alias("p")))
-    line = F.concat(F.array(top), own, F.array(F.struct((F.element_at("c", -1)["r"] + 0.01).alias("r"), F.lit(0.0).alias("p"))))
-    seg = pts.select(*keys, F.posexplode(line).alias("i", "z")).select(*keys, "i", "z.*")
-    w = Window.partitionBy(*keys).orderBy("i")
-    seg = seg.withColumns({"r2": F.lead("r").over(w), "p2": F.lead("p").over(w)})
-    # the few grid places of each segment
-    low, high = F.floor(F.col("r") * 100), F.least(F.lit(100), F.coalesce(F.ceil(F.col("r2") * 100), F.lit(100)))
-    at = seg.where(low <= high).select(*keys, "i", "r", "p", "r2", "p2", F.explode(F.sequence(low, high)).alias("k")).withColumn("x", F.col("k") / 100.0)
-    at = at.where((F.col("x") >= F.col("r")) & (F.col("r2").isNull() | (F.col("x") < F.col("r2"))))
-    y = F.when(F.col("r2").isNull(), F.col("p")).otherwise(F.col("p") + (F.col("p2") - F.col("p")) * (F.col("x") - F.col("r")) / (F.col("r2") - F.col("r")))
-    weight = F.when((F.col("x") == 0.0) | (F.col("x") == 1.0), 0.005).otherwise(0.01)
-    return at.groupBy(*keys).agg(F.sum(y * weight).alias("ap"))
-
-
-def best_f1(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Precision, recall and F1 at each key's best F1 (earliest rank on ties)."""
-    f1 = F.when(F.col("tp") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    top = curve.withColumn("f1", f1).groupBy(*keys).agg(F.max(F.struct(F.round("f1", 9).alias("f1"), (-F.col("rank")).alias("back"), "precision", "recall")).alias("t"))
-    return top.select(*keys, F.col("t.f1").alias("f1"), F.col("t.precision").alias("precision"), F.col("t.recall").alias("recall"))
+    keys = [*keys, "threshold"]
+    n, x, tp = F.col("n_labels"), F.col("k") / 100.0, F.col("left_tp")
+    most = curve["points"].groupBy(*keys).agg(F.max("tp").alias("most"))
+    grid = curve["groups"].join(most, keys, "left").na.fill(0, ["most"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(100))))
+    grid = grid.withColumn("left_tp", F.least(F.floor(F.col("k") * n / 100), F.col("most")))
+    found = curve["points"].select(*keys, "tp", "rank", "envelope")
+    wanted = grid.select(*keys, F.explode(F.array(tp, tp + 1)).alias("tp")).distinct()
+    near = found.join(wanted, [*keys, "tp"], "left_semi")
+    side = lambda name, shift: near.select(*keys, (F.col("tp") - shift).alias("left_tp"), F.col("rank").alias(f"{name}_rank"), F.col("envelope").alias(f"{name}_env"))
+    g = grid.join(side("l", 0), [*keys, "left_tp"], "left").join(side("r", 1), [*keys, "left_tp"], "left")
+    # the last point at the left recall: a wrong detection before the next correct one, if there is one
+    wrong = F.col("r_rank") > F.coalesce("l_rank", F.lit(0)) + 1
+    left = F.when(F.col("r_rank").isNull(), F.col("most") / F.col("n_detections")).when(wrong, F.greatest(tp / (F.col("r_rank") - 1), "r_env")).otherwise(F.coalesce("l_env", F.lit(1.0)))
+    r1, r2 = tp / n, F.when(F.col("r_rank").isNull(), tp / n + 0.01).otherwise((tp + 1) / n)
+    p2 = F.coalesce("r_env", F.lit(0.0))
+    y = F.when(x < r2, left + (p2 - left) * (x - r1) / (r2 - r1)).otherwise(0.0)
+    weight = F.when(F.col("k").isin(0, 100), 0.005).otherwise(0.01)
+    return g.groupBy(*keys).agg(F.sum(y * weight).alias("ap"))
+
+
+def best_f1(curve: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Precision, recall and F1 at each key's best F1 (earliest rank on ties), which is at a correct detection; else 0."""
+    keys = [*keys, "threshold"]
+    at = curve["points"].join(curve["groups"], keys).withColumn("recall", F.col("tp") / F.col("n_labels"))
+    f1 = F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 9)
+    top = at.groupBy(*keys).agg(F.max(F.struct(f1.alias("f1"), (-F.col("rank")).alias("back"), "precision", "recall")).alias("t"))
+    return curve["groups"].join(top, keys, "left").select(*keys, *[F.coalesce(f"t.{c}", F.lit(0.0)).alias(c) for c in ("f1", "precision", "recall")])
+
+
+def ordinal_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first, the upper median and the last row of each group in ``order``, which must be total. Null keys are a group."""
+    placed = prefix_scan.running_sums(prefix_scan.place(rows, [*keys, *order]), keys, {"_rank": F.lit(1)})
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    other = n.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n")
+    met = placed.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return met.where(F.col("_rank").isin(1) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1) | (F.col("_rank") == F.col("_n"))).select(*rows.columns)
 
 
 def run_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

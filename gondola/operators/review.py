@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions import codes
+from gondola.operators import prefix_scan
 
 # ---- temporal empty slots
 
@@ -102,12 +103,15 @@ def balance(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def next_after_save(rows: DataFrame) -> DataFrame:
-    """rows: image, row -> the next row in the image, wrapped to its first, and the next over all (by image, row)."""
-    own, every = Window.partitionBy("image").orderBy("row"), Window.partitionBy("image").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = rows.groupBy("image").agg(F.min("row").alias("first"))
-    after = firsts.withColumn("next_image_first", F.lead("first").over(Window.orderBy("image"))).select("image", "next_image_first")
-    n = rows.select("image", "row", F.lead("row").over(own).alias("next"), F.first("row").over(every).alias("wrapped")).join(after, "image")
-    return n.select("image", "row", F.col("next").alias("next_in_image"), F.coalesce("next", "wrapped").alias("next_wrapped"), F.coalesce("next", "next_image_first").alias("next_row"))
+    """rows: image, row -> the next row in the image, wrapped to its first, and the next over all (by image, row).
+
+    Rows without an image are in no queue. Neighbours are found range by range, so that neither a large image nor the
+    whole list is one task.
+    """
+    placed = prefix_scan.place(rows.select("image", "row").where("image IS NOT NULL"), ["image", "row"])
+    n = prefix_scan.following(placed, ["image", "row"], "next").join(rows.groupBy("image").agg(F.min("row").alias("first")), "image")
+    own = F.when(F.col("next.image") == F.col("image"), F.col("next.row"))
+    return n.select("image", "row", own.alias("next_in_image"), F.coalesce(own, "first").alias("next_wrapped"), F.col("next.row").alias("next_row"))
 
 
 # ---- queue

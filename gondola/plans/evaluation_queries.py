@@ -151,30 +151,35 @@ _CLAIMS = f"""
   en AS (SELECT cu.cls, threshold, k, tp, tp / n AS recall, tp / k AS prec, max(tp / k) OVER (PARTITION BY cu.cls, threshold ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM cu JOIN lbl ON cu.cls = lbl.cls)"""
 
 
-def _curve(spark, sf_dir):
+def _curve(spark, sf_dir, levels=LEVELS):
     p, g = _sides(spark, sf_dir)
-    claims = match.first_claims(p, g, LEVELS).where("correct").select("image", "det", "threshold", F.lit(True).alias("correct"))
-    all_ = p.select("image", "det", "cls", "conf", F.explode(F.array(*map(F.lit, LEVELS))).alias("threshold"))
-    ranked = all_.join(claims, ["image", "det", "threshold"], "left").na.fill(False, ["correct"])
-    n = g.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels")).withColumn("threshold", F.explode(F.array(*map(F.lit, LEVELS))))
-    return evaluate.precision_curve(ranked, n, ["cls", "threshold"], [F.col("conf").desc(), F.col("image"), F.col("det")])
+    claims = match.first_claims(p, g, levels[:1]).select("image", "det", "iou")
+    detections = p.select("image", "det", "cls", "conf").join(claims, ["image", "det"], "left")
+    return evaluate.precision_curve(detections, g, levels, ["cls"], [-F.col("conf"), F.col("image"), F.col("det")])
 
 
 @query(with_tables("SELECT cls, threshold, round(sum((recall - prev) * env), 6) AS ap FROM (SELECT *, lag(recall, 1, 0) OVER (PARTITION BY cls, threshold ORDER BY k) AS prev FROM en) GROUP BY cls, threshold", *_TABLES, more=_PAIRS + "," + _CLAIMS))
 def a24_average_precision(spark, sf_dir):
-    return evaluate.average_precision(_curve(spark, sf_dir), ["cls", "threshold"]).withColumn("ap", _R("ap"))
+    return evaluate.average_precision(_curve(spark, sf_dir), ["cls"]).withColumn("ap", _R("ap"))
 
 
 @query(with_tables("""SELECT cls, max(f1) AS f1, round(arg_max(prec, struct_pack(f := f1, b := -k)), 6) AS precision, round(arg_max(recall, struct_pack(f := f1, b := -k)), 6) AS recall
   FROM (SELECT *, round(CASE WHEN tp > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0 END, 9) AS f1 FROM en WHERE threshold = 0.5) GROUP BY cls""", *_TABLES, more=_PAIRS + "," + _CLAIMS))
 def a24_best_f1(spark, sf_dir):
-    b = evaluate.best_f1(_curve(spark, sf_dir).where("threshold = 0.5"), ["cls", "threshold"])
+    b = evaluate.best_f1(_curve(spark, sf_dir, LEVELS[:1]), ["cls"])
     return b.select("cls", "f1", _R("precision").alias("precision"), _R("recall").alias("recall"))
 
 
-@query()
+_POINTS = """
+  al AS (SELECT cls, threshold, k, recall AS r, env AS e FROM en UNION ALL SELECT DISTINCT cls, threshold, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM en UNION ALL SELECT cls, threshold, 1000000000000, max(recall) + 0.01, 0.0::DOUBLE FROM en GROUP BY cls, threshold),
+  pt AS (SELECT cls, threshold, r, arg_min(e, k) AS first_e, arg_max(e, k) AS last_e FROM al GROUP BY cls, threshold, r),
+  sg AS (SELECT *, lead(r) OVER w AS r2, lead(first_e) OVER w AS e2 FROM pt WINDOW w AS (PARTITION BY cls, threshold ORDER BY r)),
+  gp AS (SELECT cls, threshold, x, CASE WHEN r2 IS NULL THEN last_e ELSE last_e + (e2 - last_e) * (x - r) / (r2 - r) END AS y FROM (SELECT k / 100 AS x FROM range(101) z(k)) JOIN sg ON x >= r AND (r2 IS NULL OR x < r2))"""
+
+
+@query(with_tables("SELECT cls, threshold, round(sum(y * CASE WHEN x IN (0, 1) THEN 0.005 ELSE 0.01 END), 6) AS ap FROM gp GROUP BY cls, threshold", *_TABLES, more=_PAIRS + "," + _CLAIMS + "," + _POINTS))
 def a24_average_precision_101(spark, sf_dir):
-    return evaluate.average_precision_101(_curve(spark, sf_dir), ["cls", "threshold"]).withColumn("ap", _R("ap"))
+    return evaluate.average_precision_101(_curve(spark, sf_dir), ["cls"]).withColumn("ap", _R("ap"))
 
 
 @query(with_tables("SELECT image, det, conf FROM (SELECT image, det, conf, row_number() OVER (PARTITION BY image ORDER BY conf DESC, det) AS rn FROM (SELECT image, z.det AS det, z.conf AS conf FROM (SELECT image, unnest(r.k) AS z FROM kept))) WHERE rn <= 300", "pred_boxes", more="""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gondola.functions import codes
-from gondola.operators import review
+from gondola.operators import evaluate, review
 from gondola.plans import fixtures as fx
 from gondola.plans.fixtures import with_tables
 from gondola.plans.registry import query
@@ -130,9 +130,8 @@ def l1_worst_images(spark, sf_dir):
 
 @query(with_tables("SELECT cls, image, det, conf FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY conf, image, det) AS rn, count(*) OVER (PARTITION BY cls) AS n FROM pred_boxes) WHERE rn IN (1, n // 2 + 1, n)", "pred_boxes"))
 def l2_worst_median_best(spark, sf_dir):
-    by = Window.partitionBy("cls")
-    n = fx.pred_boxes(spark, sf_dir).withColumns({"rn": F.row_number().over(by.orderBy("conf", "image", "det")), "n": F.count(F.lit(1)).over(by)})
-    return n.where((F.col("rn") == 1) | (F.col("rn") == F.floor(F.col("n") / 2) + 1) | (F.col("rn") == F.col("n"))).select("cls", "image", "det", "conf")
+    rows = fx.pred_boxes(spark, sf_dir).select("cls", "image", "det", "conf")
+    return evaluate.ordinal_rows(rows, ["cls"], ["conf", "image", "det"])
 
 
 @query(with_tables("SELECT image, det FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf DESC, det) AS rn FROM pred_boxes) WHERE rn <= 10", "pred_boxes"))
