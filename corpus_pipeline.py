@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.llm import fm_decontam, minmax_dedup, pii_weak, pivotal_mix, quality_classifier
-from gondola.llm.common import materialize, table
+from gondola.llm.common import forget, materialize, packed, table
 
 
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,8 @@ def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are judged one by one, whatever their ids. Null and empty texts go. Without any rating, all texts with words stay.
     """
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.select_good(docs, model)
+    inner, whole = packed(docs, "doc_id", "text")
+    return whole(quality_classifier.select_good(inner, model))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +25,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are documents: rows of one id with different texts are judged apart, and of a group without ids one row stays.
     Of rows that agree in id and text, the least in the other columns stays. Texts without words are copies of nothing.
     """
-    key = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__null": F.col("doc_id").isNull(), "__h": F.xxhash64("text")}
-    groups = minmax_dedup.link(docs)
-    named = groups.where("first AND n_shingles > 0").select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("h").alias("__h"))
+    inner, whole = packed(docs, "doc_id", "text")
+    key = {"key_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "key_null": F.col("doc_id").isNull(), "key_h": F.xxhash64("text")}
+    groups = minmax_dedup.link(docs.select("doc_id", "text"))
+    named = groups.where("first AND n_shingles > 0").select(F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.col("h").alias("key_h"))
     named = materialize(named)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in inner.columns if c != "text"]
     # the join deals the texts out by this key, and the grouping needs no other order
-    one = docs.withColumns(key).join(named.hint("shuffle_hash"), list(key), "left_semi").groupBy(*key).agg(F.min(F.struct(*others, "text")).alias("d"))
+    one = inner.withColumns(key).join(named.hint("shuffle_hash"), list(key), "left_semi").groupBy(*key).agg(F.min(F.struct(*others, "text")).alias("d"))
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return one.select("d.*").select(*docs.columns).unionByName(docs.where(~some))
+    return whole(one.select("d.*").select(*inner.columns).unionByName(inner.where(~some)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,27 +42,34 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows are judged one by one, whatever their ids; null and empty texts stay, as does all without a benchmark.
     """
-    found = fm_decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    inner, whole = packed(docs, "doc_id", "text")
+    found = fm_decontam.contamination(inner, table(spark, sf_dir, "benchmark"), keep=tuple(inner.columns))
+    return whole(found.where(~F.col("contaminated")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data replaced by the kind of data; null texts stay null, and ids play no part."""
-    clean = pii_weak.redact(pii_weak.detect(docs))
-    if "n_chars" in docs.columns:
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    inner, whole = packed(docs, *own)
+    clean = pii_weak.redact(pii_weak.detect(inner))
+    if "n_chars" in own:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return whole(clean)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies and taken words.
 
     Rows are numbered for it, so that each has its own copies, with or without an id. Null sources form one source;
-    texts without words have size 0 and are taken only where whole copies are due.
+    texts without words have size 0 and are taken only where whole copies are due. Columns of these two names that are
+    there already are replaced.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = materialize(pivotal_mix.mix(numbered, row="__row").where("copies > 0").select(F.col("row").alias("__row"), "copies", "taken"))
-    return numbered.join(taken.hint("shuffle_hash"), "__row").select(*docs.columns, "copies", "taken")
+    own = ("doc_id", "text", "source")
+    inner, whole = packed(docs, *own)
+    numbered = materialize(inner.withColumn("row", F.monotonically_increasing_id()))
+    taken = materialize(pivotal_mix.mix(numbered, row="row").where("copies > 0").select("row", F.struct("copies", "taken").alias("mix")))
+    mixed = numbered.join(taken.hint("shuffle_hash"), "row")
+    return whole(mixed, copies=F.col("mix.copies"), taken=F.col("mix.taken"))
 
 
 STAGES = [
