@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,5 +98,22 @@ def forget(*tables: DataFrame | None, sweep: bool = False) -> None:
         context._jvm.System.gc()
 
 
+def packed(rows: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The ``own`` columns and one struct of all others under a name of its own, so that no name of theirs meets an
+    operator's; and a function that unpacks rows of it to the columns of ``rows``, in their order, and adds columns that
+    it is given (those of the same name go).
+    """
+    name = f"rest_{uuid.uuid4().hex}"
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    others = [c for c in rows.columns if c not in own]
+    inner = rows.select(*map(quoted, own), *([F.struct(*map(quoted, others)).alias(name)] if others else []))
+
+    def whole(df: DataFrame, **more: Column) -> DataFrame:
+        kept = [c for c in rows.columns if c.lower() not in more]
+        return df.select(*[quoted(c) if c in own else F.col(name)[c].alias(c) for c in kept], *[v.alias(k) for k, v in more.items()])
+
+    return inner, whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

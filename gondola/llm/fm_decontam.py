@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gondola.llm.arrays import ALNUM, Texts, lists
 from gondola.llm.common import materialize, scan
@@ -203,8 +204,8 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int = 13, shar
             yield flush()
 
     read = docs.select(*dict.fromkeys((*keep, "text")))
-    kept = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    return read.mapInArrow(run, f"{kept}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
+    found = StructType.fromDDL("n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
+    return read.mapInArrow(run, StructType([*[read.schema[c] for c in keep], *found.fields]))
 
 
 def _merge(spans: Column) -> Column:
@@ -222,14 +223,14 @@ def _merge(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: int = 16, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_words, n_hit, n_items, items (sorted), spans, contaminated (a twentieth of the words or more is hit)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     mb = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     blocks = int(mb // block_mb) + 1
     found, row = None, "_row"
     if blocks > 1:
         docs = materialize(docs.select(*dict.fromkeys((*keep, "text"))).withColumn(row, F.monotonically_increasing_id()))
     for i in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()  # of bounded size
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()  # of bounded size
         part = search(docs, [(r["item"], r["text"]) for r in block], window, keep=keep if blocks == 1 else (row,))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:

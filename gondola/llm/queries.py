@@ -43,7 +43,7 @@ def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_weak.annotate(table(spark, sf_dir, "documents")).select("doc_id", "base", "cands")
+    found = pii_weak.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "base", "cands")
     found = materialize(found)  # offsets and votes only, no text
     return pii_weak.digest(pii_weak.decide(found, pii_weak.fit(found)))
 

@@ -9,6 +9,7 @@ Null texts count as empty (no words); rows are independent, so repeated ids, tie
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -69,18 +70,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\x0b\f\r", "") != "")
     by_words = let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("r")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), F.size(F.array_distinct(x)).cast("bigint").alias("d")))
-    m = docs.withColumns({"__w": by_words, "__l": by_lines})
+    w, line = f"w_{uuid.uuid4().hex}", f"l_{uuid.uuid4().hex}"
+    m = docs.withColumns({w: by_words, line: by_lines})
     return m.withColumns(
         {
-            "n_words": F.col("__w.n"),
+            "n_words": F.col(w)["n"],
             "word_chars": F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("bigint"),
             "n_symbols": bare("#*$%&|<>"),
-            "n_lines": F.col("__l.n"),
-            "n_dup_lines": F.col("__l.n") - F.col("__l.d"),
-            "n_repeat_words": F.col("__w.r"),
+            "n_lines": F.col(line)["n"],
+            "n_dup_lines": F.col(line)["n"] - F.col(line)["d"],
+            "n_repeat_words": F.col(w)["r"],
             "n_capitals": bare("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         }
-    ).drop("__w", "__l")
+    ).drop(w, line)
 
 
 def ledger(docs: DataFrame, rules: Mapping[str, str] = RULES, text: str = "text") -> DataFrame:
