@@ -21,13 +21,35 @@ NOTE_REASONS = (
 REQUIRED = "expected_sku is required (enter SKU digits or N/A with notes)."
 WRONG_LENGTH = "expected_sku must be exactly 6 or 10 characters (digits and X for unclear digits)."
 # fixed values: item and vendor code shapes
-ITEM_CODES = r"^(?:[0-9]{6}|[0-9]{10}|[0-9]{3}-[0-9]{3}|[0-9]{4}-[0-9]{3}-[0-9]{3}|SKU[:-](?:[0-9]{6}|[0-9]{10}))$"
-VENDOR_CODES = (
-    r"^(?:(?:[0-9]{2}[^A-Za-z0-9_])?(?:SKU#)?[0-9]{4}[^A-Za-z0-9_][0-9]{3}[^A-Za-z0-9_][0-9]{3}"
-    r"|SKU[^A-Za-z0-9_][0-9]{4}[^A-Za-z0-9_][0-9]{3}[^A-Za-z0-9_][0-9]{3}|SKU#[0-9]{10}|(?:[0-9]{2}[^A-Za-z0-9_])?[0-9]{6}"
-    r"|[0-9]{2}[^A-Za-z0-9_]SKU[^A-Za-z0-9_]#[0-9]{6}|[0-9]{2}[^A-Za-z0-9_]SKU#[^A-Za-z0-9_][0-9]{6}"
-    r"|(?:[0-9]{2}[^A-Za-z0-9_])?[0-9]{3}[^A-Za-z0-9_][0-9]{3}|[0-9]{2}[^A-Za-z0-9_][0-9]{10})$"
+# fixed values: the shapes of item codes, one a line. \d and \W are those of Java, so ASCII digits and word characters.
+ITEM_SHAPES = (
+    r"\d{6}",
+    r"\d{10}",
+    r"\d{3}-\d{3}",
+    r"\d{4}-\d{3}-\d{3}",
+    r"SKU:\d{6}",
+    r"SKU:\d{10}",
+    r"SKU-\d{6}",
+    r"SKU-\d{10}",
 )
+# fixed values: the shapes of vendor codes, one a line
+VENDOR_SHAPES = (
+    r"\d{4}\W\d{3}\W\d{3}",
+    r"\d{2}\W\d{4}\W\d{3}\W\d{3}",
+    r"\d{2}\WSKU#\d{4}\W\d{3}\W\d{3}",
+    r"SKU#\d{4}\W\d{3}\W\d{3}",
+    r"SKU\W\d{4}\W\d{3}\W\d{3}",
+    r"SKU#\d{10}",
+    r"\d{6}",
+    r"\d{2}\W\d{6}",
+    r"\d{2}\WSKU\W#\d{6}",
+    r"\d{2}\WSKU#\W\d{6}",
+    r"\d{3}\W\d{3}",
+    r"\d{2}\W\d{3}\W\d{3}",
+    r"\d{2}\W\d{10}",
+)
+ITEM_CODES = f"^(?:{'|'.join(ITEM_SHAPES)})$"
+VENDOR_CODES = f"^(?:{'|'.join(VENDOR_SHAPES)})$"
 DATES = r"^(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$"
 DASHES = "‐‑‒–—"
 
