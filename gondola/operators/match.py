@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions import boxes as bx
 from gondola.functions.boxes import Box
+from gondola.sources.scratch import written
 
 
 def sides(preds: DataFrame, gts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -169,17 +170,52 @@ def first_containing(points: DataFrame, areas: DataFrame, point_id: str, strict:
     return pairs.where(held).groupBy("image", point_id).agg(F.min("g_det").alias("det"))
 
 
-def infer_image(preds: DataFrame, gts: DataFrame, least: float = 1.0) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], least: float, cell: int = 8) -> DataFrame:
+    """Pairs of boxes of equal keys whose IoU is ``least`` or more, each once, with ``iou``.
+
+    An inverted index on corners: such boxes overlap in each direction by ``least`` of the wider one, so that their upper
+    left corners differ by at most (1 - least) / least of the left box's sides. Each right box has one posting, by the
+    cell of its corner; each left box probes the cells that its partners' corners can be in.
+    """
+    a, b = Box.of(), Box.of("g_")
+    reach = (1 - least) / least
+    cells = lambda at, size: F.sequence(F.floor((at - reach * size) / cell), F.floor((at + reach * size) / cell))
+    probes = F.flatten(F.transform(cells(a.x1, a.x2 - a.x1), lambda x: F.transform(cells(a.y1, a.y2 - a.y1), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    posted = right.withColumn("cell", F.struct(F.floor(a.x1 / cell).alias("cx"), F.floor(a.y1 / cell).alias("cy")))
+    met = sides(left.withColumn("cell", F.explode(probes)), posted, [*keys, "cell"]).drop("cell")
+    return met.where(bx.overlaps(a, b)).withColumn("iou", bx.iou(a, b)).where(F.col("iou") >= least)
+
+
+def _image_scores(met: DataFrame) -> DataFrame:
+    best = met.groupBy("source", "det", "g_image").agg(F.max("iou").alias("iou"))
+    return best.groupBy("source", F.col("g_image").alias("image")).agg(F.sum("iou").alias("score"), F.count(F.lit(1)).alias("near"))
+
+
+def infer_image(preds: DataFrame, gts: DataFrame, least: float = 1.0, near: float = 0.5) -> DataFrame:
     """For each ``source`` of preds the image whose boxes fit best: over predictions, the sum of the best same-class IoU.
 
     preds: source, det, cls, box (image unknown); gts: image, cls, box. Ties take the greater image; a score under
-    ``least`` gives no row. Classes must be selective: predictions meet all boxes of their class that overlap.
+    ``least`` gives no row. Every image is a candidate for every source.
+
+    Pairs of IoU ``near`` or more, from an index, bound every image's score: from below by their sum, from above by
+    ``near`` more for each other prediction. Only images whose upper bound reaches the source's best lower one are scored
+    in full; an image without any near pair is left out where ``near`` for all predictions stays below that. A source for
+    which it doesn't (nothing fits it well) meets all boxes that it overlaps.
     """
-    met = grid_pairs(preds, gts, ["cls"]).withColumn("iou", bx.iou(Box.of(), Box.of("g_")))
-    best = met.groupBy("source", "det", "g_image").agg(F.max("iou").alias("iou"))
-    score = best.groupBy("source", "g_image").agg(F.sum("iou").alias("score"))
-    top = score.groupBy("source").agg(F.max(F.struct(F.round("score", 9).alias("score"), F.col("g_image").alias("image"))).alias("t"))
-    return top.select("source", "t.image", "t.score").where(F.col("score") >= least)
+    n = preds.groupBy("source").agg(F.count_distinct("det").alias("n"))
+    low = _image_scores(near_pairs(preds, gts, ["cls"], near))
+    top = n.join(low.groupBy("source").agg(F.max("score").alias("top")), "source", "left").withColumn("open", F.coalesce(F.col("n") * near + 1e-6 >= F.col("top"), F.lit(True)))
+    top = written(top)
+    fit = low.join(top.where("NOT open"), "source").where(F.col("score") + (F.col("n") - F.col("near")) * near + 1e-6 >= F.col("top")).select("source", "image")
+    closed = sides(preds.join(fit, "source"), gts, ["image", "cls"]).withColumn("g_image", F.col("image"))
+    a, b = Box.of(), Box.of("g_")
+    shared = ["source", "det", "g_image", "iou"]
+    some = closed.where(bx.overlaps(a, b)).withColumn("iou", bx.iou(a, b)).select(*shared)
+    rest = preds.join(top.where("open").select("source"), "source", "left_semi")
+    all_ = grid_pairs(rest, gts, ["cls"]).withColumn("iou", bx.iou(a, b)).select(*shared)
+    score = _image_scores(some.unionByName(all_))
+    best = score.groupBy("source").agg(F.max(F.struct(F.round("score", 9).alias("score"), "image")).alias("t"))
+    return best.select("source", "t.image", "t.score").where(F.col("score") >= least)
 
 
 def exact_lookup(requests: DataFrame, observations: DataFrame) -> DataFrame:

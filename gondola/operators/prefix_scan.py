@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gondola.sources.scratch import shared_path
+from gondola.sources.scratch import shared_path, written
 
 PLACE, PART = "_place", "_part"
 
@@ -24,9 +24,8 @@ def place(df: DataFrame, order: Sequence[str | Column], parts: int | None = None
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, path = shared_path(spark, "rows"), shared_path(spark, "ordered")
-    df.write.parquet(rows)
-    df = spark.read.schema(df.schema).parquet(rows)
+    path = shared_path(spark, "ordered")
+    df = written(df)
     df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.schema(StructType([*df.schema.fields, StructField(PLACE, LongType())])).parquet(path).withColumn(PART, F.shiftright(PLACE, 33))
 

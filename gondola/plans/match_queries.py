@@ -122,6 +122,16 @@ def j9_image_inference(spark, sf_dir):
     return match.infer_image(p, group(fx.gt_boxes(spark, sf_dir)).select("image", "cls", "x1", "y1", "x2", "y2"))
 
 
+@query(with_tables("""SELECT source, image, score FROM (SELECT source, image, round(sum(iou), 9) AS score, row_number() OVER (PARTITION BY source ORDER BY round(sum(iou), 9) DESC, image DESC) AS rn FROM (
+  SELECT source, det, image, max(inter / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter)) AS iou FROM (
+    SELECT p.image AS source, p.det, p.x1, p.y1, p.x2, p.y2, g.image, g.x1 AS a1, g.y1 AS b1, g.x2 AS a2, g.y2 AS b2, greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter
+    FROM pred_boxes p JOIN gt_boxes g ON p.cls = g.cls AND p.image % 100 = 0) WHERE inter > 0 GROUP BY source, det, image) GROUP BY source, image) WHERE rn = 1 AND score >= 1""", "pred_boxes", "gt_boxes"))
+def j9_image_search(spark, sf_dir):
+    """A search: every image whose id is divisible by 100 is a source without an image, all images are candidates."""
+    p = fx.pred_boxes(spark, sf_dir).where("image % 100 = 0").select(F.col("image").alias("source"), "det", "cls", "x1", "y1", "x2", "y2")
+    return match.infer_image(p, fx.gt_boxes(spark, sf_dir).select("image", "cls", "x1", "y1", "x2", "y2"))
+
+
 @query(with_tables("""SELECT request, r.store, r.sku, CASE WHEN n IS NULL THEN 'NO_MATCH' ELSE 'FOUND' END AS status, coalesce(n, 0) AS n, coalesce(best, '') AS candidates FROM r LEFT JOIN c ON r.store = c.store AND r.sku = c.sku""", "observations", more="""o AS (SELECT store, CASE length(d) WHEN 10 THEN d WHEN 6 THEN '0000' || d END AS sku, conf, ts FROM (SELECT *, regexp_replace(sku_text, '[^0-9]', '', 'g') AS d FROM observations)),
   r AS (SELECT l_orderkey * 10 + l_linenumber AS request, (store + 1) % 20 AS store, CASE length(d) WHEN 10 THEN d WHEN 6 THEN '0000' || d END AS sku FROM (SELECT *, regexp_replace(sku_text, '[^0-9]', '', 'g') AS d FROM observations) WHERE (l_orderkey + l_linenumber) % 50 = 0),
   c AS (SELECT store, sku, count(*) AS n, string_agg(conf || '@' || ts, ',' ORDER BY conf DESC, ts) AS best FROM o WHERE sku IS NOT NULL GROUP BY store, sku)"""))
