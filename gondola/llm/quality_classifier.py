@@ -158,11 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
                 x = [index[at[i] : at[i + 1]].tobytes() for i in range(t.n)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), b.column("grade").slice(a, z - a), pa.array(x, pa.binary())], ["doc_id", "grade", "x"])
 
-    got = texts.mapInArrow(encode, "doc_id bigint, grade int, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    index = [np.frombuffer(r["x"], np.int32) for r in got]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
-    return train(np.concatenate(index) if index else np.zeros(0, np.int32), at, np.array([r["grade"] for r in got], np.int64))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for _, _, x in rows])]).astype(np.int64)
+        grades = np.array([g for _, g, _ in rows], np.int64)
+        index = np.frombuffer(b"".join(x for _, _, x in rows), np.int32)
+        del rows
+        model = train(index, at, grades)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([np.asarray(model.thresholds, np.float64).tobytes()], pa.binary())], ["weights", "thresholds"])
+
+    # the bounded sample meets in one task of an executor; the driver gets the model alone
+    encoded = texts.mapInArrow(encode, "doc_id bigint, grade int, x binary").repartition(1)
+    made = encoded.mapInArrow(learn, "weights binary, thresholds binary").first()
+    none = np.zeros(0, np.int32)
+    empty = train(none, np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return empty if made is None else Model(np.frombuffer(made["weights"], empty.weights.dtype), np.frombuffer(made["thresholds"], np.float64))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
