@@ -73,12 +73,37 @@ def progress(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.withColumns({"non_scorable": F.col("reviewed") - F.col("scorable"), "accuracy": F.round(F.when(F.col("scorable") > 0, F.col("correct") / F.col("scorable")).otherwise(0.0), 6)})
 
 
+def dealt_by_load(loads: Sequence[tuple[int, str, str]], size: int, count: int) -> tuple[list[tuple[int, int, list[str]]], list[tuple[int, str, str]]]:
+    """How ``count`` items of ``size`` go, one after the other, to whoever has least then, without going through them.
+
+    loads: (load, name for ties, member). A member's turns come at load, load + size, load + 2 * size, ...; all turns in
+    order of (load, name) are the deal. In units of ``size`` a member enters in round load // size, and each round goes
+    through all who are in by (remainder, name). Returns stretches (first, stop, members in turn) and the loads after.
+    """
+    who = sorted((load // size, load % size, low, member) for load, low, member in loads)
+    stretches, at, enter = [], 0, sorted({w[0] for w in who})
+    extra = dict.fromkeys([w[3] for w in who], 0)
+    for i, first_round in enumerate(enter):
+        turn = [w[3] for w in sorted((w for w in who if w[0] <= first_round), key=lambda w: (w[1], w[2]))]
+        rounds = (enter[i + 1] - first_round) if i + 1 < len(enter) else count
+        n = min(count - at, rounds * len(turn))
+        if n:
+            stretches.append((at, at + n, turn))
+            for j, member in enumerate(turn):
+                extra[member] += n // len(turn) + (j < n % len(turn))
+        at += n
+    return stretches, [(load + extra[member] * size, low, member) for load, low, member in loads]
+
+
 def balance(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """rows: image, row, reviewer, reviewed; members: member, pool. image, owner for each image.
+    """rows: image, row, reviewer, reviewed; members: member, pool. image, owner for each image (and each pool).
 
     An image with reviews stays with the member who made most of them (first seen on ties, case ignored); all others go,
-    largest first, to the member with the least load (ties: the name in lower case). The second part is a fold over the
-    images that are left, one for each pool of members: order matters, and a pool's images are few.
+    largest first (ties: by name), to the member with the least load (ties: the name in lower case).
+
+    The members' loads and how many images there are of each size go to the driver: few members, and n sizes need at
+    least n * n / 2 rows. ``dealt_by_load`` says which places of a size go to whom; images find theirs by rank, from a
+    prefix scan. Without members an image has no owner.
     """
     n = rows.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     made = rows.where(F.col("reviewed") & (F.trim("reviewer") != "")).groupBy("image", F.lower(F.trim("reviewer")).alias("who")).agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first"))
@@ -86,20 +111,21 @@ def balance(rows: DataFrame, members: DataFrame) -> DataFrame:
     known = members.select(F.lower("member").alias("who"), "member")
     pinned = most.join(known, "who").select("image", F.col("member").alias("owner"))
     load = members.join(pinned.join(n, "image").groupBy(F.col("owner").alias("member")).agg(F.sum("n").alias("load")), "member", "left")
-    state = load.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("load", F.lit(0)).cast("bigint").alias("load"), F.lower("member").alias("low"), "member"))).alias("loads"))
-    left = n.join(pinned, "image", "left_anti").groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "image"))).alias("todo"))
-    kind = "array<struct<image:string,owner:string>>"
-    init = F.struct(F.col("loads").alias("loads"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        least = a["loads"][0]
-        moved = F.struct((least["load"] - x["neg"]).alias("load"), least["low"].alias("low"), least["member"].alias("member"))
-        loads = F.array_sort(F.concat(F.slice(a["loads"], F.lit(2), F.size(a["loads"]) - 1), F.array(moved)))
-        return F.struct(loads.alias("loads"), F.array_append(a["out"], F.struct(x["image"].cast("string").alias("image"), least["member"].alias("owner"))).alias("out"))
-
-    both = state.join(left, F.size("todo") >= 0)
-    dealt = both.select(F.inline(F.aggregate("todo", init, step, lambda a: a["out"])))
-    return pinned.select(F.col("image").cast("string").alias("image"), "owner").unionByName(dealt)
+    left = n.join(pinned, "image", "left_anti")
+    placed = prefix_scan.running_sums(prefix_scan.place(left, [-F.col("n"), "image"]), ["n"], {"rank": F.lit(1)})
+    pools: dict = {}
+    for r in load.select("pool", "member", F.coalesce("load", F.lit(0)).alias("load")).collect():
+        pools.setdefault(r["pool"], []).append((r["load"], r["member"].lower(), r["member"]))
+    sizes = sorted(((r["n"], r["count"]) for r in left.groupBy("n").count().collect()), reverse=True)
+    plan = []
+    for loads in pools.values():
+        for size, count in sizes:
+            stretches, loads = dealt_by_load(loads, size, count)
+            plan += [(size, *s) for s in stretches]
+    turns = rows.sparkSession.createDataFrame(plan, "size bigint, first bigint, stop bigint, turn array<string>")
+    mine = placed.join(F.broadcast(turns), (F.col("n") == F.col("size")) & (F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("stop")))
+    owner = F.get("turn", ((F.col("rank") - 1 - F.col("first")) % F.size("turn")).cast("int"))
+    return pinned.select(F.col("image").cast("string").alias("image"), "owner").unionByName(mine.select(F.col("image").cast("string").alias("image"), owner.alias("owner")))
 
 
 def next_after_save(rows: DataFrame) -> DataFrame:
