@@ -50,6 +50,19 @@ def t3_windowed_metrics(spark, sf_dir):
     return spark.read.schema(m.schema).parquet(path).select("start", "action", "n", F.round("longest", 6).alias("longest"))
 
 
+_ACTION = "CASE event_type WHEN 'click' THEN 'label' WHEN 'purchase' THEN 'relabel' WHEN 'error' THEN 'skip' WHEN 'signup' THEN 'recycle' ELSE 'assign' END"
+
+
+@query(f"""WITH e AS (SELECT date_trunc('hour', ts) AS start, {_ACTION} AS action, value, greatest(0, least(63, floor(value / 10))) AS bin FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)),
+  w AS (SELECT start, action, count(*) AS n, max(value) AS longest FROM e GROUP BY ALL), b AS (SELECT start, action, bin, sum(count(*)) OVER (PARTITION BY start, action ORDER BY bin) AS upto FROM e GROUP BY start, action, bin),
+  f AS (SELECT start, action, any_value(n) AS n, any_value(longest) AS longest, min(CASE WHEN upto >= ceil(0.5 * n) THEN bin END) AS a, min(CASE WHEN upto >= ceil(0.9 * n) THEN bin END) AS b, min(CASE WHEN upto >= ceil(0.99 * n) THEN bin END) AS c FROM w JOIN b USING (start, action) GROUP BY start, action)
+  SELECT start, action, n, round(longest, 6) AS longest, {', '.join(f"round(CASE WHEN {x} = 63 THEN longest ELSE ({x} + 1) * 10.0 END, 6)::DOUBLE AS {p}" for x, p in (("a", "p50"), ("b", "p90"), ("c", "p99")))} FROM f""")
+def t3_closed_windows(spark, sf_dir):
+    """Windows that the watermark has passed, each once, with percentiles from a histogram."""
+    m = st.closed_metrics(_stream(spark, _events(spark, sf_dir), "events"), late="0 seconds")
+    return st.run_once(m, shared_path(spark, "closed")).select("start", "action", "n", *[F.round(c, 6).alias(c) for c in ("longest", "p50", "p90", "p99")])
+
+
 @query(with_tables('SELECT image, status, "user", label, "by", labels FROM st', "queue_events", more=_QE + "," + _FOLD))
 def t5_queue_stream(spark, sf_dir):
     changes = keyed_state.queue_changes(_stream(spark, _events(spark, sf_dir), "queue"))
@@ -86,6 +99,17 @@ def t7_live_lookup(spark, sf_dir):
     return found.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("best"))
 
 
+@query(with_tables("""SELECT request, store, sku, ts, conf, seen FROM (SELECT r.*, o.conf, o.seen FROM r LEFT JOIN o ON r.store = o.store AND r.sku = o.sku AND o.seen BETWEEN r.ts - INTERVAL 30 DAY AND r.ts + INTERVAL 30 DAY)
+  WHERE seen IS NOT NULL OR ts + INTERVAL 30 DAY < least((SELECT max(ts) FROM r), (SELECT max(seen) FROM o)) - INTERVAL 1 HOUR""", "observations", more="""o AS (SELECT store, sku_text AS sku, conf, ts::TIMESTAMP AS seen FROM observations WHERE NOT starts_with(sku_text, 'bad')),
+  r AS (SELECT l_orderkey * 10 + l_linenumber AS request, (store + 1) % 20 AS store, sku_text AS sku, ts::TIMESTAMP AS ts FROM observations WHERE NOT starts_with(sku_text, 'bad') AND (l_orderkey + l_linenumber) % 3 = 0)"""))
+def t7_lookup_streams(spark, sf_dir):
+    """Two streams: requests wait thirty days for an observation, then they are put out without one."""
+    o = fx.observations(spark, sf_dir).where("NOT startswith(sku_text, 'bad')").select("store", F.col("sku_text").alias("sku"), "conf", F.col("ts").cast("timestamp").alias("ts"), "l_orderkey", "l_linenumber")
+    r = o.where("(l_orderkey + l_linenumber) % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request"), ((F.col("store") + 1) % 20).alias("store"), "sku", "ts")
+    met = st.lookup_streams(_stream(spark, r, "requests"), _stream(spark, o.drop("l_orderkey", "l_linenumber"), "observations"), "30 days")
+    return st.run_once(met, shared_path(spark, "met"))
+
+
 @query()
 def j22_tracking(spark, sf_dir):
     """Images as frames, fifty a camera, so that cameras grow with the table: ids that live on from frame to frame."""

@@ -5,6 +5,8 @@ Each builder takes a streaming DataFrame and returns one (or starts a query); ba
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ def metrics(events: DataFrame, every: str = "1 hour", late: str = "2 hours") ->
     return g.select(F.col("window.start").alias("start"), "action", "n", "total", "longest")
 
 
+#: Widths of the bins of ``closed_metrics``; the last bin is open.
+BIN, BINS = 10.0, 64
+
+
+def closed_metrics(events: DataFrame, every: str = "1 hour", late: str = "2 hours", shares: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Counts, totals and percentiles of ``value`` by window and action, each put out once, when the watermark has passed
+    the window; events later than the watermark are left out.
+
+    Percentiles come from a histogram of BINS bins, which partial aggregates add up: the upper edge of the first bin that
+    reaches the share (the greatest value seen, in the last bin). Null and negative values count in the first bin.
+    """
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.coalesce("value", F.lit(0.0)) / BIN)))
+    g = events.withWatermark("ts", late).groupBy(F.window("ts", every), "action")
+    w = g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("longest"), F.array(*[F.sum((bin_ == i).cast("bigint")) for i in range(BINS)]).alias("bins"))
+    upto = F.transform("bins", lambda _, i: F.aggregate(F.slice("bins", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    first = lambda q: F.array_position(F.transform(upto, lambda c: c >= F.ceil(F.lit(q) * F.col("n"))), True)
+    edge = lambda q: F.when(first(q) == BINS, F.col("longest")).otherwise(first(q) * BIN)
+    return w.select(F.col("window.start").alias("start"), "action", "n", "total", "longest", *[edge(q).alias(f"p{round(100 * q)}") for q in shares])
+
+
+def observed(events: DataFrame, name: str = "intake", **counts: Column) -> DataFrame:
+    """``events`` with counters that a query listener gets after each batch: rows, and those for which each of ``counts``
+    holds. Counting adds no pass over the rows."""
+    return events.observe(name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+
+
 def _batches(spark: SparkSession, path: str) -> list[int]:
     """The batches whose tables below ``path`` are complete, in order."""
     jvm = spark.sparkContext._jvm
@@ -149,6 +177,21 @@ def associate(tracks: list[list], boxes: list[tuple], next_id: int, least_iou: f
     return tracks, out, next_id
 
 
+def lookup_streams(requests: DataFrame, observations: DataFrame, within: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Stream of requests (request, store, sku, ts) met with a stream of observations (store, sku, conf, ts): request,
+    store, sku, ts, conf, seen for each observation of the same store and code at most ``within`` before or after.
+
+    A request that none met is put out once, with nulls, when the watermarks (``late`` behind the latest of each stream,
+    the slower one counts) say that none can come. Later rows of either stream are left out, and both sides' state goes
+    as the watermarks pass it.
+    """
+    r = requests.withWatermark("ts", late)
+    o = observations.select(F.col("store").alias("o_store"), F.col("sku").alias("o_sku"), "conf", F.col("ts").alias("seen")).withWatermark("seen", late)
+    near = F.expr(f"seen >= ts - INTERVAL {within} AND seen <= ts + INTERVAL {within}")
+    met = r.join(o, (F.col("store") == F.col("o_store")) & (F.col("sku") == F.col("o_sku")) & near, "left_outer")
+    return met.select("request", "store", "sku", "ts", "conf", "seen")
+
+
 def json_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("value string").format("text").load(path)
 

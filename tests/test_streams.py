@@ -164,3 +164,57 @@ def test_state_of_a_stream_without_rows(spark):
     table = spark.createDataFrame([(1, 0)], "k bigint, n bigint")
     got = st.with_table(spark.readStream.schema("k bigint, n bigint").parquet(f"{root}/none"), f"{root}/t", lambda b, prior: st.upsert_latest(b, table if prior is None else prior, "k", "n"))
     assert [tuple(r) for r in got.collect()] == [(1, 0)]
+
+
+OBS, REQ = "store long, sku string, conf long, ts timestamp", "request long, store long, sku string, ts timestamp"
+
+
+def test_requests_wait_for_observations(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    run = lambda: st.run_once(st.lookup_streams(spark.readStream.schema(REQ).parquet(f"{root}/r"), spark.readStream.schema(OBS).parquet(f"{root}/o"), "30 minutes", "10 minutes"), f"{root}/out").collect()
+    rows = lambda found: {(r["request"], r["conf"]) for r in found}
+    put(spark, [(1, 7, "a", at(0)), (2, 7, "b", at(20)), (3, 7, None, at(25)), (4, 8, "a", at(0))], f"{root}/r", REQ)
+    put(spark, [(7, "a", 50, at(29)), (7, "a", 51, at(31)), (7, "b", 60, at(60))], f"{root}/o", OBS)
+    assert rows(run()) == {(1, 50)}  # the slower stream stands at 25: all others may still be met
+    put(spark, [(5, 9, "z", at(100)), (6, 7, "b", at(16))], f"{root}/r", REQ)  # 6 is late, but the watermark stands at 15
+    put(spark, [(7, "b", 61, at(49)), (9, "y", 1, at(100))], f"{root}/o", OBS)
+    assert rows(run()) == {(1, 50), (2, 61), (3, None), (4, None), (6, None)}
+    put(spark, [(7, 7, "b", at(2))], f"{root}/r", REQ)  # later than the watermark: left out
+    put(spark, [(7, "b", 62, at(3)), (9, "z", 9, at(129))], f"{root}/o", OBS)
+    assert rows(run()) == {(1, 50), (2, 61), (3, None), (4, None), (5, 9), (6, None)}
+
+
+def test_windows_close_once_and_counters_reach_a_listener(spark):
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    root, seen = tempfile.mkdtemp(prefix="spark-"), []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            seen.extend(r.asDict() for k, r in event.progress.observedMetrics.items() if k == "intake")
+
+        def onQueryTerminated(self, event):
+            pass
+
+    kind = "action string, ts timestamp, value double"
+    run = lambda: st.run_once(st.closed_metrics(st.observed(spark.readStream.schema(kind).parquet(f"{root}/in"), bad=F.col("value") < 0), late="30 minutes"), f"{root}/out").collect()
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        values = [5.0, 15.0, 15.0, 25.0, 35.0, 45.0, 55.0, 65.0, 75.0, 9999.0]
+        put(spark, [("a", at(i), v) for i, v in enumerate(values)] + [("a", at(80), -1.0)], f"{root}/in", kind)
+        assert run() == []
+        put(spark, [("a", at(30), 1.0), ("a", at(95), 3.0)], f"{root}/in", kind)  # 30 is late but its window is open
+        (first,) = run()
+        assert (first["n"], first["longest"], first["p50"], first["p90"], first["p99"]) == (11, 9999.0, 40.0, 80.0, 9999.0)
+        put(spark, [("a", at(10), 1.0), ("a", at(200), 3.0)], f"{root}/in", kind)  # 10 is later than the watermark
+        assert sorted((r["n"], r["start"].minute) for r in run()) == [(2, 0), (11, 0)]
+        until = time.time() + 20
+        while time.time() < until and sum(r["rows"] for r in seen) < 15:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r["rows"] for r in seen) == 15 and sum(r["bad"] for r in seen) == 1
