@@ -172,8 +172,8 @@ def box_text(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def parse_box_text(x: Column) -> Column:
-    """array of (x1, y1, x2, y2); a last group of fewer than four numbers is dropped."""
-    n = F.transform(F.regexp_extract_all(x, F.lit("(-?[0-9]+)"), F.lit(1)), lambda v: v.cast("int"))
+    """array of (x1, y1, x2, y2); a last group of fewer than four numbers is dropped. Numbers beyond an int are null."""
+    n = F.transform(F.regexp_extract_all(x, F.lit("(-?[0-9]+)"), F.lit(1)), lambda v: v.try_cast("int"))
     whole = F.floor(F.size(n) / 4).cast("int")
     box = lambda i: F.struct(n[i * 4].alias("x1"), n[i * 4 + 1].alias("y1"), n[i * 4 + 2].alias("x2"), n[i * 4 + 3].alias("y2"))
     return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), box)).otherwise(F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>"))

@@ -146,6 +146,27 @@ def ordinal_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return met.where(F.col("_rank").isin(1) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1) | (F.col("_rank") == F.col("_n"))).select(*rows.columns)
 
 
+def regression_verdict(old: DataFrame, new: DataFrame, masks: DataFrame, strip: str = "strip", box_delta: float = 1.0, conf_delta: float = 0.001) -> DataFrame:
+    """old, new: strip, pos (0, 1, ...), cls, conf, box; masks: strip, exact, differing (as ``run_overlap`` puts it out).
+
+    A row for each strip of either side: counts, classes_equal (the two lists, place by place), the greatest differences
+    of a side of a box and of a confidence over the places that both have (0 without any), mask_equal (no mask on either
+    side is equal), passed. One full join on the place; a strip's rows are combined before they meet.
+    """
+    b = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    side = lambda df, p: df.select(strip, "pos", F.struct(F.col("cls").alias("cls"), F.col("conf").cast("double").alias("conf"), *[c.cast("double").alias(f"b{i}") for i, c in enumerate(b)]).alias(p))
+    met = side(old, "o").join(side(new, "n"), [strip, "pos"], "full")
+    boxes = F.greatest(*[F.abs(F.col(f"o.b{i}") - F.col(f"n.b{i}")) for i in range(4)])
+    g = met.groupBy(strip).agg(
+        F.count("o").alias("n_old"), F.count("n").alias("n_new"), F.bool_and(F.col("o.cls").eqNullSafe(F.col("n.cls")) & F.col("o").isNotNull() & F.col("n").isNotNull()).alias("classes_equal"),
+        F.coalesce(F.max(boxes), F.lit(0.0)).alias("max_box_delta"), F.coalesce(F.max(F.abs(F.col("o.conf") - F.col("n.conf"))), F.lit(0.0)).alias("max_conf_delta"),
+    )
+    m = masks.select(strip, "exact", "differing")
+    out = g.join(m, strip, "left").withColumns({"mask_equal": F.coalesce("exact", F.lit(True)), "diff_pixels": F.coalesce("differing", F.lit(0)).cast("bigint")}).drop("exact", "differing")
+    fine = (F.col("n_old") == F.col("n_new")) & F.col("classes_equal") & (F.col("max_box_delta") <= box_delta) & (F.col("max_conf_delta") <= conf_delta) & F.col("mask_equal")
+    return out.withColumn("passed", fine)
+
+
 def run_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mask statistics from run-length rows (keys, row, x1, x2 - end exclusive): intersection, union, differing, iou, exact."""
     keys = list(keys)

@@ -102,6 +102,32 @@ def a12_regression_verdict(spark, sf_dir):
     return out.select("image", (F.col("n_a") == F.col("n_b")).alias("same_count"), ((F.col("delta") <= 1) & (F.col("n_a") == F.col("n_b"))).alias("boxes_close"), F.col("delta").alias("max_delta"))
 
 
+@query(with_tables("""SELECT image, n_old, n_new, classes_equal, round(box, 6) AS max_box_delta, round(conf, 6) AS max_conf_delta, coalesce(exact, true) AS mask_equal, coalesce(differing, 0)::BIGINT AS diff_pixels,
+    n_old = n_new AND classes_equal AND box <= 1 AND conf <= 0.001 AND coalesce(exact, true) AS passed
+  FROM (SELECT coalesce(o.image, n.image) AS image, count(o.det) AS n_old, count(n.det) AS n_new, bool_and(coalesce(o.cls = n.cls, false)) AS classes_equal,
+      coalesce(max(greatest(abs(o.x1 - n.x1), abs(o.y1 - n.y1), abs(o.x2 - n.x2), abs(o.y2 - n.y2))), 0)::DOUBLE AS box, coalesce(max(abs(o.conf - n.conf)), 0)::DOUBLE AS conf FROM o FULL JOIN n ON o.image = n.image AND o.det = n.det GROUP BY 1)
+  LEFT JOIN (SELECT image, a + b - i = i AS exact, a + b - 2 * i AS differing FROM (SELECT image, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(i, 0) AS i FROM (SELECT image, sum(x2 - x1) AS a FROM o GROUP BY image) FULL JOIN (SELECT image, sum(x2 - x1) AS b FROM n GROUP BY image) USING (image)
+    LEFT JOIN (SELECT o.image, sum(greatest(0, least(o.x2, n.x2) - greatest(o.x1, n.x1))) AS i FROM o JOIN n ON o.image = n.image AND o.det = n.det GROUP BY o.image) USING (image))) USING (image)""", "pred_boxes", more="""
+  o AS (SELECT image, det, cls, conf / 100 AS conf, x1, y1, x2, y2 FROM pred_boxes WHERE image % 7 <> 5),
+  n AS (SELECT image, det, CASE WHEN image % 5 = 1 AND det = 2 THEN 'Z' ELSE cls END AS cls, conf / 100 + CASE WHEN image % 4 = 1 THEN 0.0005 WHEN image % 4 = 2 THEN 0.01 ELSE 0 END AS conf, x1, y1 + CASE WHEN image % 3 = 0 THEN 1 ELSE 0 END AS y1, x2 + CASE WHEN image % 11 = 3 AND det = 1 THEN 2 ELSE 0 END AS x2, y2
+    FROM pred_boxes WHERE image % 13 <> 4 AND NOT (image % 17 = 2 AND det = 3))"""))
+def a12_regression_five_criteria(spark, sf_dir):
+    """Two runs of a model: counts, class lists, box sides, confidences and masks (a run of pixels for each detection)."""
+    p = fx.pred_boxes(spark, sf_dir)
+    image, det = F.col("image"), F.col("det")
+    cols = ["image", "det", "x1", "y1", "x2", "y2"]
+    old = p.where("image % 7 <> 5").select(*cols, "cls", (F.col("conf") / 100).alias("conf"))
+    drift = F.when(image % 4 == 1, 0.0005).when(image % 4 == 2, 0.01).otherwise(0.0)
+    new = p.where("image % 13 <> 4 AND NOT (image % 17 = 2 AND det = 3)").select(
+        "image", "det", F.when((image % 5 == 1) & (det == 2), "Z").otherwise(F.col("cls")).alias("cls"), (F.col("conf") / 100 + drift).alias("conf"),
+        "x1", (F.col("y1") + F.when(image % 3 == 0, 1).otherwise(0)).alias("y1"), (F.col("x2") + F.when((image % 11 == 3) & (det == 1), 2).otherwise(0)).alias("x2"), "y2",
+    )
+    runs = lambda df: df.select("image", det.alias("row"), "x1", "x2")
+    placed = lambda df: df.withColumnRenamed("det", "pos")
+    out = evaluate.regression_verdict(placed(old), placed(new), evaluate.run_overlap(runs(old), runs(new), ["image"]), strip="image")
+    return out.withColumns({c: _R(c) for c in ("max_box_delta", "max_conf_delta")})
+
+
 _RUNS = """
   ra AS (SELECT image, det AS row, x1, x2 FROM pred_boxes), rb AS (SELECT image, gt AS row, x1, x2 FROM gt_boxes),
   sa AS (SELECT image, sum(x2 - x1) AS a FROM ra GROUP BY image), sb AS (SELECT image, sum(x2 - x1) AS b FROM rb GROUP BY image),

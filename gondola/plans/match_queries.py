@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gondola.functions import codes
-from gondola.operators import match
+from gondola.operators import match, review
 from gondola.plans import fixtures as fx
 from gondola.plans.fixtures import with_tables
 from gondola.plans.registry import query
@@ -203,6 +203,28 @@ def j16_truth_sync(spark, sf_dir):
     return d.join(lab, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("value"), F.col("hit").isNull().alias("missing"))
 
 
+@query(with_tables("""SELECT image::VARCHAR || '.json' AS file, coalesce(n, 0) AS updated, coalesce(miss, 0) AS missing, coalesce(done, '') AS codes FROM (
+    SELECT image, sum(CASE WHEN there THEN 1 ELSE 0 END) AS n, sum(CASE WHEN there THEN 0 ELSE 1 END) AS miss, string_agg(CASE WHEN there THEN idx || ':' || sku END, ',' ORDER BY idx) AS done
+    FROM (SELECT t.*, p.det IS NOT NULL AS there FROM t LEFT JOIN pred_boxes p ON p.image = t.image AND p.det = t.idx + 1 AND p.cls = t.cls AND p.image % 9 <> 4) GROUP BY image)
+  FULL JOIN (SELECT DISTINCT image FROM pred_boxes WHERE image % 9 <> 4) f USING (image)""", "pred_boxes", more="""
+  t AS (SELECT image, det - 1 + CASE WHEN pk % 11 = 0 THEN 100 ELSE 0 END AS idx, CASE WHEN pk % 7 = 0 THEN 'Z' ELSE cls END AS cls, lpad((pk % 1000000)::VARCHAR, 6, '0') AS sku FROM pred_boxes WHERE sk % 3 = 0)"""))
+def j16_truth_to_shapes(spark, sf_dir):
+    """Truth rows set fields of the shapes in annotation files; some have no file, no such shape or another label."""
+    p = fx.pred_boxes(spark, sf_dir)
+    name = F.concat(F.col("image").cast("string"), F.lit(".json"))
+    files = p.where("image % 9 <> 4").groupBy(name.alias("file")).agg(F.array_sort(F.collect_list(F.struct("det", F.struct(F.col("cls").alias("label")).alias("s")))).alias("d"))
+    files = files.select("file", F.transform("d", lambda x: F.create_map(F.lit("label"), x["s"]["label"], F.lit("det"), x["det"].cast("string"))).alias("shapes"))
+    idx = F.col("det") - 1 + F.when(F.col("pk") % 11 == 0, 100).otherwise(0)
+    none = F.lit("")
+    rows = p.where("sk % 3 = 0").select(
+        name.alias("file"), idx.alias("shape_idx"), F.when(F.col("pk") % 7 == 0, "Z").otherwise(F.col("cls")).alias("label"), F.lpad((F.col("pk") % 1_000_000).cast("string"), 6, "0").alias("expected_sku"),
+        *[none.alias(c) for c in ("review_status", "scorability", "sku_digit_class", "reviewer", "notes")], F.col("det").alias("ord"),
+    )
+    done = review.sync_truth(files, review.truth_values(rows))
+    told = F.filter(F.transform("shapes", lambda s, i: F.concat(i.cast("string"), F.lit(":"), s["expected_sku"])), lambda x: x.isNotNull())
+    return done.select("file", "updated", "missing", F.coalesce(F.array_join(told, ","), F.lit("")).alias("codes"))
+
+
 @query(with_tables("SELECT coalesce(p.image, g.image) AS image, coalesce(p.n, 0) AS n_pred, coalesce(g.n, 0) AS n_gt FROM (SELECT image, count(*) AS n FROM pred_boxes WHERE image % 3 <> 0 GROUP BY image) p FULL JOIN (SELECT image, count(*) AS n FROM gt_boxes WHERE image % 5 <> 0 GROUP BY image) g ON p.image = g.image", "pred_boxes", "gt_boxes"))
 def j18_image_universe(spark, sf_dir):
     p, g = _sides(spark, sf_dir)
