@@ -13,28 +13,65 @@ def chosen(polygons: Column, rectangles: Column) -> Column:
     return F.when(F.size(polygons) > 0, polygons).otherwise(F.transform(rectangles, lambda r: r["points"]))
 
 
-def _fill(points: np.ndarray, x0: int, y0: int, w: int, h: int) -> np.ndarray:
-    px, py = np.meshgrid(np.arange(w) + x0 + 0.5, np.arange(h) + y0 + 0.5)
-    inside = np.zeros((h, w), bool)
-    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
-        if ay != by:
-            inside ^= ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-    return inside
+#: Rows of pixels that are filled at a time.
+STRIP = 64
+
+
+def _runs(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of each row whose centres are inside, as changes: (row, column) where the filling begins or ends.
+
+    A row of centres crosses an edge at most once; pixels from the first centre beyond a crossing on change sides.
+    """
+    a, b = points, np.roll(points, -1, axis=0)
+    y = rows[:, None] + 0.5
+    crosses = (a[None, :, 1] > y) != (b[None, :, 1] > y)
+    row, edge = np.nonzero(crosses)
+    rise = b[edge, 1] - a[edge, 1]
+    x = (b[edge, 0] - a[edge, 0]) * (rows[row] + 0.5 - a[edge, 1]) / rise + a[edge, 0]
+    return row, np.ceil(x - 0.5).astype(np.int64)
+
+
+def _covered(polygons: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
+    """The stretches (row, first column, last column + 1) of the union of polygons in some rows, apart and in order."""
+    sides = [_runs(p, rows) for p in polygons]
+    found = []
+    for i in range(len(rows)):
+        spans = []
+        for row, x in sides:
+            ends = np.sort(x[row == i])
+            spans += [(s, e) for s, e in zip(ends[::2], ends[1::2], strict=True) if s < e]
+        merged: list[list[int]] = []
+        for s, e in sorted(spans):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        found.append(np.array(merged, np.int64).reshape(-1, 2))
+    return found
 
 
 def overlap_of(truth, predicted) -> tuple[float, float, float]:
-    """IoU, share of the truth that is covered, share of the prediction that is right; zeros if either is empty."""
+    """IoU, share of the truth that is covered, share of the prediction that is right; zeros if either is empty.
+
+    Pixels are counted in stretches between crossings of scan lines, a strip of rows at a time: memory follows the number
+    of edges, not the area.
+    """
     polygons = [np.array([(p["x"], p["y"]) for p in poly], float) for poly in [truth, *predicted] if poly is not None and len(poly) >= 3]
     if len(polygons) < 2 or truth is None or len(truth) < 3:
         return 0.0, 0.0, 0.0
     every = np.concatenate(polygons)
-    x0, y0 = np.floor(every.min(0)).astype(int)
-    w, h = np.ceil(every.max(0)).astype(int) - (x0, y0)
-    a, b = _fill(polygons[0], x0, y0, max(w, 1), max(h, 1)), np.zeros((max(h, 1), max(w, 1)), bool)
-    for p in polygons[1:]:
-        b |= _fill(p, x0, y0, max(w, 1), max(h, 1))
-    both, union = int((a & b).sum()), int((a | b).sum())
-    return (both / union if union else 0.0, both / a.sum() if a.any() else 0.0, both / b.sum() if b.any() else 0.0)
+    low, high = int(np.floor(every[:, 1].min())), int(np.ceil(every[:, 1].max()))
+    size = lambda s: int((s[:, 1] - s[:, 0]).sum())
+    a = b = both = 0
+    for start in range(low, high, STRIP):
+        rows = np.arange(start, min(high, start + STRIP))
+        for t, p in zip(_covered(polygons[:1], rows), _covered(polygons[1:], rows), strict=True):
+            a, b = a + size(t), b + size(p)
+            if len(t) and len(p):
+                inter = np.minimum(t[:, None, 1], p[None, :, 1]) - np.maximum(t[:, None, 0], p[None, :, 0])
+                both += int(np.maximum(inter, 0).sum())
+    union = a + b - both
+    return (both / union if union else 0.0, both / a if a else 0.0, both / b if b else 0.0)
 
 
 def polygon_overlap(truth: Column | str, predicted: Column | str) -> Column:

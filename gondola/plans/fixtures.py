@@ -129,5 +129,5 @@ def with_tables(query: str, *names: str, more: str = "") -> str:
         for x in (*_NEEDS.get(n, ()), n):
             if x not in order:
                 order.append(x)
-    parts = [f"{n} AS ({SQL[n]})" for n in order] + ([more] if more else [])
+    parts = [f"{n} AS MATERIALIZED ({SQL[n]})" for n in order] + ([more] if more else [])
     return f"WITH {', '.join(parts)} {query}"
