@@ -73,14 +73,23 @@ def until_strong(passes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def legacy_codes(lines: DataFrame) -> DataFrame:
-    """lines: image, line, text -> codes of each line: a whole-line vendor code, else its words' codes, else what can be
-    recovered from them. ``how`` tells which; a vendor code's line gives nothing else.
+    """lines: image, line, text -> image, line, pos, sku, how: the vendor code of a line that is one as a whole, then its
+    words in order, each with its own code or with what can be recovered from it. Words that repeat the line's vendor
+    code give nothing; ``how`` is vendor, word or recovered.
+
+    A vendor code is the line without dashes, spaces and SKU#; where that has neither six nor ten characters, the same
+    of all words but the first.
     """
-    t = F.trim("text")
-    vendor = t.rlike(codes.VENDOR_CODES)
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    exact = F.filter(words, lambda w: w.rlike(codes.ITEM_CODES))
-    recovered = F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: ~w.rlike(codes.ITEM_CODES)), codes.recovered)))
-    code = lambda w, how: F.struct(codes.digits(w).alias("sku"), F.lit(how).alias("how"))
-    found = F.when(vendor, F.array(code(t, "vendor"))).otherwise(F.concat(F.transform(exact, lambda w: code(w, "word")), F.transform(recovered, lambda w: code(w, "recovered"))))
-    return lines.select("image", "line", F.posexplode(found).alias("pos", "c")).select("image", "line", "pos", "c.sku", "c.how")
+    t = F.col("text")
+    bare = lambda x: F.replace(F.replace(F.replace(x, F.lit("-"), F.lit("")), F.lit(" "), F.lit("")), F.lit("SKU#"), F.lit(""))
+    words = F.split(t, " ")
+    code = lambda c, how: F.struct(c.alias("sku"), F.lit(how).alias("how"))
+    none = F.array().cast("array<struct<sku:string,how:string>>")
+    vendor = F.when(t.rlike(codes.VENDOR_CODES), F.when(F.length(bare(t)).isin(6, 10), bare(t)).otherwise(bare(F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), ""))))
+    v = lines.select("image", "line", words.alias("words"), F.nullif(vendor, F.lit("")).alias("vendor"))
+    other = lambda c: ~c.eqNullSafe(F.col("vendor"))
+    own = lambda w: F.when(other(codes.digits(w)), F.array(code(codes.digits(w), "word"))).otherwise(none)
+    saved = lambda w: F.transform(F.filter(codes.recovered(w), other), lambda c: code(c, "recovered"))
+    each = F.flatten(F.transform("words", lambda w: F.when(w.rlike(codes.ITEM_CODES), own(w)).otherwise(saved(w))))
+    found = F.concat(F.when(F.col("vendor").isNotNull(), F.array(code(F.col("vendor"), "vendor"))).otherwise(none), each)
+    return v.select("image", "line", F.posexplode(found).alias("pos", "c")).select("image", "line", "pos", "c.sku", "c.how")

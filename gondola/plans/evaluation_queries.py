@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gondola.functions import codes
 from gondola.operators import evaluate, match, suppress, text
 from gondola.operators.evaluate import count_if
 from gondola.plans import fixtures as fx
@@ -278,7 +279,20 @@ def q7_until_strong(spark, sf_dir):
     return text.until_strong(p, ["image"]).select("image", "pass")
 
 
-@query()
+_VENDOR = "|".join(x.replace(r"\d", "[0-9]").replace(r"\W", "[^A-Za-z0-9_]") for x in codes.VENDOR_SHAPES)
+_ITEM = "|".join(x.replace(r"\d", "[0-9]") for x in codes.ITEM_SHAPES)
+_BARE = lambda x: f"replace(replace(replace({x}, '-', ''), ' ', ''), 'SKU#', '')"
+_LEGACY = f"""
+  ln AS (SELECT image, line, string_agg(text, ' ' ORDER BY idx) AS t FROM words GROUP BY image, line),
+  vd AS (SELECT image, line, string_split(t, ' ') AS ws, CASE WHEN regexp_full_match(t, '{_VENDOR}') THEN nullif(CASE WHEN length({_BARE('t')}) IN (6, 10) THEN {_BARE('t')} ELSE {_BARE("array_to_string(string_split(t, ' ')[2:], '')")} END, '') END AS v FROM ln),
+  wd AS (SELECT image, line, v, i, w, regexp_full_match(w, '{_ITEM}') AS item, regexp_replace(w, '[^0-9]', '', 'g') AS d, regexp_full_match(w, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') AS day
+    FROM (SELECT image, line, v, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM vd)),
+  cn AS (SELECT image, line, 0 AS i, 0 AS j, v AS sku, 'vendor' AS how FROM vd WHERE v IS NOT NULL UNION ALL SELECT image, line, i, 0, d, 'word' FROM wd WHERE item AND d IS DISTINCT FROM v
+    UNION ALL SELECT image, line, i, j, sku, 'recovered' FROM (SELECT image, line, v, i, 1 AS j, d AS sku FROM wd WHERE NOT item AND NOT day AND length(d) = 10 AND d[1:2] = '10' UNION ALL SELECT image, line, v, i, 2, d[2:11] FROM wd WHERE NOT item AND NOT day AND length(d) = 11 AND d[2:3] = '10'
+      UNION ALL SELECT image, line, v, i, 3, d[1:10] FROM wd WHERE NOT item AND NOT day AND length(d) IN (11, 12) AND d[1:2] = '10' UNION ALL SELECT image, line, v, i, 4, d[-10:] FROM wd WHERE NOT item AND NOT day AND length(d) > 10 AND d[-10:-9] = '10' AND NOT (length(d) = 11 AND d[2:3] = '10')) WHERE sku IS DISTINCT FROM v)"""
+
+
+@query(with_tables("SELECT image, line, (row_number() OVER (PARTITION BY image, line ORDER BY i, j) - 1)::INT AS pos, sku, how FROM cn", "words", more=_LEGACY))
 def q8_legacy_codes(spark, sf_dir):
     w = fx.words(spark, sf_dir).groupBy("image", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
     return text.legacy_codes(w)

@@ -111,10 +111,19 @@ def q12_full_grid(spark, sf_dir):
     return met.select("bay", "pos", state.alias("state"), F.coalesce("sku", F.lit("No Match")).alias("sku"), "loc")
 
 
-@query()
+_SPOTS = """
+  sc AS (SELECT bay, pos // 10 AS shelf_row, pos % 10 AS col, pos % 9 = 4 AS empty, floor(price) AS price, floor(price)::INT AS d FROM price_cells),
+  sw AS (SELECT *, list(d) OVER (PARTITION BY bay, shelf_row ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS core, list(d) OVER (PARTITION BY bay, shelf_row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS wide,
+    max(col) OVER (PARTITION BY bay, shelf_row) AS lc, max(shelf_row) OVER (PARTITION BY bay) AS lr FROM sc),
+  sp AS (SELECT bay, shelf_row, col, d, shelf_row = 0 OR shelf_row = lr OR col = 0 OR col = lc AS edge, least(5, greatest(3, least(col + 3, lc - col + 2))) AS size, list_filter(core, lambda v: v IS NOT NULL) AS core, list_filter(wide, lambda v: v IS NOT NULL) AS wide FROM sw WHERE empty AND price IS NOT NULL),
+  ss AS (SELECT *, len(list_filter(core, lambda v: v = d)) / len(core) AS a, CASE WHEN size > 3 THEN 0.5 * len(list_filter(wide, lambda v: v = d)) / len(wide) ELSE 0 END AS b FROM sp),
+  sr AS (SELECT bay, shelf_row, col, sku, loc, round(CASE WHEN edge THEN a * 0.8 + b * 0.15 + 0.05 ELSE a * 0.7 + b * 0.2 + 0.1 END, 9) AS score FROM ss JOIN (SELECT bay, loc, sku, floor(price)::INT AS d FROM sequence) USING (bay, d))"""
+
+
+@query(with_tables("SELECT bay, shelf_row, col, sku, loc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY bay, shelf_row, col ORDER BY score DESC, loc, sku) AS rn FROM sr WHERE score >= 0.3) WHERE rn = 1", "price_cells", more=_SPOTS))
 def q13_empty_spots(spark, sf_dir):
     c = fx.price_cells(spark, sf_dir).select("bay", F.expr("pos div 10").alias("shelf_row"), (F.col("pos") % 10).alias("col"), (F.col("pos") % 9 == 4).alias("empty"), F.floor("price").cast("double").alias("price"))
-    return planogram.empty_candidates(c, fx.sequence(spark, sf_dir).select("bay", "loc", "sku", F.floor("price").cast("double").alias("price")), 0.3)
+    return planogram.empty_candidates(c, fx.sequence(spark, sf_dir).select("bay", "loc", "sku", F.floor("price").cast("double").alias("price")), 0.3).withColumn("score", _R("score"))
 
 
 @query(with_tables("SELECT bay AS store, pos, '0000' || sku AS sku FROM price_cells WHERE price IS NULL", "price_cells"))

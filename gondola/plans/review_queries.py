@@ -70,7 +70,19 @@ def fl7_annotation_filter(spark, sf_dir):
     return fx.review(spark, sf_dir).where(F.col("image").isin("src1", "src2", "src3") & F.col("status").isNull()).join(batch, "row", "left_semi").select("row")
 
 
-@query()
+_BALANCE = """
+  ri AS (SELECT image || '-' || (row // 5)::VARCHAR AS image, row, lower(trim(reviewer)) AS who, canon <> '' AS done FROM rv),
+  sz AS (SELECT image, count(*) AS n FROM ri GROUP BY image),
+  mo AS (SELECT image, who FROM (SELECT image, who, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, min(row), who) AS rn FROM ri WHERE done AND who <> '' GROUP BY image, who) WHERE rn = 1),
+  pn AS (SELECT image, CASE who WHEN 'fr' THEN 'FR' ELSE who END AS owner FROM mo WHERE who IN ('en', 'de', 'fr')),
+  ld AS (SELECT coalesce(sum(CASE WHEN owner = 'de' THEN n END), 0)::BIGINT AS de, coalesce(sum(CASE WHEN owner = 'en' THEN n END), 0)::BIGINT AS en, coalesce(sum(CASE WHEN owner = 'FR' THEN n END), 0)::BIGINT AS fr FROM pn JOIN sz USING (image)),
+  td AS (SELECT list_prepend({'de': (SELECT de FROM ld), 'en': (SELECT en FROM ld), 'fr': (SELECT fr FROM ld), 'n': 0::BIGINT, 'o': [{'image': '', 'owner': ''}]},
+    list({'de': 0::BIGINT, 'en': 0::BIGINT, 'fr': 0::BIGINT, 'n': n::BIGINT, 'o': [{'image': image, 'owner': ''}]} ORDER BY n DESC, image)) AS l FROM sz WHERE image NOT IN (SELECT image FROM pn)),
+  dl AS (SELECT unnest(list_reduce(l, lambda a, x: CASE WHEN a.de <= a.en AND a.de <= a.fr THEN {'de': a.de + x.n, 'en': a.en, 'fr': a.fr, 'n': 0::BIGINT, 'o': list_append(a.o, {'image': x.o[1].image, 'owner': 'de'})}
+    WHEN a.en <= a.fr THEN {'de': a.de, 'en': a.en + x.n, 'fr': a.fr, 'n': 0::BIGINT, 'o': list_append(a.o, {'image': x.o[1].image, 'owner': 'en'})} ELSE {'de': a.de, 'en': a.en, 'fr': a.fr + x.n, 'n': 0::BIGINT, 'o': list_append(a.o, {'image': x.o[1].image, 'owner': 'FR'})} END).o) AS z FROM td)"""
+
+
+@query(with_tables("SELECT image, owner FROM pn UNION ALL SELECT z.image, z.owner FROM dl WHERE z.image <> ''", "review", more=_REVIEW + "," + _BALANCE))
 def p1_p2_reviewer_balance(spark, sf_dir):
     """Members en, de and FR; es was removed, so that its images return to the pool."""
     members = spark.createDataFrame([("en", 0), ("de", 0), ("FR", 0)], "member string, pool int")
@@ -162,11 +174,11 @@ def u3_u5_new_rows(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id").join(fx.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").withColumn("status", F.lit("unassigned"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN b < 90 THEN 'train' WHEN b < 98 THEN 'val' ELSE 'test' END AS split FROM (SELECT DISTINCT d.doc_id, ('0x' || md5(d.doc_id::VARCHAR)[1:8])::BIGINT % 100 AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id)")
 def p3_dataset_split(spark, sf_dir):
     """90 / 8 / 2 by hash of the id, labelled rows only: the same rows fall in the same part in every run."""
-    d = fx.read(spark, sf_dir, "documents").select("doc_id").join(fx.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    b = F.pmod(F.xxhash64("doc_id"), F.lit(100))
+    d = fx.read(spark, sf_dir, "documents").select("doc_id").join(fx.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").distinct()
+    b = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 100
     return d.select("doc_id", F.when(b < 90, "train").when(b < 98, "val").otherwise("test").alias("split"))
 
 
