@@ -85,3 +85,23 @@ def test_queries_run(spark, name):
     from gondola import catalog
 
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_legacy_codes_of_a_line(spark):
+    from gondola.operators import text
+
+    lines = ["12 1234-567-890 QTY", "12 1004-567-890", "1004-567-890", "SKU#1004567890", "123456", "123456 SKU:123456 334-515", "22 1004215338", "02/05/26 21004215338", "12 SKU# 123456", "", "QTY"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "image long, line long, text string")
+    got = {}
+    for r in sorted(text.legacy_codes(rows).collect(), key=lambda r: (r["line"], r["pos"])):
+        got.setdefault(lines[r["line"]], []).append((r["sku"], r["how"]))
+    assert got == {
+        "12 1004-567-890": [("1004567890", "vendor")],
+        "1004-567-890": [("1004567890", "vendor")],
+        "SKU#1004567890": [("1004567890", "vendor")],
+        "123456": [("123456", "vendor")],
+        "123456 SKU:123456 334-515": [("123456", "word"), ("123456", "word"), ("334515", "word")],
+        "22 1004215338": [("1004215338", "vendor")],
+        "02/05/26 21004215338": [("1004215338", "recovered")],
+        "12 SKU# 123456": [("123456", "vendor")],
+    } | {"12 1234-567-890 QTY": [("1234567890", "word")]}
