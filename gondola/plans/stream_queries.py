@@ -84,11 +84,8 @@ def t6_t8_review_merge(spark, sf_dir):
     e = _events(spark, sf_dir)
     table = e.select("image").distinct().select("image", F.lit("none").alias("reviewer"), F.lit(False).alias("touched"), F.lit(None).cast("struct<ts:timestamp,event_id:bigint>").alias("at"))
 
-    def merge(batch, prior):
-        rows = batch.where("action = 'label'").select("image", F.col("user").alias("reviewer"), F.lit(True).alias("touched"), F.struct("ts", "event_id").alias("at"))
-        return st.upsert_latest(rows, table if prior is None else prior, "image", "at")
-
-    return st.with_table(_stream(spark, e, "reviews"), shared_path(spark, "review-table"), merge).select("image", "reviewer", "touched")
+    reviews = _stream(spark, e, "reviews").where("action = 'label'").select("image", F.col("user").alias("reviewer"), F.lit(True).alias("touched"), F.struct("ts", "event_id").alias("at"))
+    return st.upsert_latest(st.run_once(reviews, shared_path(spark, "review-log")), table, "image", "at").select("image", "reviewer", "touched")
 
 
 @query(with_tables("SELECT r.request, count(*) AS n, max(o.conf) AS best FROM (SELECT l_orderkey * 10 + l_linenumber AS request, store, sku_text FROM observations WHERE (l_orderkey + l_linenumber) % 50 = 0 AND NOT starts_with(sku_text, 'bad')) r JOIN observations o ON r.store = o.store AND r.sku_text = o.sku_text GROUP BY r.request", "observations"))

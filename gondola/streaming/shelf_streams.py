@@ -82,52 +82,16 @@ def observed(events: DataFrame, name: str = "intake", **counts: Column) -> DataF
     return events.observe(name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()])
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """The batches whose tables below ``path`` are complete, in order."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/batch-*/_SUCCESS")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
-    return sorted(int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found)
+def upsert_latest(log: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
+    """``table`` with each key's latest row by ``order``, of the table and the log: rows that arrived late don't replace
+    later ones; a null order comes first. Other keys stay.
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def with_table(stream: DataFrame, path: str, step) -> DataFrame:
-    """Runs the stream until nothing is left, carrying a table from batch to batch; returns the last one.
-
-    ``step(batch, prior)`` gives the next state (prior is None at first). Each batch's state is a table below ``path``
-    in the shared folder, named by the batch. A batch reads that of the one before it, and nothing is held in the
-    driver: after a restart the stream goes on where its checkpoint stands, and a batch that broke off is done again.
-    Tables that a batch might still be done again from stay; older ones are deleted.
-    Without any batch the state is that of an empty one.
-    """
-    spark = stream.sparkSession
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        before = [i for i in _batches(spark, path) if i < batch_id]
-        prior = batch.sparkSession.read.parquet(f"{path}/batch-{before[-1]}") if before else None
-        step(batch, prior).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
-        for old in before[:-1]:
-            _delete(spark, f"{path}/batch-{old}")
-
-    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = _batches(spark, path)
-    if not done:
-        return step(spark.createDataFrame([], stream.schema), None)
-    return spark.read.parquet(f"{path}/batch-{done[-1]}")
-
-
-def upsert_latest(batch: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
-    """``table`` with each key's latest row by ``order``, of the table and the batch (for ``foreachBatch``): rows that
-    arrive late don't replace later ones; a null order comes first. Other keys stay.
+    The log is what a stream has appended so far (``run_once``): a batch writes its own rows only, and the merge is made
+    where it is read. To shorten the log, write this table once as the next one and begin another log.
     """
-    others = [c for c in batch.columns if c != key]
+    others = [c for c in log.columns if c != key]
     latest = F.max_by(F.struct(*others), F.struct(F.col(order).isNotNull(), F.col(order)))
-    return table.select(*batch.columns).unionByName(batch).groupBy(key).agg(latest.alias("r")).select(key, "r.*").select(*batch.columns)
+    return table.select(*log.columns).unionByName(log).groupBy(key).agg(latest.alias("r")).select(key, "r.*").select(*log.columns)
 
 
 def live_lookup(observations: DataFrame, requests: DataFrame) -> DataFrame:

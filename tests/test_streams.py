@@ -161,9 +161,17 @@ def test_state_of_a_stream_without_rows(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     spark.createDataFrame([], BOX).write.parquet(f"{root}/none")
     assert tracked(spark, f"{root}/none", f"{root}/s") == []
-    table = spark.createDataFrame([(1, 0)], "k bigint, n bigint")
-    got = st.with_table(spark.readStream.schema("k bigint, n bigint").parquet(f"{root}/none"), f"{root}/t", lambda b, prior: st.upsert_latest(b, table if prior is None else prior, "k", "n"))
-    assert [tuple(r) for r in got.collect()] == [(1, 0)]
+
+
+def test_reviews_merge_from_a_log(spark):
+    root, kind = tempfile.mkdtemp(prefix="spark-"), "k bigint, who string, at bigint"
+    table = spark.createDataFrame([(1, "none", None), (2, "none", None), (3, "old", 9)], kind)
+    run = lambda: sorted(tuple(r) for r in st.upsert_latest(st.run_once(spark.readStream.schema(kind).parquet(f"{root}/in"), f"{root}/log"), table, "k", "at").collect())
+    put(spark, [(1, "ann", 5), (1, "bob", 7), (3, "late", 8)], f"{root}/in", kind)
+    assert run() == [(1, "bob", 7), (2, "none", None), (3, "old", 9)]
+    put(spark, [(1, "cy", 6), (2, "cy", 1), (4, "new", 1)], f"{root}/in", kind)
+    assert run() == [(1, "bob", 7), (2, "cy", 1), (3, "old", 9), (4, "new", 1)]
+    assert spark.read.parquet(f"{root}/log").count() == 6
 
 
 OBS, REQ = "store long, sku string, conf long, ts timestamp", "request long, store long, sku string, ts timestamp"
