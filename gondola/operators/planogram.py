@@ -117,9 +117,17 @@ def place_seeds(seeds: DataFrame) -> DataFrame:
 def greedy_start(cells: DataFrame, sequence: DataFrame, similarity, least: int = 3, mean: float = 0.5) -> DataFrame:
     """For bays without seeds: the start location from which the cells, in order, fit longest (mean similarity at or
     above ``mean``; ties: smaller location). cells: bay, i (0, 1, ...), pos, price; sequence: bay, loc, price.
+
+    A start fits only if its first ``least`` cells do: only the first cell meets all locations, each further one the
+    starts that are left, and all cells of a bay only the starts that fit so far.
     """
-    met = cells.join(sequence.select("bay", "loc", F.col("price").alias("known")), "bay").withColumn("start", F.col("loc") - F.col("i"))
-    real = met.join(sequence.select("bay", F.col("loc").alias("start")), ["bay", "start"], "left_semi").withColumn("s", similarity(F.col("price"), F.col("known")))
+    known = sequence.select("bay", "loc", F.col("price").alias("known"))
+    fits = similarity(F.col("price"), F.col("known"))
+    head = cells.where("i = 0").join(known, "bay").where(fits >= 0).select("bay", F.col("loc").alias("start"))
+    for i in range(1, least):
+        at = known.withColumn("start", F.col("loc") - i)
+        head = head.join(cells.where(F.col("i") == i), "bay").join(at, ["bay", "start"]).where(fits >= 0).select("bay", "start")
+    real = cells.join(head, "bay").withColumn("loc", F.col("start") + F.col("i")).join(known, ["bay", "loc"]).withColumn("s", fits)
     w = Window.partitionBy("bay", "start").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     ok = real.withColumns({"low": F.min("s").over(upto), "n": F.count(F.lit(1)).over(upto)}).where("low >= 0 AND n = i + 1")
