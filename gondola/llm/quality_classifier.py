@@ -63,6 +63,10 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key & ((1 << 20) - 1)).astype(np.int32), np.searchsorted(key, np.arange(t.n + 1) << 20), n
 
 
+#: Entries of the training sample that one step of a sum goes through.
+CHUNK = 1 << 18
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -116,18 +120,23 @@ def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, ridge: float = 1e-4,
     weights = np.zeros(SIZE, np.float32)
     if not len(y):
         return Model(weights, np.zeros(TOP))
-    seen = np.bincount(index, minlength=SIZE)
+    seen = sum(np.bincount(index[i : i + CHUNK], minlength=SIZE) for i in range(0, len(index), CHUNK)) + np.zeros(SIZE, np.int64)
     cols = np.flatnonzero(seen >= min(least_docs, max(1, len(y) // 4)))
-    place = np.full(SIZE, -1)
-    place[cols] = np.arange(len(cols))
-    keep = place[index] >= 0
-    row = np.repeat(np.arange(len(y)), np.diff(at))[keep]
-    col, n = place[index[keep]], len(y)
+    place = np.full(SIZE, -1, np.int32)
+    place[cols] = np.arange(len(cols), dtype=np.int32)
+    col, n = place[index], len(y)
+    keep = col >= 0
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[keep]
+    col = col[keep]
+    # sums over all entries go chunk by chunk: what a step holds besides the entries is small
+    parts = [slice(i, i + CHUNK) for i in range(0, len(col), CHUNK)]
 
     def fun(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, first, gaps = x[: len(cols)], x[len(cols)], np.exp(np.clip(x[len(cols) + 1 :], -20, 5))
         theta = first + np.concatenate([[0], np.cumsum(gaps)])
-        z = np.bincount(row, w[col], n)
+        z = np.zeros(n)
+        for e in parts:
+            z += np.bincount(row[e], w[col[e]], n)
         up = lambda k: 1 / (1 + np.exp(-np.clip(z - theta[k - 1], -35, 35)))
         low = np.choose(y, [np.ones(n), *[up(k) for k in range(1, TOP + 1)]])
         high = np.choose(y, [*[up(k) for k in range(1, TOP + 1)], np.zeros(n)])
@@ -137,7 +146,10 @@ def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, ridge: float = 1e-4,
         dz = -(slope_low - slope_high) / p / n
         dtheta = np.array([(np.where(y == k, slope_low, 0) - np.where(y == k - 1, slope_high, 0)) @ (1 / p) / n for k in range(1, TOP + 1)])
         tail = np.cumsum(dtheta[::-1])[::-1]
-        return loss, np.concatenate([np.bincount(col, dz[row], len(cols)) + ridge * w, [tail[0]], tail[1:] * gaps])
+        slope = ridge * w
+        for e in parts:
+            slope += np.bincount(col[e], dz[row[e]], len(cols))
+        return loss, np.concatenate([slope, [tail[0]], tail[1:] * gaps])
 
     x = _minimise(fun, np.zeros(len(cols) + TOP), rounds)
     weights[cols] = x[: len(cols)]
