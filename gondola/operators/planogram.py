@@ -91,27 +91,38 @@ def seed_matches(cells: DataFrame, sequence: DataFrame, least: int = 3, most: in
     grid = grid.where(F.size(F.array_distinct("keys")) >= 2)
     plan = _runs(sequence, "loc", "key", least, most).where(F.element_at("r", -1)["o"] == F.col("first") + F.col("n") - 1)
     plan = plan.select("bay", F.col("first").alias("loc"), F.transform("r", lambda x: x["k"]).alias("keys"))
-    met = grid.join(plan, ["bay", "keys"])
-    score = 0.7 * F.col("n") / most + 0.3 * F.size(F.array_distinct("keys")) / F.col("n")
+    # merge: the size that Spark expects leaves out that runs are six rows a place, so that it would broadcast them
+    met = grid.join(plan.hint("merge"), ["bay", "keys"])
+    score = _seed_score(F.col("n"), F.col("keys"), most)
     return met.select("bay", score.alias("score"), "n", "positions", "loc")
 
 
-_SEED = "struct<neg:double,positions:array<bigint>,loc:bigint,n:int>"
+def _seed_score(n, keys, most: int):
+    return 0.7 * n / most + 0.3 * F.size(F.array_distinct(keys)) / n
 
 
-def place_seeds(seeds: DataFrame) -> DataFrame:
-    """bay, pos, loc: seeds by score (ties: later positions, then later locations), none that uses a cell or location twice."""
-    s = F.struct((-F.round("score", 9)).alias("neg"), F.transform("positions", lambda p: -p.cast("bigint")).alias("positions"), (-F.col("loc")).cast("bigint").alias("loc"), F.col("n").cast("int").alias("n")).cast(_SEED)
-    g = seeds.groupBy("bay").agg(F.array_sort(F.collect_list(s)).alias("s"))
-    init = F.struct(F.array().cast("array<bigint>").alias("p"), F.array().cast("array<bigint>").alias("l"))
+def place_seeds(cells: DataFrame, sequence: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
+    """bay, pos, loc: the seeds of ``seed_matches`` by score (ties: later positions, then later locations), none that
+    uses a cell or location twice.
 
-    def step(a, x):
-        p, locs = F.transform(x["positions"], lambda v: -v), F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: (i - x["loc"]).cast("bigint"))
-        free = ~F.arrays_overlap(a["p"], p) & ~F.arrays_overlap(a["l"], locs)
-        return F.when(free, F.struct(F.concat(a["p"], p).alias("p"), F.concat(a["l"], locs).alias("l"))).otherwise(a)
+    A seed's score and positions are those of its run of cells, so that a run takes the last location of its keys that is
+    free, and a location once used stays used: each run of cells and of locations is looked at once, and the pairs, whose
+    number grows with the square of what repeats in a bay, are never made.
+    """
+    known = cells.withColumn("i", F.row_number().over(Window.partitionBy("bay").orderBy("pos")).cast("bigint"))
+    grid = _runs(known, "i", "key", least, most).withColumn("keys", F.transform("r", lambda x: x["k"])).where(F.size(F.array_distinct("keys")) >= 2)
+    plan = _runs(sequence, "loc", "key", least, most).where(F.element_at("r", -1)["o"] == F.col("first") + F.col("n") - 1).withColumn("keys", F.transform("r", lambda x: x["k"]))
+    row = lambda df, kind, at, n, neg, keys, pos: df.where("bay IS NOT NULL").select("bay", F.lit(kind).alias("kind"), at.cast("bigint").alias("at"), n.cast("int").alias("n"), neg.cast("double").alias("neg"), keys.cast("string").alias("keys"), pos.cast("bigint").alias("pos"))
+    none = F.lit(None)
+    rows = row(grid, "run", F.col("first"), F.col("n"), -F.round(_seed_score(F.col("n"), F.col("keys"), most), 9), F.col("keys"), none)
+    rows = rows.unionByName(row(plan, "plan", F.col("first"), F.col("n"), none, F.col("keys"), none)).unionByName(row(known, "cell", F.col("i"), none, none, none, F.col("pos")))
+
+    def place(pdf):
+        from gondola.operators.alignment import place
+
+        return place(pdf)
 
-    placed = F.aggregate("s", init, step)
-    return g.select("bay", placed.alias("a")).select("bay", F.inline(F.arrays_zip(F.col("a.p").alias("pos"), F.col("a.l").alias("loc"))))
+    return rows.groupBy("bay").applyInPandas(place, "bay string, pos bigint, loc bigint")
 
 
 def greedy_start(cells: DataFrame, sequence: DataFrame, similarity, least: int = 3, mean: float = 0.5) -> DataFrame:
@@ -138,21 +149,19 @@ def greedy_start(cells: DataFrame, sequence: DataFrame, similarity, least: int =
 def fill_alignment(cells: DataFrame, placed: DataFrame, sequence: DataFrame) -> DataFrame:
     """Extends anchors (bay, pos, loc) over the bay's other cells: bay, pos, loc, sku, how.
 
-    Per bay, a few hundred cells at most: equal gaps between anchors are bridged where prices agree, anchors grow to
-    both sides, equal gaps are filled, repeated facings follow their anchor, and anchors grow once more.
+    Per bay: equal gaps between anchors are bridged where prices agree, anchors grow to both sides, equal gaps are filled,
+    repeated facings follow their anchor, and anchors grow once more.
     """
-    c = cells.groupBy("bay").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("price", F.lit(0.0)).alias("price")))).alias("cells"))
-    p = placed.groupBy("bay").agg(F.array_sort(F.collect_list(F.struct("pos", "loc"))).alias("anchors"))
-    s = sequence.groupBy("bay").agg(F.array_sort(F.collect_list(F.struct("loc", "sku", "price"))).alias("plan"))
-    one = c.join(p, "bay").join(s, "bay")
+    row = lambda df, kind, **c: df.select("bay", F.lit(kind).alias("kind"), *[c.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("pos", "bigint"), ("loc", "bigint"), ("sku", "string"), ("price", "double"))])
+    c = row(cells, "cell", pos=F.col("pos"), price=F.coalesce("price", F.lit(0.0)))
+    rows = c.unionByName(row(placed, "anchor", pos=F.col("pos"), loc=F.col("loc"))).unionByName(row(sequence, "plan", loc=F.col("loc"), sku=F.col("sku"), price=F.col("price")))
 
-    def run(batches):
+    def run(pdf):
         from gondola.operators.alignment import align
 
-        for pdf in batches:
-            yield align(pdf)
+        return align(pdf)
 
-    return one.mapInPandas(run, "bay string, pos bigint, loc bigint, sku string, how string")
+    return rows.where("bay IS NOT NULL").groupBy("bay").applyInPandas(run, "bay string, pos bigint, loc bigint, sku string, how string")
 
 
 def empty_candidates(cells: DataFrame, sequence: DataFrame, least: float = 0.9) -> DataFrame:

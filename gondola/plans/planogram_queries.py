@@ -62,21 +62,21 @@ _SEEDS = f"""
   pl AS (SELECT bay, n, ps[i] AS loc, ks[i : i + n - 1] AS keys FROM (SELECT bay, ps, ks, unnest(range(1, len(ps) + 1)) AS i FROM sl), (SELECT unnest(range(3, 9)) AS n) WHERE i + n - 1 <= len(ps) AND ps[i + n - 1] = ps[i] + n - 1)"""
 
 
-def _seeds(spark, sf_dir):
+def _priced(spark, sf_dir):
     cells = fx.price_cells(spark, sf_dir).where("price IS NOT NULL").select("bay", "pos", codes.price_key(F.col("price")).alias("key"))
     plan = fx.sequence(spark, sf_dir).select("bay", "loc", codes.price_key(F.col("price")).alias("key"))
-    return planogram.seed_matches(cells, plan)
+    return cells, plan
 
 
 @query(with_tables("SELECT gr.bay, round(0.7 * gr.n / 8 + 0.3 * len(list_distinct(gr.keys)) / gr.n, 6) AS score, gr.n, array_to_string(positions, ',') AS positions, pl.loc FROM gr JOIN pl ON gr.bay = pl.bay AND gr.keys = pl.keys WHERE len(list_distinct(gr.keys)) >= 2", "price_cells", more=_SEEDS))
 def q9_planogram_seeds(spark, sf_dir):
-    return _seeds(spark, sf_dir).select("bay", _R("score").alias("score"), "n", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), "loc")
+    return planogram.seed_matches(*_priced(spark, sf_dir)).select("bay", _R("score").alias("score"), "n", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), "loc")
 
 
 @query(with_tables("""SELECT bay, o.p AS pos, o.l AS loc FROM (SELECT bay, unnest(list_transform(range(1, len(r.p) + 1), lambda i: {'p': r.p[i], 'l': r.l[i]})) AS o FROM (SELECT bay, list_reduce(l, lambda a, x: CASE WHEN list_has_any(a.p, x.p) OR list_has_any(a.l, x.l) THEN a ELSE {'p': a.p || x.p, 'l': a.l || x.l} END) AS r
   FROM (SELECT gr.bay, list({'p': positions, 'l': range(pl.loc, pl.loc + gr.n)} ORDER BY round(0.7 * gr.n / 8 + 0.3 * len(list_distinct(gr.keys)) / gr.n, 9) DESC, list_transform(positions, lambda v: -v), pl.loc DESC) AS l FROM gr JOIN pl ON gr.bay = pl.bay AND gr.keys = pl.keys WHERE len(list_distinct(gr.keys)) >= 2 GROUP BY gr.bay)))""", "price_cells", more=_SEEDS))
 def q9_placed_seeds(spark, sf_dir):
-    return planogram.place_seeds(_seeds(spark, sf_dir))
+    return planogram.place_seeds(*_priced(spark, sf_dir))
 
 
 def _ladder(a, b):
@@ -94,7 +94,7 @@ def q10_greedy_start(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir):
-    return planogram.fill_alignment(fx.price_cells(spark, sf_dir).select("bay", "pos", "price"), planogram.place_seeds(_seeds(spark, sf_dir)), fx.sequence(spark, sf_dir).select("bay", "loc", "sku", "price"))
+    return planogram.fill_alignment(fx.price_cells(spark, sf_dir).select("bay", "pos", "price"), planogram.place_seeds(*_priced(spark, sf_dir)), fx.sequence(spark, sf_dir).select("bay", "loc", "sku", "price"))
 
 
 @query()
