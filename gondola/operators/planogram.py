@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from gondola.functions import boxes as bx
 from gondola.functions import codes
 from gondola.functions.boxes import Box
 from gondola.operators.match import sides
+from gondola.sources.scratch import written
 
 
 def digits_to_prices(labels: DataFrame, digits: DataFrame) -> DataFrame:
@@ -132,17 +135,27 @@ def greedy_start(cells: DataFrame, sequence: DataFrame, similarity, least: int =
     A start fits only if its first ``least`` cells do: only the first cell meets all locations, each further one the
     starts that are left, and all cells of a bay only the starts that fit so far.
     """
-    known = sequence.select("bay", "loc", F.col("price").alias("known"))
+    known = sequence.select("bay", "loc", F.col("price").alias("known")).hint("merge")
     fits = similarity(F.col("price"), F.col("known"))
     head = cells.where("i = 0").join(known, "bay").where(fits >= 0).select("bay", F.col("loc").alias("start"))
     for i in range(1, least):
-        at = known.withColumn("start", F.col("loc") - i)
+        at = known.withColumn("start", F.col("loc") - i).hint("merge")
         head = head.join(cells.where(F.col("i") == i), "bay").join(at, ["bay", "start"]).where(fits >= 0).select("bay", "start")
-    real = cells.join(head, "bay").withColumn("loc", F.col("start") + F.col("i")).join(known, ["bay", "loc"]).withColumn("s", fits)
-    w = Window.partitionBy("bay", "start").orderBy("i")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ok = real.withColumns({"low": F.min("s").over(upto), "n": F.count(F.lit(1)).over(upto)}).where("low >= 0 AND n = i + 1")
-    fit = ok.groupBy("bay", "start").agg(F.count(F.lit(1)).alias("length"), F.avg("s").alias("score")).where((F.col("length") >= least) & (F.col("score") >= mean))
+    # stretches of cells, each twice as long as all before it, meet only the starts that fit all of those
+    zero, ended = F.lit(0).cast("bigint"), []
+    alive, low, high = written(head.select("bay", "start", F.lit(0.0).alias("total"), zero.alias("scored"), zero.alias("length"))), 0, 2 * least
+    by = Window.partitionBy("bay", "start").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    while not alive.isEmpty():
+        real = cells.where((F.col("i") >= low) & (F.col("i") < high)).join(alive.select("bay", "start"), "bay").withColumn("loc", F.col("start") + F.col("i"))
+        real = real.join(known, ["bay", "loc"]).withColumn("s", fits)
+        ok = real.withColumns({"low": F.min("s").over(by), "n": F.count(F.lit(1)).over(by)}).where(f"coalesce(low >= 0, true) AND n = i + 1 - {low}")
+        more = ok.groupBy("bay", "start").agg(F.sum("s").alias("_total"), F.count("s").alias("_scored"), F.count(F.lit(1)).alias("_length"))
+        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("total", "scored", "length")]
+        met = written(alive.join(more, ["bay", "start"], "left").select("bay", "start", *sums))
+        ended.append(met.where(F.col("length") < high))
+        alive, low, high = met.where(F.col("length") == high), high, 3 * high
+    fit = reduce(DataFrame.unionByName, ended) if ended else alive
+    fit = fit.withColumn("score", F.col("total") / F.nullif("scored", F.lit(0))).where((F.col("length") >= least) & (F.col("score") >= mean))
     return fit.groupBy("bay").agg(F.min(F.struct((-F.col("length")).alias("neg"), "start", "score")).alias("b")).select("bay", F.col("b.start").alias("start"), (-F.col("b.neg")).alias("length"), F.col("b.score").alias("score"))
 
 
