@@ -40,3 +40,19 @@ def test_a_large_polygon_needs_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 5e6
     tracemalloc.stop()
     assert overlap_of(square, []) == overlap_of(None, [square]) == overlap_of(dicts([(0, 0), (1, 1)]), [square]) == (0.0, 0.0, 0.0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), POLYGON), st.lists(POLYGON, max_size=3)), min_size=1, max_size=6), st.sampled_from([1, 300, 1_000_000]))
+def test_batches_are_their_rows(rows, crossings):
+    import pyarrow as pa
+
+    from gondola.functions import polygons
+
+    ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    before, polygons.CROSSINGS = polygons.CROSSINGS, crossings
+    try:
+        t, p = [a and dicts(a) for a, _ in rows], [[dicts(q) for q in b] for _, b in rows]
+        assert [tuple(r) for r in polygons.overlaps_of(pa.array(t, ring), pa.array(p, pa.list_(ring)))] == [pytest.approx(overlap_of(a, b)) for a, b in zip(t, p, strict=True)]
+    finally:
+        polygons.CROSSINGS = before
