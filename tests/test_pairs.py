@@ -70,3 +70,17 @@ def test_pairs_in_parts_are_the_same(monkeypatch):
     in_parts = pairs.Pairs(t, ["image"])
     assert len(list(in_parts.chunks())) > 3
     assert found.tolist() == in_parts.best()[0].tolist() and top.tolist() == in_parts.best()[1].tolist()
+
+
+def test_mutual_best_looks_for_a_partner_once_for_all_levels(sides):
+    p, g, ps, gs = sides
+    levels = (0.3, 0.5, 0.8)
+    want = set()
+    for level in levels:
+        first = {}
+        for x in p:
+            s, _, y = best(x, g)
+            if y and s > 0 and s >= level:
+                first.setdefault(y[2], x)
+        want |= {(level, *x[:3], gt) for gt, x in first.items()}
+    assert rows(match.mutual_best(ps, gs, levels).select("level", "image", "cls", "det", "gt")) == sorted(want, key=str)
