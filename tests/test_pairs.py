@@ -84,3 +84,19 @@ def test_mutual_best_looks_for_a_partner_once_for_all_levels(sides):
                 first.setdefault(y[2], x)
         want |= {(level, *x[:3], gt) for gt, x in first.items()}
     assert rows(match.mutual_best(ps, gs, levels).select("level", "image", "cls", "det", "gt")) == sorted(want, key=str)
+
+
+def test_words_meet_tracks_without_pair_rows(sides):
+    p, g, ps, gs = sides
+    want = []
+    for x in p:
+        cx, cy = (x[4] + x[6]) / 2, (x[5] + x[7]) / 2
+        of = [y for y in g if x[0] is not None and y[0] == x[0]]
+        d = lambda y: int((y[5] - y[3]) * 0.12)
+        held = [y[2] for y in of if max(0, y[3] - d(y)) <= cx < min(9, y[5] + d(y)) and max(0, y[4]) <= cy < min(9, y[6])]
+        s, _, y = best(x, of, lambda *_: True)
+        if held or s > 0:
+            want.append((x[0], x[2], min(held) if held else y[2], "centre" if held else "overlap"))
+    words, tracks = ps.drop("cls", "conf").withColumnRenamed("det", "word"), gs.drop("cls").withColumnRenamed("gt", "det")
+    assert rows(match.assign_words(words, tracks, F.lit(9), F.lit(9))) == sorted(want, key=str)
+    assert {w[3] for w in want} == {"centre", "overlap"}
