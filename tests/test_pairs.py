@@ -100,3 +100,19 @@ def test_words_meet_tracks_without_pair_rows(sides):
     words, tracks = ps.drop("cls", "conf").withColumnRenamed("det", "word"), gs.drop("cls").withColumnRenamed("gt", "det")
     assert rows(match.assign_words(words, tracks, F.lit(9), F.lit(9))) == sorted(want, key=str)
     assert {w[3] for w in want} == {"centre", "overlap"}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_confusion_counts_in_tasks(sides, strict):
+    p, g, ps, gs = sides
+    same = lambda x, y: x[0] is not None and x[0] == y[0]
+    first = {}
+    for x in p:
+        s, _, y = best(x, g, same)
+        if x[3] > 0 and y and s > 0.45 and (y[2] not in first or s > first[y[2]][0]):
+            first[y[2]] = (s, x)
+    hit, images = {x[2] for _, x in first.values()}, {x[0] for _, x in first.values()}
+    cells = [(y[1], first[y[2]][1][1]) if y[2] in first else (y[1], "background") for y in g]
+    cells += [("background", x[1]) for x in p if x[3] > 0 and x[2] not in hit and (not strict or x[0] in images)]
+    want = [(*c, cells.count(c)) for c in set(cells)]
+    assert rows(evaluate.confusion(ps, gs, F.col("conf") > 0, strict_background=strict)) == sorted(want, key=str)
