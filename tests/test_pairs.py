@@ -116,3 +116,19 @@ def test_confusion_counts_in_tasks(sides, strict):
     cells += [("background", x[1]) for x in p if x[3] > 0 and x[2] not in hit and (not strict or x[0] in images)]
     want = [(*c, cells.count(c)) for c in set(cells)]
     assert rows(evaluate.confusion(ps, gs, F.col("conf") > 0, strict_background=strict)) == sorted(want, key=str)
+
+
+def test_greedy_outcomes_in_one_pass(sides):
+    p, g, ps, gs = sides
+    pairs_ = sorted((-x[3], x[2], -iou(x, y), -y[2], x, y) for x in p for y in g if fits(x, y) and iou(x, y) >= 0.5)
+    took, free = {}, {y[2] for y in g}
+    for *_, x, y in pairs_:
+        if x[2] not in took and y[2] in free:
+            took[x[2]] = y
+            free.discard(y[2])
+    want = [(*x[:2], "TP", x[2], took[x[2]][2], round(iou(x, took[x[2]]), 9)) if x[2] in took else (*x[:2], "FP", x[2], None, round(best(x, g)[0], 9)) for x in p]
+    want += [(*y[:2], "FN", None, y[2], 0.0) for y in g if y[2] in free]
+    got = match.confidence_outcomes(ps, gs).withColumn("iou", F.round("iou", 9))
+    assert rows(got) == sorted(want, key=str)
+    parts = match.confidence_greedy(ps, gs)
+    assert [parts[k].count() for k in ("matches", "false_positives", "false_negatives")] == [sum(r[2] == o for r in want) for o in ("TP", "FP", "FN")]
