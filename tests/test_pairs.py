@@ -132,3 +132,22 @@ def test_greedy_outcomes_in_one_pass(sides):
     assert rows(got) == sorted(want, key=str)
     parts = match.confidence_greedy(ps, gs)
     assert [parts[k].count() for k in ("matches", "false_positives", "false_negatives")] == [sum(r[2] == o for r in want) for o in ("TP", "FP", "FN")]
+
+
+def test_image_search_in_parts_meets_all_images_without_pair_rows(spark):
+    r = random.Random(5)
+    box = lambda: (lambda x, y: (x, y, x + 8, y + 8))(r.randrange(30), r.randrange(20))
+    p = [(s, d, r.choice(["A", "B", None]), *box()) for s in range(6) for d in (0, 1, 2, 2)]
+    g = [(i, r.choice(["A", "B", None]), *box()) for i in range(40) for _ in range(5)]
+    score = {}
+    for s, d, c, *b in p:
+        for i, k, *q in g:
+            if c is not None and c == k and iou(b, q) > 0:
+                score[s, i, d] = max(score.get((s, i, d), 0), iou(b, q))
+    want = {}
+    for s, i, _ in score:
+        want[s] = max(want.get(s, (0, 0)), (round(sum(v for k, v in score.items() if k[:2] == (s, i)), 9), i))
+    ps, gs = spark.createDataFrame(p, "source bigint, det int, cls string, x1 int, y1 int, x2 int, y2 int"), spark.createDataFrame(g, "image bigint, cls string, x1 int, y1 int, x2 int, y2 int")
+    for parts in ((16_000, 50_000), (5, 30)):
+        got = match.infer_image(ps, gs, boxes=parts).withColumn("score", F.round("score", 8))
+        assert rows(got) == sorted((s, i, round(v, 8)) for s, (v, i) in want.items() if v >= 1)
