@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,12 +100,17 @@ def live_lookup(observations: DataFrame, requests: DataFrame) -> DataFrame:
     return observations.join(requests, ["store", "sku"]).select("request", "store", "sku", "conf", "ts")
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
+def _near(tracks: list[list], boxes: list[tuple], least: float) -> list[tuple[float, int, int]]:
+    """(IoU, -track, -box) of the pairs at ``least`` or more, greatest first; as arrays, since few of all pairs are near."""
+    if not tracks or not boxes:
+        return []
+    t, b = np.array([x[3:7] for x in tracks], float).T[:, :, None], np.array(boxes, float).T[:, None, :]
+    w, h = np.minimum(t[2], b[2]) - np.maximum(t[0], b[0]), np.minimum(t[3], b[3]) - np.maximum(t[1], b[1])
+    both = np.where((w > 0) & (h > 0), w * h, 0.0)
     area = lambda z: (z[2] - z[0]) * (z[3] - z[1])
-    return w * h / (area(a) + area(b) - w * h)
+    iou = np.divide(both, area(t) + area(b) - both, out=np.zeros_like(both), where=both > 0)
+    i, j = np.nonzero(iou >= least)
+    return sorted(zip(iou[i, j].tolist(), (-i).tolist(), (-j).tolist(), strict=True), reverse=True)
 
 
 def associate(tracks: list[list], boxes: list[tuple], next_id: int, least_iou: float, max_age: int, min_hits: int) -> tuple[list[list], list[tuple], int]:
@@ -114,7 +120,7 @@ def associate(tracks: list[list], boxes: list[tuple], next_id: int, least_iou: f
     """
     for t in tracks:
         t[3], t[4], t[5], t[6] = t[3] + t[7], t[4] + t[8], t[5] + t[7], t[6] + t[8]
-    pairs = sorted(((_iou(t[3:7], b), -i, -j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)), reverse=True)
+    pairs = _near(tracks, boxes, least_iou)
     taken: dict[int, int] = {}
     used: set[int] = set()
     for score, i, j in pairs:
