@@ -151,3 +151,15 @@ def test_image_search_in_parts_meets_all_images_without_pair_rows(spark):
     for parts in ((16_000, 50_000), (5, 30)):
         got = match.infer_image(ps, gs, boxes=parts).withColumn("score", F.round("score", 8))
         assert rows(got) == sorted((s, i, round(v, 8)) for s, (v, i) in want.items() if v >= 1)
+
+
+def test_every_detection_is_judged_without_pair_rows(sides):
+    p, g, ps, gs = sides
+    first = {}
+    for x in sorted(p, key=lambda x: (-x[3], x[2])):
+        s, _, y = best(x, g)
+        if y and s > 0.5:
+            first.setdefault(y[2], (x[2], s))
+    got_by = {det: (gt, round(s, 9)) for gt, (det, s) in first.items()}
+    want = [(*x[:4], *got_by.get(x[2], (None, None))) for x in p]
+    assert rows(match.claimed(ps, gs).withColumn("iou", F.round("iou", 9))) == sorted(want, key=str)
