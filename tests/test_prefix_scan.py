@@ -93,3 +93,16 @@ def test_ordinals_and_neighbours(spark):
         own = b[1] if b and b[0] == a[0] else None
         assert moved[a] == (own, min(r for i, r in order if i == a[0]) if own is None else own, b and b[1])
     assert len(moved) == len(order)
+
+
+def test_rows_meet_no_table_of_ranges(spark):
+    """What other ranges come to is a row among theirs: neither scan joins, and the given columns stay."""
+    placed = prefix_scan.place(spark.createDataFrame(rows(300), "k string, v long, id long, x double"), ["k", "v", "id"], parts=5)
+    for scan, plain in ((prefix_scan.running_sums, sum), (prefix_scan.maxima_ahead, max)):
+        out = scan(placed, ["k"], {"s": F.col("id") % 7})
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == [*placed.columns, "s"]
+        got = out.collect()
+        assert len(got) == 300
+        for a in got[::17]:
+            upto = [b["id"] % 7 for b in got if b["k"] == a["k"] and (b["_place"] <= a["_place"] if plain is sum else b["_place"] >= a["_place"])]
+            assert a["s"] == plain(upto)
