@@ -106,3 +106,12 @@ def test_rows_meet_no_table_of_ranges(spark):
         for a in got[::17]:
             upto = [b["id"] % 7 for b in got if b["k"] == a["k"] and (b["_place"] <= a["_place"] if plain is sum else b["_place"] >= a["_place"])]
             assert a["s"] == plain(upto)
+
+
+def test_101_points_read_the_curve_once(spark):
+    """The few points beside the 101 places are a table: its plan doesn't scan the order again."""
+    curve = evaluate.precision_curve(spark.createDataFrame([("a", i, 0.6 if i % 3 else None) for i in range(30)], "cls string, id long, iou double"), spark.createDataFrame([("a",)] * 25, "cls string"), (0.5, 0.9), ["cls"], [F.col("id")])
+    out = evaluate.average_precision_101(curve, ["cls"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(out.collect()) == 2
+    assert {r["threshold"]: r["n_correct"] for r in curve["groups"].collect()} == {0.5: 20, 0.9: 0}
