@@ -7,12 +7,16 @@ least ``width`` tokens wide are kept, about 2 / width a token.
 
 One hash alone would bring together all texts that share a frequent phrase. So hashes are taken two by two: where two
 windows of a text, one of either hash, overlap such that one subsequence lies in both, their intersection (l, first c,
-last c, r) stands for all subsequences with that pair of smallest tokens. Two passages of similarity s lie in windows
+last c, r) stands for all subsequences with that pair of smallest tokens; pairs count that lie in ``width`` tokens, as a longer passage has such
+parts. Two passages of similarity s lie in windows
 of equal keys with probability s^2 for a pair; with 4 pairs one of them agrees with probability 0.983 at similarity
 0.8 (0.994 at 0.85, 0.9987 at 0.9), and a longer passage has more than one chance.
 
-In each of ``rounds`` rounds all windows of a key are compared with one leader; then the windows that lie in no
-confirmed span are compared with every other window of their key, confirmed ones included. The collisions of a pair of
+Windows of one key in one text are compared where they are made, each with the one before it; those that a passage so
+verified links to it are stood for by the first. In each of ``rounds`` rounds all windows of a key are compared with one
+leader. Then the windows that lie in no confirmed span are compared with the most alike of the other windows of their
+key, confirmed ones included, and at last with all of them that have about half of the tokens on one side of the place in
+common, by sketches of 64 bits: a passage at the threshold has nine tenths of them. The collisions of a pair of
 texts, under all keys, are joined as intervals that overlap in both texts, and make candidate regions; the regions'
 words are then compared. A passage is verified where its distinct shingles and those of its counterpart have similarity
 0.8 or more and both have ``min_words`` words.
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import NON_SPACE, U64, Texts, mix
@@ -94,10 +98,10 @@ def _tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def crossed(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], width: int) -> tuple[np.ndarray, ...]:
-    """(window of one, window of two, l, first c, last c, r) of all subsequences of ``width`` tokens that lie in both."""
+    """(window of one, window of two, l, first c, last c, r) where a subsequence of just ``width`` tokens lies in both."""
     (l1, c1, r1), (l2, c2, r2) = one, two
-    first = np.searchsorted(c2, l1)
-    many = np.searchsorted(c2, r1, "right") - first
+    first = np.searchsorted(c2, np.maximum(l1, c1 - width + 1))
+    many = np.searchsorted(c2, np.minimum(r1, c1 + width - 1), "right") - first
     i = np.repeat(np.arange(len(c1)), many)
     j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     low, high = np.maximum(l1[i], l2[j]), np.minimum(r1[i], r2[j])
@@ -106,25 +110,107 @@ def crossed(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], width: int
     return i[on], j[on], low[on], begin[on], end[on], high[on]
 
 
-def all_windows(texts: DataFrame, pairs: int, width: int) -> DataFrame:
-    """key, t (name of the text), m (first c << 32 | last c), w (l << 32 | r) for the windows under all pairs of hashes."""
+def stretches(hits: list[tuple[int, int, int]], slack: int = 8) -> list[list[int]]:
+    """(low, high, shift) of collisions, by start -> [low, high, least shift, greatest shift] of the regions they cover; a
+    stretch joins all open regions that it overlaps at a like shift.
+    """
+    done: list[list[int]] = []
+    near: list[list[int]] = []
+    for low, high, shift in hits:
+        one, apart = [low, high, shift, shift], []
+        for r in near:
+            if r[1] + slack < low:
+                done.append(r)
+            elif r[2] - 16 <= shift <= r[3] + 16:
+                one = [min(r[0], one[0]), max(r[1], one[1]), min(r[2], one[2]), max(r[3], one[3])]
+            else:
+                apart.append(r)
+        near = [*apart, one]
+    return done + near
+
+
+def joined(group: np.ndarray, low: np.ndarray, high: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, low, high) of intervals of one group, joined where they overlap or lie at most ``slack`` apart."""
+    order = np.lexsort((low, group))
+    group, low, high = group[order], low[order], high[order]
+    if not len(low):
+        return group, low, high
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    lift = (np.cumsum(new) - 1) * (int(high.max()) + slack + 2)
+    reach = np.maximum.accumulate(high + lift)
+    new[1:] |= low[1:] + lift[1:] > reach[:-1] + slack
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    return group[first], low[first], reach[last] - lift[last]
+
+
+def own_repeats(token: np.ndarray, text: np.ndarray, found: tuple[np.ndarray, ...], again: np.ndarray, min_words: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(text, first and last shingle place) of verified passages that a text repeats itself, and which windows of ``again``
+    they confirm: windows whose key their text had before, at the window in front of them.
+    """
+    l, c, d, r = found
+    before = again - 1
+    shift = c[again] - c[before]
+    low, high = np.maximum(l[before], l[again] - shift), np.minimum(r[before], r[again] - shift)
+    apart = shift > 0
+    # collisions of one shift first, as in a text that repeats a line; then those of like shifts
+    group, low, high = joined((text[again][apart] << 32) | shift[apart], low[apart], high[apart], 8)
+    who, shift = group >> 32, group & 0xFFFFFFFF
+    order = np.lexsort((shift, high, low, who))
+    who, rows = who[order], np.stack([low[order], high[order], shift[order]], 1)
+    cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]])) if len(who) else np.zeros(1, np.int64)
+    out: list[tuple[int, int, int]] = []
+    met = np.zeros(len(again), bool)
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        of = slice(*np.searchsorted(text[again], [who[x], who[x] + 1]))
+        u, v = before[of], again[of]
+        for lo, hi, s1, s2 in stretches([tuple(h) for h in rows[x:y].tolist()]):
+            for x1, x2, y1, y2 in passages(token[lo : hi + 1], token[lo + s1 : hi + s2 + 1], min_words, percent, s1):
+                x1, x2, y1, y2 = lo + x1, lo + x2, lo + s1 + y1, lo + s1 + y2
+                out += [(int(who[x]), x1, x2), (int(who[x]), y1, y2)]
+                met[of] |= (x1 <= c[u]) & (d[u] <= x2) & (y1 <= c[v]) & (d[v] <= y2)
+    return *joined(*np.array(out, np.int64).reshape(-1, 3).T, 0), met
+
+
+def all_windows(texts: DataFrame, pairs: int, width: int, min_words: int, percent: int) -> DataFrame:
+    """key, t (name of the text), m (first c << 32 | last c), w (l << 32 | r), own (false) for the windows under all pairs
+    of hashes; and the word spans that a text repeats itself: t, m (start), w (end), own (true), under any key.
+
+    A pair of smallest tokens stands for subsequences of just ``width`` tokens that hold both: a longer passage has such
+    parts. Windows of one key in one text meet here, each the one before it. One that a verified passage links to the one
+    before it goes, since the first of them stands for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             name = b.column("t").to_numpy()
-            for lo, _, t in Texts.chunks(b.column("text")):
+            for start, _, t in Texts.chunks(b.column("text")):
                 token, at = _tokens(t)
+                all_of: list[tuple[np.ndarray, ...]] = []
                 for i in range(pairs):
                     x, y = (mix(token ^ mix(np.full(1, 2 * i + j + 1, U64))) for j in (0, 1))
                     one, two = windows(x, at, width), windows(y, at, width)
                     u, v, low, begin, end, high = crossed(one, two, width)
                     key = mix(mix(x[one[1][u]] + U64(i)) * U64(0x9E3779B97F4A7C15) + y[two[1][v]])
-                    text = np.searchsorted(at, begin, "right") - 1
-                    # places within the text, which has less than 2^31 bytes
-                    l, c, d, r = (z - at[text] for z in (low, begin, end, high))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[text + lo]), pa.array((c << 32) | d), pa.array((l << 32) | r)], ["key", "t", "m", "w"])
-
-    return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint")
+                    all_of.append((key, low, begin, end, high))
+                key, *found = (np.concatenate(z) for z in zip(*all_of, strict=True))
+                text = np.searchsorted(at, found[1], "right") - 1
+                order = np.lexsort((found[2], found[1], key, text))
+                key, text, found = key[order], text[order], [z[order] for z in found]
+                same = np.concatenate([np.zeros(min(1, len(key)), bool), (key[1:] == key[:-1]) & (text[1:] == text[:-1])])
+                again = np.flatnonzero(same)
+                who, lo, hi, met = own_repeats(token, text, tuple(found), again, min_words, percent)
+                keep = np.ones(len(key), bool)
+                keep[again[met]] = False
+                # places within the text, which has less than 2^31 bytes
+                l, c, d, r = ((z - at[text])[keep] for z in found)
+                columns = [
+                    np.concatenate([key[keep].view(np.int64), mix(lo.astype(U64)).view(np.int64)]), name[np.concatenate([text[keep], who]) + start],
+                    np.concatenate([(c << 32) | d, lo - at[who]]), np.concatenate([(l << 32) | r, hi + SHINGLE - at[who]]), np.repeat([False, True], [len(c), len(who)]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in columns], ["key", "t", "m", "w", "own"])
+
+    return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint, own boolean")
 
 
 def _regions(pairs: DataFrame, slack: int = 8) -> DataFrame:
@@ -141,23 +227,8 @@ def _regions(pairs: DataFrame, slack: int = 8) -> DataFrame:
             lows, highs = np.maximum(l1, l2 - shifts), np.minimum(r1, r2 - shifts)
             at = column.offsets.to_numpy()
             for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), at[:-1], at[1:], strict=True):
-                # by start; a stretch joins all open regions that it overlaps at a like shift
-                done: list[list[int]] = []
-                near: list[list[int]] = []
                 hits = sorted(set(zip(lows[x:y].tolist(), highs[x:y].tolist(), shifts[x:y].tolist(), strict=True)))
-                for low, high, shift in hits:
-                    if a == b and not shift:
-                        continue
-                    one, apart = [low, high, shift, shift], []
-                    for r in near:
-                        if r[1] + slack < low:
-                            done.append(r)
-                        elif r[2] - 16 <= shift <= r[3] + 16:
-                            one = [min(r[0], one[0]), max(r[1], one[1]), min(r[2], one[2]), max(r[3], one[3])]
-                        else:
-                            apart.append(r)
-                    near = [*apart, one]
-                for lo, hi, s1, s2 in done + near:
+                for lo, hi, s1, s2 in stretches([h for h in hits if a != b or h[2]], slack):
                     rows["a"].append(a), rows["b"].append(b)
                     rows["a1"].append(max(0, lo)), rows["a2"].append(hi), rows["b1"].append(max(0, lo + s1)), rows["b2"].append(hi + s2)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
@@ -207,12 +278,15 @@ def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int, apart:
     held = np.sort((np.searchsorted(common, y[there]) << 32) | there)
     want = (np.searchsorted(common, x[match]) << 32) | match
     after = np.searchsorted(held, want)
-    low, high = held[np.maximum(after - 1, 0)], held[np.minimum(after, len(held) - 1)]
-    far = lambda k: np.where(k >> 32 == want >> 32, np.abs(k - want), 1 << 40)
-    in_y = np.where(far(low) <= far(high), low, high) & 0xFFFFFFFF
+    at = after[:, None] + np.arange(-2, 2)
+    near = held[np.clip(at, 0, len(held) - 1)]
+    far = np.where(near >> 32 == (want >> 32)[:, None], np.abs(near - want[:, None]), 1 << 40)
+    near &= 0xFFFFFFFF
     if apart is not None:
-        other = in_y + apart != match
-        match, in_y = match[other], in_y[other]
+        far[near + apart == match[:, None]] = 1 << 40
+    best = np.argmin(far, 1)[:, None]
+    in_y, other = np.take_along_axis(near, best, 1)[:, 0], np.take_along_axis(far, best, 1)[:, 0] < 1 << 40
+    match, in_y = match[other], in_y[other]
     free = np.ones(len(match), bool)
     for gap in (12, 6, 2, 0):
         left = np.flatnonzero(free)
@@ -282,6 +356,42 @@ def open_windows(members: DataFrame, spans: DataFrame | None) -> DataFrame:
     return members.join(done, "t", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("s")
 
 
+#: A sketch has a bit of 64 for each of so many tokens. Windows meet in the last pass where a pair of sketches has this many bits in common.
+SKETCH, COMMON = 22, 11
+
+
+def sketched(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, the bits of the ``SKETCH`` tokens that end with it and of those that begin with it, within its text."""
+    bit, place = U64(1) << (mix(token) >> U64(58)), np.arange(len(token))
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    back, ahead = bit.copy(), bit.copy()
+    for j in range(1, SKETCH):
+        on = place[at[text] + j <= place]
+        back[on] |= bit[on - j]
+        ahead[on - j] |= bit[on]
+    return back, ahead
+
+
+def _sketches(texts: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
+    """places: t, m -> t, m, back, ahead: the sketches of the tokens up to the last smallest one and from the first one on."""
+    each = places.groupBy("t").agg(F.collect_set("m").alias("s")).join(classes.select("t", "rep"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column, name = b.column("s"), b.column("t").to_numpy()
+            ends = column.offsets.to_numpy()
+            for lo, hi, t in Texts.chunks(b.column("text")):
+                token, at = _tokens(t)
+                back, ahead = sketched(token, at)
+                m = column.values.to_numpy()[ends[lo] : ends[hi]]
+                of = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                two = back[at[of] + (m & 0xFFFFFFFF)], ahead[at[of] + (m >> 32)]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (name[lo + of], m, *(x.view(np.int64) for x in two))], ["t", "m", "back", "ahead"])
+
+    found = texts.join(each.hint("shuffle_hash"), "t").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    return found.select("t", "text", "s").mapInArrow(run, "t bigint, m bigint, back bigint, ahead bigint").dropDuplicates(["t", "m"])
+
+
 def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs: int = 4, rounds: int = 2) -> DataFrame:
     """A row for each document that has a passage found elsewhere: doc_id, n_words, n_repeated (words), spans
     (``start:end`` word places, comma-joined), copies (documents with this very text, itself included), like_id (the
@@ -291,26 +401,37 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     classes = materialize(named.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
-    found = all_windows(named, pairs, width)
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    # copies of a text have the same windows: one of each stays
-    members = found.join(often.hint("merge"), "key", "left_semi").distinct()
-    several = materialize(members)
-    members = materialize(several.join(several.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "key", "left_semi"))
-    forget(several)
-    seen = spans = None
-    for turn in range(rounds + 1):
-        now = open_windows(members, spans)
+    found = all_windows(named, pairs, width, min_words, percent)
+    # copies of a text have the same windows: a key that nothing else has is no collision, and one of each stays
+    one = F.struct("t", "m")
+    by_key = Window.partitionBy("key")
+    found = found.withColumns({"least": F.min(one).over(by_key), "most": F.max(one).over(by_key)}).where("own OR least <> most")
+    several = materialize(found.select("key", "t", "m", "w", "own").distinct())
+    members, own = several.where("NOT own").drop("own"), several.where("own")
+    seen, spans = None, own.select("t", F.col("t").alias("other"), F.col("m").alias("lo"), F.col("w").alias("hi"))
+    for turn in range(rounds + 2):
+        # whatever a text repeats itself, its windows meet those of others once
+        now = open_windows(members, spans if turn else None)
         if turn < rounds:
             pick = F.min(F.struct(F.xxhash64("t", F.lit(turn)), "t", "m", "w"))
             lead = now.where("open").groupBy("key").agg(pick.alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"{x}2") for x in ("t", "m", "w")])
             met = members.join(lead, "key").where("t <> t2 OR m <> m2")
         else:
-            # what no leader confirmed meets every other window of its key, each pair once
-            now = materialize(now)
-            own = now.where("open").drop("open")
-            other = now.select("key", *[F.col(x).alias(f"{x}2") for x in ("t", "m", "w", "open")])
-            met = own.join(other, "key").where("(t <> t2 OR m <> m2) AND (NOT open2 OR struct(t, m) < struct(t2, m2))")
+            # what no leader confirmed meets the most alike of the other windows of its key; then what is still open meets
+            # every other one, each pair once, where one side of the place is alike
+            now = materialize(now.join(now.where("open").select("key").distinct(), "key", "left_semi"))
+            if turn == rounds:
+                sketches = materialize(_sketches(named, classes, now.select("t", "m").distinct()))
+            both = now.join(sketches, ["t", "m"])
+            own = both.where("open").drop("open")
+            other = both.select("key", *[F.col(x).alias(f"{x}2") for x in ("t", "m", "w", "back", "ahead", "open")])
+            common = lambda x: F.bit_count(F.col(x).bitwiseAND(F.col(f"{x}2")))
+            met = own.join(other, "key").where("t <> t2 OR m <> m2").where((common("back") >= COMMON) | (common("ahead") >= COMMON))
+            if turn == rounds:
+                most = F.max(F.struct((common("back") + common("ahead")).alias("bits"), "t2", "m2", "w2")).alias("most")
+                met = met.groupBy("key", "t", "m", "w").agg(most).select("key", "t", "m", "w", "most.t2", "most.m2", "most.w2")
+            else:
+                met = met.where("NOT open2 OR struct(t, m) < struct(t2, m2)")
         # a pair of texts has one order, whoever leads
         two = F.array_sort(F.array(F.struct("t", "m", "w"), F.struct(F.col("t2").alias("t"), F.col("m2").alias("m"), F.col("w2").alias("w"))))
         met = met.select(two.alias("two"))
@@ -327,12 +448,12 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
         both = good.select(F.col("a").alias("t"), F.col("b").alias("other"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
             good.select(F.col("b").alias("t"), F.col("a").alias("other"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
         )
-        spans = both if spans is None else spans.unionByName(both)
+        spans = spans.unionByName(both)
     other = spans.join(classes.select(F.col("t").alias("other"), F.col("rep").alias("like")), "other")
     by_text = other.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"), F.min("like").alias("like"))
     n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     by_text = materialize(by_text.select("t", merged(F.col("s")).alias("s"), "like"))
-    forget(members, sweep=True)
+    forget(several, sketches, sweep=True)
     sized = named.select("doc_id", "t", n_words.alias("n_words")).join(classes, "t").join(by_text, "t", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= min_words)
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_words").alias("hi")))
