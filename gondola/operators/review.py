@@ -157,12 +157,15 @@ def truth_values(rows: DataFrame, source: str = "golden_sku_truth.csv") -> DataF
     na = codes.is_na(text("expected_sku"))
     sku = F.when(na, F.when(F.upper(text("expected_sku")) == "X", "X").otherwise("N/A")).otherwise(F.coalesce(codes.clean_expected(text("expected_sku")), F.lit("")))
     v = rows.where(F.col("shape_idx").isNotNull()).withColumn("expected_sku", sku).where((F.col("expected_sku") != "") & (~na | (text("notes") != "")))
-    other = lambda c, d: F.when(text(c) != "", text(c)).otherwise(d)
-    values = F.struct(
-        "expected_sku", other("review_status", F.when(codes.is_na(F.col("expected_sku")), "not_applicable").otherwise("reviewed")).alias("status"), other("scorability", codes.scorability(F.col("expected_sku"))).alias("scorability"),
-        other("sku_digit_class", codes.digit_class(F.col("expected_sku"))).alias("digit_class"), F.lit(source).alias("source"), text("reviewer").alias("reviewer"), text("notes").alias("notes"),
+    told = ("expected_sku", "review_status", "scorability", "sku_digit_class", "reviewer", "notes")
+    # dealt by file once: the rows of a place, and later those of a file, are already together
+    last = v.repartition("file").groupBy("file", F.col("shape_idx").cast("int").alias("shape_idx"), "label").agg(F.max_by(F.struct(*told), "ord").alias("v")).select("file", "shape_idx", "label", "v.*")
+    known = F.col("expected_sku").isNotNull()  # of rows without any ord nothing is known
+    other = lambda c, d: F.when(known, F.when(text(c) != "", text(c)).otherwise(d))
+    return last.select(
+        "file", "shape_idx", "label", "expected_sku", other("review_status", F.when(codes.is_na(F.col("expected_sku")), "not_applicable").otherwise("reviewed")).alias("status"), other("scorability", codes.scorability(F.col("expected_sku"))).alias("scorability"),
+        other("sku_digit_class", codes.digit_class(F.col("expected_sku"))).alias("digit_class"), F.when(known, F.lit(source)).alias("source"), *[F.when(known, text(c)).alias(c) for c in ("reviewer", "notes")],
     )
-    return v.groupBy("file", F.col("shape_idx").cast("int").alias("shape_idx"), "label").agg(F.max_by(values, "ord").alias("v")).select("file", "shape_idx", "label", "v.*")
 
 
 def sync_truth(files: DataFrame, truth: DataFrame) -> DataFrame:
@@ -170,24 +173,19 @@ def sync_truth(files: DataFrame, truth: DataFrame) -> DataFrame:
     file, shapes, updated, missing for each file of either side; shapes is null for files that aren't there.
 
     A truth row whose file, place or label isn't there counts as missing. The rows of a file meet it as one map from place
-    to values (a file has a few hundred shapes); places of one index with several labels are told apart by the label. A
-    second run changes nothing.
+    to the fields to set, made once a row (a file has a few hundred shapes); places of one index with several labels are
+    told apart by the label. A shape looks up its row once. A second run changes nothing.
     """
-    keyed = F.struct(F.struct("shape_idx", "label").alias("key"), F.struct(*SHAPE_FIELDS, *OPTIONAL_FIELDS).alias("value"))
+    named = {name: F.col(c) for c, name in SHAPE_FIELDS.items()} | {name: F.nullif(F.col(c), F.lit("")) for c, name in OPTIONAL_FIELDS.items()}
+    new = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*named.values())), lambda _, x: x.isNotNull())
+    keyed = F.struct(F.struct("shape_idx", "label").alias("key"), new.alias("value"))
     of = truth.groupBy("file").agg(F.map_from_entries(F.collect_list(keyed)).alias("values"))
-    met = files.join(of, "file", "full")
-
-    def synced(shape: Column, i: Column) -> Column:
-        v = F.element_at("values", F.struct(i.cast("int").alias("shape_idx"), shape["label"].alias("label")))
-        named = {name: v[c] for c, name in SHAPE_FIELDS.items()} | {name: F.nullif(v[c], F.lit("")) for c, name in OPTIONAL_FIELDS.items()}
-        new = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*named.values())), lambda _, x: x.isNotNull())
-        kept = F.map_filter(shape, lambda k, _: ~F.map_contains_key(new, k))
-        return F.when(v.isNull(), shape).otherwise(F.map_concat(kept, new))
-
-    hits = F.size(F.filter(F.transform("shapes", lambda s, i: F.map_contains_key("values", F.struct(i.cast("int").alias("shape_idx"), s["label"].alias("label")))), lambda x: x))
+    place = lambda s, i: F.struct(i.cast("int").alias("shape_idx"), s["label"].alias("label"))
+    met = files.join(of, "file", "full").withColumn("set", F.transform("shapes", lambda s, i: F.element_at("values", place(s, i))))
+    set_in = lambda s, v: F.when(v.isNull(), s).otherwise(F.map_concat(F.map_filter(s, lambda k, _: ~F.map_contains_key(v, k)), v))
     n = F.coalesce(F.size("values"), F.lit(0))
-    updated = F.when(F.col("shapes").isNull() | F.col("values").isNull(), 0).otherwise(hits)
-    shapes = F.when(F.col("values").isNull(), F.col("shapes")).otherwise(F.transform("shapes", synced))
+    updated = F.when(F.col("shapes").isNull() | F.col("values").isNull(), 0).otherwise(F.size(F.filter("set", lambda v: v.isNotNull())))
+    shapes = F.when(F.col("values").isNull(), F.col("shapes")).otherwise(F.zip_with("shapes", "set", set_in))
     return met.select("file", shapes.alias("shapes"), updated.cast("bigint").alias("updated"), (F.when(F.col("values").isNull(), 0).otherwise(n) - updated).cast("bigint").alias("missing"))
 
 

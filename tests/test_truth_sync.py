@@ -37,6 +37,18 @@ def test_truth_sync(spark):
     assert review.sync_truth(files.limit(0), truth.limit(0)).count() == 0
 
 
+def test_a_shape_looks_its_row_up_once(spark):
+    files = spark.createDataFrame([("a.json", [{"label": "A"}, {"label": "B"}])], FILES)
+    rows = [("a.json", 0, "A", "123456", "", "", "", "", "", 1), ("a.json", 1, "B", "654321", "", "", "", "", "", None)]
+    truth = review.truth_values(spark.createDataFrame(rows, TRUTH))
+    done = review.sync_truth(files, truth)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at(") == 1 and plan.count("RepartitionByExpression") == 1
+    got = done.first()
+    assert (got["updated"], got["missing"]) == (2, 0)
+    assert got["shapes"][0]["expected_sku"] == "123456" and got["shapes"][1] == {"label": "B"}  # a row without ord tells nothing
+
+
 def test_regression_verdict(spark):
     det = "strip string, pos long, cls string, conf double, x1 double, y1 double, x2 double, y2 double"
     base = [(s, i, "ab"[i], 0.9, 0.0, 0.0, 10.0 + i, 10.0) for s in ("same", "box", "conf", "cls", "few", "mask", "lost") for i in (0, 1)]
