@@ -81,6 +81,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of frames that nothing names any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*tables: DataFrame | None, sweep: bool = False) -> None:
     """Deletes tables that ``materialize`` made, once nothing reads them any more. Frames not made by it are left alone.
 
@@ -94,8 +100,7 @@ def forget(*tables: DataFrame | None, sweep: bool = False) -> None:
         path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     if sweep:
-        gc.collect()
-        context._jvm.System.gc()
+        let_go(found[0].sparkSession)
 
 
 def packed(rows: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:

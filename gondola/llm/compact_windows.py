@@ -31,14 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import NON_SPACE, U64, Texts, mix
-from gondola.llm.common import forget, materialize, scan
+from gondola.llm.common import forget, let_go, materialize, scan
 
 SHINGLE = 5
 
+# Once a block of this size was given back, glibc keeps smaller ones instead of mapping (and zeroing) pages for each array anew.
+np.empty(24 << 20, np.uint8)
+
 
 def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r), ends included, of all compact windows of at least ``width`` tokens; text i has tokens at[i] .. at[i + 1].
@@ -73,15 +77,11 @@ def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     c = np.unique(least & low).astype(np.int64)
     own = v[c]
     left, right = c.copy(), c + 1
+    # the first and the last stretch of each level hold a 0, so that places beyond them stop, too
     for j in range(len(levels) - 1, -1, -1):
         step, lev = 1 << j, levels[j]
-        a = left - step
-        go = a >= 0
-        go[go] = lev[a[go]] > own[go]
-        left[go] -= step
-        go = right + step <= m
-        go[go] = lev[right[go]] > own[go]
-        right[go] += step
+        left -= step * (lev.take(left - step, mode="clip") > own)
+        right += step * (lev.take(right, mode="clip") > own)
     back = np.zeros(m, np.int64)
     back[place] = np.arange(n)
     return back[left], back[c], back[right - 1]
@@ -213,27 +213,94 @@ def all_windows(texts: DataFrame, pairs: int, width: int, min_words: int, percen
     return texts.select("t", "text").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint, own boolean")
 
 
+def colliding(found: DataFrame) -> DataFrame:
+    """The windows of keys that have another one, too, and what texts repeat themselves. Copies of a text have the same
+    windows: a key that nothing else has is no collision. One of each stays, or one a batch that a key goes through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "t", "m", "w", "own"]
+        # the last key: one of its windows, and whether it is known to collide and was put out
+        held, known = np.zeros((5, 0), np.int64), False
+        for b in batches:
+            now = np.stack([b.column(x).to_numpy(zero_copy_only=x != "own").astype(np.int64) for x in names])
+            row = np.concatenate([held, now], 1)
+            if not row.shape[1]:
+                continue
+            key, t, m, _, own = row
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            other = np.logical_or.reduceat((t != t[first][of]) | (m != m[first][of]), first)
+            other[0] |= known
+            keep = other[of] | (own > 0)
+            # what was held is out already where its key was known to collide or where it is no window
+            skip = held.shape[1] and (known or own[0] > 0)
+            keep[0] &= not skip
+            held, known = row[:, first[-1] : first[-1] + 1], bool(other[-1])
+            out = row[:, keep]
+            if out.shape[1]:
+                out = out[:, np.lexsort(out[:4])]
+                out = out[:, np.concatenate([[True], (out[:, 1:] != out[:, :-1]).any(0)])]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (*out[:4], out[4] > 0)], names)
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, t bigint, m bigint, w bigint, own boolean")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """doc_id, t, n_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, t in Texts.chunks(b.column("text")):
+                begins = NON_SPACE[t.data]
+                follows = np.concatenate([[False], begins[:-1]])
+                follows[t.at[:-1][t.at[:-1] < len(follows)]] = False
+                n = np.diff(np.concatenate([[0], np.cumsum(begins & ~follows)])[t.at])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], b.column("t")[lo:hi], pa.array(n)], ["doc_id", "t", "n_words"])
+
+    return texts.select("doc_id", "t", "text").mapInArrow(run, "doc_id bigint, t bigint, n_words bigint")
+
+
 def _regions(pairs: DataFrame, slack: int = 8) -> DataFrame:
     """a, b, and the regions of both that overlapping collisions of a pair cover (shingle places, ends included)."""
 
+    def found(field: np.ndarray) -> pa.RecordBatch:
+        a, b, ma, wa, mb, wb = field
+        (l1, r1), (l2, r2) = ((w >> 32, w & 0xFFFFFFFF) for w in (wa, wb))
+        shift = (mb >> 32) - (ma >> 32)
+        # what both windows cover, once their smallest tokens stand on each other, and a little more
+        low, high = np.maximum(l1, l2 - shift), np.minimum(r1, r2 - shift)
+        group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        order = np.lexsort((shift, high, low, group))
+        hits = np.stack([group, low, high, shift])[:, order]
+        hits = hits[:, np.concatenate([[True], (hits[:, 1:] != hits[:, :-1]).any(0)]) & ((a != b)[order] | (hits[3] != 0))]
+        first = np.searchsorted(group, hits[0])
+        cut = np.flatnonzero(np.concatenate([[True], hits[0, 1:] != hits[0, :-1], [True]])) if hits.shape[1] else np.zeros(1, np.int64)
+        alone = np.diff(cut) == 1
+        one = cut[:-1][alone]
+        out = [np.stack([first[one], hits[1, one], hits[2, one], hits[3, one], hits[3, one]], 1)]
+        for x, y in zip(cut[:-1][~alone].tolist(), cut[1:][~alone].tolist(), strict=True):
+            out.append(np.array([(first[x], *r) for r in stretches([tuple(h) for h in hits[1:, x:y].T.tolist()], slack)]))
+        at, lo, hi, s1, s2 = np.concatenate(out).T
+        columns = (a[at], b[at], np.maximum(0, lo), hi, np.maximum(0, lo + s1), hi + s2)
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in columns], ["a", "b", "a1", "a2", "b1", "b2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.zeros((6, 0), np.int64)
         for batch in batches:
-            rows: dict[str, list[int]] = {k: [] for k in ("a", "b", "a1", "a2", "b1", "b2")}
-            column = batch.column("hits")
-            field = {k: column.values.field(k).to_numpy() for k in ("ma", "wa", "mb", "wb")}
-            (l1, r1), (l2, r2) = ((w >> 32, w & 0xFFFFFFFF) for w in (field["wa"], field["wb"]))
-            shifts = (field["mb"] >> 32) - (field["ma"] >> 32)
-            # what both windows cover, once their smallest tokens stand on each other, and a little more
-            lows, highs = np.maximum(l1, l2 - shifts), np.minimum(r1, r2 - shifts)
-            at = column.offsets.to_numpy()
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), at[:-1], at[1:], strict=True):
-                hits = sorted(set(zip(lows[x:y].tolist(), highs[x:y].tolist(), shifts[x:y].tolist(), strict=True)))
-                for lo, hi, s1, s2 in stretches([h for h in hits if a != b or h[2]], slack):
-                    rows["a"].append(a), rows["b"].append(b)
-                    rows["a1"].append(max(0, lo)), rows["a2"].append(hi), rows["b1"].append(max(0, lo + s1)), rows["b2"].append(hi + s2)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
-
-    each = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ma", "wa", "mb", "wb")).alias("hits"))
+            field = np.concatenate([open_, np.stack([batch.column(c).to_numpy() for c in ("a", "b", "ma", "wa", "mb", "wb")])], 1)
+            if not field.shape[1]:
+                continue
+            # the last pair of texts may go on in the next batch
+            last = int(np.flatnonzero((field[:2] != field[:2, -1:]).any(0)).max(initial=-1)) + 1
+            open_ = field[:, last:]
+            if last:
+                yield found(field[:, :last])
+        if open_.shape[1]:
+            yield found(open_)
+
+    each = pairs.select("a", "b", "ma", "wa", "mb", "wb").repartition("a", "b").sortWithinPartitions("a", "b")
     return each.mapInArrow(run, "a bigint, b bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
@@ -306,27 +373,91 @@ def passages(x: np.ndarray, y: np.ndarray, min_words: int, percent: int, apart:
     return found
 
 
+def plain_passages(match: np.ndarray, in_y: np.ndarray, min_words: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """``passages`` of two arrays that repeat no shingle: those at ``match`` of the first stand at ``in_y`` of the second."""
+    found: list[tuple[int, int, int, int]] = []
+    m, q = match, in_y
+    for gap in (12, 6, 2, 0):
+        step = np.diff(m)
+        cut = np.flatnonzero((step > gap + 1) | (np.abs(np.diff(q) - step) > gap + 16)) + 1
+        first, last = np.concatenate([[0], cut]), np.append(cut, len(m)) - 1
+        free = np.ones(len(m), bool)
+        for i in np.flatnonzero(m[last] - m[first] + SHINGLE >= min_words).tolist():
+            part = slice(first[i], last[i] + 1)
+            x1, x2, y1, y2 = int(m[first[i]]), int(m[last[i]]), int(q[part].min()), int(q[part].max())
+            if y2 - y1 + SHINGLE < min_words:
+                continue
+            inside = in_y[slice(*np.searchsorted(match, [x1, x2 + 1]))]
+            both = np.count_nonzero((inside >= y1) & (inside <= y2))
+            if 100 * both >= percent * (x2 - x1 + y2 - y1 + 2 - both):
+                found.append((x1, x2, y1, y2))
+                free[part] = False
+        m, q = m[free], q[free]
+        if not len(m):
+            break
+    return found
+
+
+#: Words of both sides that a task has as tokens at once.
+PART_BYTES = 16 << 20
+
+
+def compared(one: pa.Array, two: pa.Array, shift: np.ndarray, same: np.ndarray, min_words: int, percent: int) -> np.ndarray:
+    """(row, x1, x2, y1, y2) of the passages of rows of words. Equal words are tokens once, however many rows have them."""
+    sides, token, at = [one.dictionary_encode(), two.dictionary_encode()], [], [np.zeros(1, np.int64)]
+    for side in sides:
+        for _, _, t in Texts.chunks(side.dictionary):
+            h, ends = _tokens(t)
+            token.append(h), at.append(ends[1:] + at[-1][-1])
+    names, token = np.unique(np.concatenate(token), return_inverse=True)
+    at = np.concatenate(at)
+    own = [token[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    there = np.full(len(names), -1, np.int32)
+    plain = np.zeros(len(own), bool)
+    place = np.arange(max(map(len, own)), dtype=np.int32)
+    for i, z in enumerate(own):
+        there[z] = place[: len(z)]
+        plain[i] = (there[z] == place[: len(z)]).all()
+    there[:] = -1
+    i, j = sides[0].indices.to_numpy(), sides[1].indices.to_numpy() + len(sides[0].dictionary)
+    out: list[tuple[int, ...]] = []
+    set_to = -1
+    for row in np.argsort(j, kind="stable").tolist():
+        x, y = own[i[row]], own[j[row]]
+        if min(len(x), len(y)) + SHINGLE - 1 < min_words:
+            continue
+        if same[row] or not (plain[i[row]] and plain[j[row]]):
+            out += [(row, *p) for p in passages(x, y, min_words, percent, int(shift[row]) if same[row] else None)]
+            continue
+        if set_to != j[row]:
+            if set_to >= 0:
+                there[own[set_to]] = -1
+            there[y] = place[: len(y)]
+            set_to = j[row]
+        in_y = there[x]
+        match = np.flatnonzero(in_y >= 0)
+        if len(match) and match[-1] - match[0] + SHINGLE >= min_words:
+            out += [(row, *p) for p in plain_passages(match, in_y[match].astype(np.int64), min_words, percent)]
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
 def _verify(regions: DataFrame, slices: DataFrame, min_words: int, percent: int) -> DataFrame:
     """a, b, and the word spans [a1, a2) and [b1, b2) of verified passages."""
     side = lambda x, s: slices.select(F.col("t").alias(x), F.col("lo").alias(f"{x}1"), F.col("hi").alias(f"{x}2"), F.col("words").alias(f"words{s}"))
     both = regions.join(side("a", 0), ["a", "a1", "a2"]).join(side("b", 1), ["b", "b1", "b2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list[int]] = {k: [] for k in ("a", "b", "a1", "a2", "b1", "b2")}
-            sides = []
-            for s in (0, 1):
-                token: list[np.ndarray] = []
-                for _, _, t in Texts.chunks(b.column(f"words{s}")):
-                    h, at = _tokens(t)
-                    token += [h[at[i] : at[i + 1]] for i in range(t.n)]
-                sides.append(token)
-            names = (b.column(c).to_pylist() for c in ("a", "b", "a1", "b1"))
-            for u, v, lo0, lo1, x, y in zip(*names, *sides, strict=True):
-                for x1, x2, y1, y2 in passages(x, y, min_words, percent, lo1 - lo0 if u == v else None):
-                    for k, z in zip(out, (u, v, lo0 + x1, lo0 + x2 + SHINGLE, lo1 + y1, lo1 + y2 + SHINGLE), strict=True):
-                        out[k].append(z)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+        for whole in batches:
+            size = sum(pc.binary_length(whole.column(f"words{s}")).to_numpy().astype(np.int64) for s in (0, 1))
+            part = np.cumsum(size) // PART_BYTES
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                b = whole.slice(x, y - x)
+                names = [b.column(c).to_numpy() for c in ("a", "b", "a1", "b1")]
+                at, *place = compared(b.column("words0"), b.column("words1"), names[3] - names[2], names[0] == names[1], min_words, percent).T
+                u, v, lo0, lo1 = (z[at] for z in names)
+                columns = (u, v, lo0 + place[0], lo0 + place[1] + SHINGLE, lo1 + place[2], lo1 + place[3] + SHINGLE)
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in columns], ["a", "b", "a1", "a2", "b1", "b2"])
 
     return both.select("a", "b", "a1", "b1", "words0", "words1").mapInArrow(run, "a bigint, b bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
@@ -397,24 +528,24 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
     (``start:end`` word places, comma-joined), copies (documents with this very text, itself included), like_id (the
     least id of a text that has such a passage).
     """
+    spark = docs.sparkSession
     width = max(2, min_words - SHINGLE + 1 - 2)
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     classes = materialize(named.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
     found = all_windows(named, pairs, width, min_words, percent)
-    # copies of a text have the same windows: a key that nothing else has is no collision, and one of each stays
-    one = F.struct("t", "m")
-    by_key = Window.partitionBy("key")
-    found = found.withColumns({"least": F.min(one).over(by_key), "most": F.max(one).over(by_key)}).where("own OR least <> most")
-    several = materialize(found.select("key", "t", "m", "w", "own").distinct())
+    several = materialize(colliding(found))
+    let_go(spark)
     members, own = several.where("NOT own").drop("own"), several.where("own")
-    seen, spans = None, own.select("t", F.col("t").alias("other"), F.col("m").alias("lo"), F.col("w").alias("hi"))
+    tables, seen, spans = [several], None, own.select("t", F.col("t").alias("other"), F.col("m").alias("lo"), F.col("w").alias("hi"))
     for turn in range(rounds + 2):
         # whatever a text repeats itself, its windows meet those of others once
         now = open_windows(members, spans if turn else None)
         if turn < rounds:
-            pick = F.min(F.struct(F.xxhash64("t", F.lit(turn)), "t", "m", "w"))
-            lead = now.where("open").groupBy("key").agg(pick.alias("lead")).select("key", *[F.col(f"lead.{x}").alias(f"{x}2") for x in ("t", "m", "w")])
+            # by the text's hash, then the first place (27 bits) and how far the last one is from it: numbers, which Spark hashes
+            first, last = F.shiftright("m", 32), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))
+            rank = F.shiftleft(F.shiftright(F.xxhash64("t", F.lit(turn)), 33), 33) + F.shiftleft(first, 6) + F.least(last - first, F.lit(63))
+            lead = now.where("open").groupBy("key").agg(*[F.min_by(x, rank).alias(f"{x}2") for x in ("t", "m", "w")])
             met = members.join(lead, "key").where("t <> t2 OR m <> m2")
         else:
             # what no leader confirmed meets the most alike of the other windows of its key; then what is still open meets
@@ -440,21 +571,25 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
         if seen is not None:
             regions = regions.join(seen, ["a", "b", "a1", "a2", "b1", "b2"], "left_anti")
         regions = materialize(regions)
+        forget(now)
+        let_go(spark)
         seen = regions if seen is None else seen.unionByName(regions)
         side = lambda x: regions.select(F.col(x).alias("t"), F.col(f"{x}1").alias("lo"), F.col(f"{x}2").alias("hi"))
         slices = materialize(_slices(named, classes, side("a").unionByName(side("b"))))
         good = materialize(_verify(regions, slices, min_words, percent))
+        tables += [regions, good]
         forget(slices)
+        let_go(spark)
         both = good.select(F.col("a").alias("t"), F.col("b").alias("other"), F.col("a1").alias("lo"), F.col("a2").alias("hi")).unionByName(
             good.select(F.col("b").alias("t"), F.col("a").alias("other"), F.col("b1").alias("lo"), F.col("b2").alias("hi"))
         )
         spans = spans.unionByName(both)
     other = spans.join(classes.select(F.col("t").alias("other"), F.col("rep").alias("like")), "other")
     by_text = other.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"), F.min("like").alias("like"))
-    n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     by_text = materialize(by_text.select("t", merged(F.col("s")).alias("s"), "like"))
-    forget(several, sketches, sweep=True)
-    sized = named.select("doc_id", "t", n_words.alias("n_words")).join(classes, "t").join(by_text, "t", "left")
+    forget(sketches, *tables)
+    let_go(spark)
+    sized = word_counts(named).join(classes, "t").join(by_text, "t", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= min_words)
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_words").alias("hi")))
     marked = sized.withColumn("s", F.when(copied, whole).otherwise(F.col("s"))).where(F.size("s") > 0)
