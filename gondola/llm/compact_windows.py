@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm.arrays import NON_SPACE, U64, Texts, mix
@@ -63,19 +63,18 @@ def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     # the hash's upper bits, then the place: ties go to the left
     v[place] = (value | U64(1 << 63)) & ~low | place.astype(U64)
     levels = [v]
-    while (1 << len(levels)) <= m:
-        half = 1 << (len(levels) - 1)
-        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-        if not levels[-1].any():
-            break
+    # a stretch longer than any text holds a 0
+    for j in range(1, int(np.diff(at).max()).bit_length()):
+        levels.append(np.minimum(levels[-1][: -(1 << (j - 1))], levels[-1][1 << (j - 1) :]))
     k = width.bit_length() - 1
     if k >= len(levels):
         return none, none, none
     least = np.minimum(levels[k][: m - width + 1], levels[k][width - (1 << k) : m - (1 << k) + 1])
-    least = least[least > 0]
-    if not len(least):
+    # the smallest token's place never goes back as the stretch goes on
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    c = (least[least > 0] & low).astype(np.int64)
+    if not len(c):
         return none, none, none
-    c = np.unique(least & low).astype(np.int64)
     own = v[c]
     left, right = c.copy(), c + 1
     # the first and the last stretch of each level hold a 0, so that places beyond them stop, too
@@ -91,11 +90,9 @@ def windows(value: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
 def _tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts, and where each text's begin."""
     w = t.words(NON_SPACE)
-    h, owner, first = w.shingles(SHINGLE)
-    full = w.n[owner] >= SHINGLE
-    h, owner, first = h[full], owner[full], first[full]
-    order = np.argsort(first)
-    return h[order], np.concatenate([[0], np.cumsum(np.maximum(w.n - SHINGLE + 1, 0))])
+    h, owner, _ = w.shingles(SHINGLE)
+    h = h[w.n[owner] >= SHINGLE]
+    return h, np.concatenate([[0], np.cumsum(np.maximum(w.n - SHINGLE + 1, 0))])
 
 
 def crossed(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], width: int) -> tuple[np.ndarray, ...]:
@@ -432,6 +429,9 @@ def plain_passages(match: np.ndarray, in_y: np.ndarray, min_words: int, percent:
                 for u, v in alike(m[part], q[part], min_words, percent):
                     found.append((int(m[part][u]), int(m[part][v]), int(q[part][u]), int(q[part][v])))
                     free[part][u : v + 1] = False
+        # where places go up, ``alike`` has found what parts with less between them have
+        if gap == 12 and (np.diff(q) > 0).all():
+            break
         m, q = m[free], q[free]
         if not len(m):
             break
@@ -533,14 +533,14 @@ SKETCH, COMMON = 22, 11
 
 def sketched(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token, the bits of the ``SKETCH`` tokens that end with it and of those that begin with it, within its text."""
-    bit, place = U64(1) << (mix(token) >> U64(58)), np.arange(len(token))
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    back, ahead = bit.copy(), bit.copy()
-    for j in range(1, SKETCH):
-        on = place[at[text] + j <= place]
-        back[on] |= bit[on - j]
-        ahead[on - j] |= bit[on]
-    return back, ahead
+    # nothing between texts, as long as a sketch
+    place = np.arange(len(token)) + SKETCH * np.repeat(np.arange(1, len(at)), np.diff(at))
+    run, size = np.zeros(len(token) + SKETCH * len(at), U64), 1
+    run[place] = U64(1) << (mix(token) >> U64(58))
+    while size < SKETCH:
+        step = min(size, SKETCH - size)
+        run, size = run[:-step] | run[step:], size + step
+    return run[place - SKETCH + 1], run[place]
 
 
 #: Pairs of windows of one key that are looked at, and judged, at once.
@@ -553,10 +553,11 @@ def contexts(token: np.ndarray, at: np.ndarray, of: np.ndarray, first: np.ndarra
     """For each place ``first`` of text ``of``: the ``width`` + 4 tokens before it, backwards, and 2 ``width`` + 4 from it on."""
     step = np.concatenate([-1 - np.arange(width + 4), np.arange(2 * width + 4)])
     short = (mix(token) >> U64(52)).astype(np.uint16)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((token, text))
-    again = (token[order][1:] == token[order][:-1]) & (text[order][1:] == text[order][:-1]) & (np.diff(order) < len(step))
-    short[order[1:][again]] |= AGAIN
+    # the hash's upper bits, then the place: one that is taken for a repeat counts for less
+    size = U64(len(token).bit_length())
+    order = np.sort((mix(token) >> size << size) | np.arange(len(token), dtype=U64))
+    place = (order & ((U64(1) << size) - U64(1))).astype(np.int64)
+    short[place[1:][(order[1:] >> size == order[:-1] >> size) & (np.diff(place) < len(step))]] |= AGAIN
     out = np.full((len(of), len(step)), OUTSIDE, np.uint16)
     for x in range(0, len(of), 4096):
         begin, end = at[of[x : x + 4096], None], at[of[x : x + 4096] + 1, None]
@@ -721,6 +722,7 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
     classes = materialize(named.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
     found = all_windows(named, pairs, width, min_words, percent)
     several = materialize(colliding(found))
+    let_go(spark)
     members, own = several.where("NOT own").drop("own"), several.where("own")
     bodies = materialize(_bodies(named, classes, members))
     let_go(spark)
@@ -738,7 +740,7 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
             # what no leader confirmed meets that one of the other windows of its key with which it could best lie in a passage;
             # then what is still open meets all with which it could
             if turn == rounds:
-                now = now.join(now.where("open").select("key").distinct(), "key", "left_semi")
+                now = now.withColumn("some", F.max("open").over(Window.partitionBy("key"))).where("some").drop("some")
                 near = materialize(_contexts(bodies, now, width))
                 met = judged = materialize(_judged(near, width, min_words, percent, best=True))
                 let_go(spark)
@@ -747,10 +749,9 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
                 now = near.drop("open").join(left, ["key", "t", "m"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
                 met = _judged(now.join(left.select("key").distinct(), "key", "left_semi"), width, min_words, percent, best=False)
         # a pair of texts has one order, whoever leads
-        two = F.array_sort(F.array(F.struct("t", "m", "w"), F.struct(F.col("t2").alias("t"), F.col("m2").alias("m"), F.col("w2").alias("w"))))
-        met = met.select(two.alias("two"))
-        side = lambda i, names: [F.col("two")[i][x].alias(y) for x, y in zip(("t", "m", "w"), names, strict=True)]
-        regions = _regions(met.select(*side(0, ("a", "ma", "wa")), *side(1, ("b", "mb", "wb"))))
+        two = F.struct("t", "m", "w"), F.struct(F.col("t2").alias("t"), F.col("m2").alias("m"), F.col("w2").alias("w"))
+        met = met.select(F.least(*two).alias("one"), F.greatest(*two).alias("two"))
+        regions = _regions(met.select(F.col("one.t").alias("a"), F.col("one.m").alias("ma"), F.col("one.w").alias("wa"), F.col("two.t").alias("b"), F.col("two.m").alias("mb"), F.col("two.w").alias("wb")))
         if seen is not None:
             regions = regions.join(seen, ["a", "b", "a1", "a2", "b1", "b2"], "left_anti")
         regions = materialize(regions)
