@@ -742,6 +742,7 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, pairs
             if turn == rounds:
                 now = now.withColumn("some", F.max("open").over(Window.partitionBy("key"))).where("some").drop("some")
                 near = materialize(_contexts(bodies, now, width))
+                let_go(spark)
                 met = judged = materialize(_judged(near, width, min_words, percent, best=True))
                 let_go(spark)
             else:
